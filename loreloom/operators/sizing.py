@@ -3,18 +3,19 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_bounded(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when ``small`` is counted to be at most ``max_rows`` rows.
+def small_frame(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """A frame for a broadcast join: None when empty, broadcast when at most ``max_rows`` rows.
 
-    Beyond that the frame comes back without a hint and the join shuffles. The count
-    stops at ``max_rows + 1``. Meant for narrow frames: keys and counters.
+    Runs ``rows`` once, stopping at ``max_rows + 1``; beyond the bound the frame comes back as it
+    was and the join shuffles. Meant for narrow frames of keys and counters.
     """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(small)
-    return small
+    head = rows.limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows:
+        return rows
+    return F.broadcast(rows.sparkSession.createDataFrame(head, rows.schema)) if head.num_rows else None
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loreloom import constants as K
-from loreloom.functions.vectors import DISTANCE_DECIMALS, has_dimensions
-from loreloom.operators.sizing import broadcast_if_bounded
+from loreloom.functions.vectors import DISTANCE_DECIMALS, cosine_distance, has_dimensions
+from loreloom.operators.sizing import small_frame
 
 CELL_VECTORS = 16384
 CELL_QUERIES = 2048
@@ -102,30 +102,32 @@ def _best(hits: DataFrame) -> DataFrame:
     )
 
 
-def _score_in_cells(queries: DataFrame, vectors: DataFrame, on: list[str], include_zero: bool,
-                    cell_vectors: int, cell_queries: int) -> DataFrame:
+def _hot_keys(queries: DataFrame, vectors: DataFrame, on: list[str], cell_vectors: int,
+              cell_queries: int) -> DataFrame:
+    """Keys that need more than one cell, with the number of parts of either side."""
     def parts(rows: DataFrame, per_cell: int, name: str) -> DataFrame:
         return rows.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(per_cell)).cast("int").alias(name))
 
-    grid = broadcast_if_bounded(
-        parts(queries, cell_queries, "_q_parts").join(parts(vectors, cell_vectors, "_v_parts"), on)
-    )
-
-    def part(identifier: str, count: str) -> Column:
-        return F.pmod(F.xxhash64(identifier), F.col(count)).cast("int")
+    both = parts(queries, cell_queries, "_q_parts").join(parts(vectors, cell_vectors, "_v_parts"), on)
+    return both.filter((F.col("_q_parts") > 1) | (F.col("_v_parts") > 1))
 
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+def _score_in_cells(queries: DataFrame, vectors: DataFrame, on: list[str], include_zero: bool,
+                    cell_vectors: int, cell_queries: int) -> DataFrame:
+    hot = small_frame(_hot_keys(queries, vectors, on, cell_vectors, cell_queries))
+    queries = queries.filter(F.col("vector").isNotNull())
+    vectors = vectors.filter(F.col("embedding").isNotNull())
     cell = [*on, "_q", "_v"]
-    left = (
-        queries.join(grid, on).withColumn("_q", part("query_id", "_q_parts"))
-        .withColumn("_v", every("_v_parts")).select(*cell, "query_id", "vector", "k")
-    )
-    right = (
-        vectors.join(grid, on).withColumn("_v", part("chunk_id", "_v_parts"))
-        .withColumn("_q", every("_q_parts")).select(*cell, "chunk_id", "embedding")
-    )
+
+    def split(rows: DataFrame, identifier: str, own: str, own_parts: str, other: str, other_parts: str):
+        if hot is None:
+            return rows.withColumns({own: F.lit(0), other: F.lit(0)})
+        sized = rows.join(hot, on, "left").na.fill(1, ["_q_parts", "_v_parts"])
+        return sized.withColumn(own, F.pmod(F.xxhash64(identifier), F.col(own_parts)).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)))
+
+    left = split(queries, "query_id", "_q", "_q_parts", "_v", "_v_parts").select(*cell, "query_id", "vector", "k")
+    right = split(vectors, "chunk_id", "_v", "_v_parts", "_q", "_q_parts").select(*cell, "chunk_id", "embedding")
     out = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
@@ -146,11 +148,9 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_LIMIT
     ``queries``: query_id, *on, vector and optionally k. ``vectors``: chunk_id, *on, embedding.
     Returns query_id, chunk_id, distance, rank; ties are ordered by chunk_id.
     """
-    asked = queries.withColumn("k", _limit_column(queries, k)).filter(F.col("vector").isNotNull())
-    stored = vectors.filter(F.col("embedding").isNotNull())
+    asked = queries.withColumn("k", _limit_column(queries, k)).select("query_id", *on, "vector", "k")
     hits = _score_in_cells(
-        asked.select("query_id", *on, "vector", "k"), stored.select("chunk_id", *on, "embedding"),
-        list(on), include_zero, cell_vectors, cell_queries,
+        asked, vectors.select("chunk_id", *on, "embedding"), list(on), include_zero, cell_vectors, cell_queries,
     )
     return _best(hits)
 
@@ -158,8 +158,6 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_LIMIT
 def nearest(vectors: DataFrame, vector: list[float], k: int = K.DEFAULT_LIMIT, *,
             include_zero: bool = False) -> DataFrame:
     """k nearest rows to one literal vector: chunk_id, distance. Plans as TakeOrderedAndProject."""
-    from loreloom.functions.vectors import cosine_distance
-
     literal = F.lit([float(x) for x in vector])
     scored = (
         vectors.filter(F.col("embedding").isNotNull())

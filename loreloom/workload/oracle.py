@@ -335,10 +335,10 @@ ORACLE["record_exchange"] = _with(_ANSWERS, f"""stored AS (
   UNION ALL SELECT query_id + 50, conv_id, 'user', content, 0 FROM questions
   UNION ALL SELECT query_id + 51, conv_id, 'assistant', answer, source_count FROM answers),
 moved AS (
-  SELECT conv_id, CASE WHEN conv_id IN (SELECT conv_id FROM questions) THEN {_AS_OF} ELSE max(made) END AS at
+  SELECT conv_id, CASE WHEN conv_id IN (SELECT conv_id FROM questions) THEN {_AS_OF} ELSE max(made) END AS moved_at
   FROM turns GROUP BY conv_id)""") + """
 SELECT id, conv_id AS conversation_id, role, md5(content) AS content_md5, CAST(cites AS BIGINT) AS citation_count,
-       CAST(at AS BIGINT) AS conversation_updated_epoch, role || ': ' || substr(content, 1, 80) AS label
+       CAST(moved_at AS BIGINT) AS conversation_updated_epoch, role || ': ' || substr(content, 1, 80) AS label
 FROM stored JOIN moved USING (conv_id)"""
 
 ORACLE["list_conversations"] = _with(_TURNS) + """
