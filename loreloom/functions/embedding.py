@@ -1,10 +1,11 @@
 """Text to vector.
 
-The default embedder needs no weights: words are hashed to signed buckets inside
-the JVM and only the bucket codes travel to Python, where one bincount builds all
-vectors of an Arrow batch. A model is plugged in with ``ModelEmbedder``.
+The default embedder needs no weights: the JVM splits words, and one Arrow batch at a time its
+distinct words are hashed to signed buckets and one bincount adds up all its vectors. A model
+is plugged in with ``ModelEmbedder``.
 """
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -36,33 +37,31 @@ class HashingEmbedder:
     def __init__(self, dimensions: int = K.EMBEDDING_DIMENSIONS):
         self.dimensions = dimensions
 
-    def codes(self, text: Column) -> Column:
-        """One int per word: 2 * bucket, plus 1 when the sign is negative."""
-
-        def code(word: Column) -> Column:
-            value = F.conv(F.substring(F.md5(word), 1, 9), 16, 10).cast("bigint")
-            bucket = F.floor(value / 16) % self.dimensions
-            return (bucket * 2 + F.when(value % 16 < 8, 0).otherwise(1)).cast("int")
-
-        return F.transform(words(F.lower(text)), code)
-
     def embed(self, text: Column) -> Column:
         dimensions = self.dimensions
 
         @F.arrow_udf(VECTOR)
-        def accumulate(codes: pa.Array) -> pa.Array:
-            return _unit_vectors(codes, dimensions)
+        def accumulate(tokens: pa.Array) -> pa.Array:
+            return _unit_vectors(tokens, dimensions)
+
+        return F.when(text.isNotNull(), accumulate(words(F.lower(text))))
+
 
-        return F.when(text.isNotNull(), accumulate(self.codes(text)))
+def _signed_bucket(word: str, dimensions: int) -> tuple[int, float]:
+    value = int(hashlib.md5(word.encode()).hexdigest()[:9], 16)
+    return value // 16 % dimensions, 1.0 if value % 16 < 8 else -1.0
 
 
-def _unit_vectors(codes: pa.Array, dimensions: int) -> pa.Array:
-    rows = len(codes)
-    flat = codes.flatten().to_numpy(zero_copy_only=False)
-    lengths = codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    cell = np.repeat(np.arange(rows, dtype=np.int64), lengths) * dimensions + flat // 2
-    sums = np.bincount(cell, weights=1.0 - 2.0 * (flat % 2), minlength=rows * dimensions)
-    sums = sums.reshape(rows, dimensions)
+def _unit_vectors(tokens: pa.Array, dimensions: int) -> pa.Array:
+    rows = len(tokens)
+    encoded = tokens.flatten().dictionary_encode()
+    hashed = [_signed_bucket(word, dimensions) for word in encoded.dictionary.to_pylist()]
+    bucket = np.array([b for b, _ in hashed], dtype=np.int64)
+    sign = np.array([s for _, s in hashed], dtype=np.float64)
+    word = encoded.indices.to_numpy(zero_copy_only=False)
+    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    cell = np.repeat(np.arange(rows, dtype=np.int64) * dimensions, lengths) + bucket[word]
+    sums = np.bincount(cell, weights=sign[word], minlength=rows * dimensions).reshape(rows, dimensions)
     norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     unit = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0).astype(np.float32)
     offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * dimensions)

@@ -1,10 +1,14 @@
 """Parquet tables with fixed schemas."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.schemas import TABLES
+from loreloom.session import checkpoint_dir
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -38,6 +42,25 @@ def write_table(rows: DataFrame, path: str, sort_by: tuple[str, ...] = (),
     writer.parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores for costly row work when a scan has fewer splits than cores.
+
+    A large table has more splits than cores and comes back unchanged, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the shared checkpoint folder and read them back: a table several steps
+    scan is computed once, and a lost executor costs no recomputation."""
+    spark = rows.sparkSession
+    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="loreloom-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def as_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """Each row as one JSON text."""
     return rows.select(F.to_json(F.struct("*")).alias(column))

@@ -17,11 +17,10 @@ from loreloom.plans import chat, views
 from loreloom.plans.ingest import embed_chunks, ingest, process_documents
 from loreloom.plans.search import embed_queries, search_chunks, search_requests, semantic_search
 from loreloom.session import checkpoint_dir
+from loreloom.sources.tables import stored
 from loreloom.streaming.ingest import current_chunks, start_ingest
 from loreloom.workload.tables import EPOCH, Tables
 
-AS_OF = F.timestamp_seconds
-
 
 def _as_of():
     """A fixed run time keeps results reproducible."""
@@ -57,7 +56,7 @@ def search_chunks_distance(spark, sf_dir):
     )
 
 
-def _ingested_chunks(t: Tables) -> DataFrame:
+def _embedded(t: Tables) -> DataFrame:
     """Whole documents normalised, chunked and embedded by the default embedder."""
     done = t.documents().withColumn("raw_text", X.normalize_text(F.col("raw_text")))
     chunks = chunking.chunk_documents(done, keep=("owner",)).withColumn(
@@ -65,6 +64,11 @@ def _ingested_chunks(t: Tables) -> DataFrame:
     return embed_chunks(chunks)
 
 
+def _ingested_chunks(t: Tables) -> DataFrame:
+    """The same as a stored table, which searches read several times."""
+    return stored(_embedded(t), "chunks")
+
+
 def _exchanges(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(last question of every conversation, the messages before it)."""
     questions, earlier = chat.pending_questions(t.messages())
@@ -73,7 +77,7 @@ def _exchanges(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def embedded_chunks(spark, sf_dir):
-    chunks = _ingested_chunks(Tables(spark, sf_dir))
+    chunks = _embedded(Tables(spark, sf_dir))
     weight = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x))
     return chunks.select(
         "document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
@@ -390,7 +394,7 @@ def _node_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def graph_nodes_upsert(spark, sf_dir):
-    payloads = Tables(spark, sf_dir).graph_payloads()
+    payloads = stored(Tables(spark, sf_dir).graph_payloads(), "payloads")
     rows = _node_counts(graph.upsert_nodes(payloads, _as_of()), graph.link_nodes(payloads))
     return graph.with_type_check(rows, "node_type", K.NODE_TYPES).select(
         "owner", "title", "node_type", "description", "document_count", "type_ok",
@@ -398,7 +402,7 @@ def graph_nodes_upsert(spark, sf_dir):
 
 
 def graph_edges_upsert(spark, sf_dir):
-    payloads = Tables(spark, sf_dir).graph_payloads()
+    payloads = stored(Tables(spark, sf_dir).graph_payloads(), "payloads")
     nodes, edges = graph.upsert_nodes(payloads, _as_of()), graph.upsert_edges(payloads, _as_of())
     _, titled = views.graph_data(nodes, edges)
     return titled.select(
@@ -408,7 +412,7 @@ def graph_edges_upsert(spark, sf_dir):
 
 def node_detail(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    payloads = t.graph_payloads()
+    payloads = stored(t.graph_payloads(), "payloads")
     detail = graph.node_detail(graph.upsert_nodes(payloads, _as_of()), graph.link_nodes(payloads), t.order_documents())
     ids = F.array_join(F.transform("source_documents", lambda d: d["id"].cast("string")), ",")
     return detail.select("owner", "title", "node_type", "page",
@@ -418,7 +422,7 @@ def node_detail(spark, sf_dir):
 
 
 def _text_payloads(spark, sf_dir) -> DataFrame:
-    return ingest(Tables(spark, sf_dir).documents(), _as_of()).payloads
+    return stored(ingest(Tables(spark, sf_dir).documents(), _as_of()).payloads, "payloads")
 
 
 def entity_nodes(spark, sf_dir):

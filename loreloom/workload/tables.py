@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.operators.sizing import ordered_list
+from loreloom.sources.tables import spread
 
 # 2024-01-01T00:00:00Z, the time the row with id 0 was made.
 EPOCH = 1704067200
@@ -37,7 +38,7 @@ class Tables:
 
     def documents(self) -> DataFrame:
         made = _at(F.col("doc_id"))
-        return self.raw("documents").select(
+        return spread(self.raw("documents")).select(
             F.col("doc_id").alias("id"), F.col("source").alias("owner"),
             F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"),
             F.lit("note").alias("file_type"), F.col("text").alias("raw_text"), F.lit("pending").alias("processing_status"),
@@ -50,7 +51,7 @@ class Tables:
         kinds = F.array(*[F.lit(k) for k in ("note", "txt", "pdf", "docx", "link", "bogus")])
         names = F.array(F.lit(None).cast("string"), F.lit("a.txt"), F.lit("a.PDF"), F.lit("a.bin"))
         made = _at(doc)
-        return self.raw("documents").select(
+        return spread(self.raw("documents")).select(
             doc.alias("id"), F.col("source").alias("owner"),
             F.concat(F.lit("Document "), doc.cast("string")).alias("title"),
             F.element_at(kinds, (doc % 6 + 1).cast("int")).alias("file_type"),
@@ -169,7 +170,7 @@ class Tables:
 
     def order_lines(self) -> DataFrame:
         """One small document per order line: who bought what from whom."""
-        lines = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        lines = spread(self.raw("lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         customers = self.raw("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
         parts = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
