@@ -73,16 +73,20 @@ def search_error(query: Column, limit_text: Column) -> Column:
     )
 
 
+def _url_limit(limit_text: Column) -> Column:
+    return F.coalesce(limit_text, F.lit(str(K.DEFAULT_LIMIT))).try_cast("int")
+
+
 def clamped_limit(limit_text: Column) -> Column:
     """Limit of the document search: 5 when absent, at most 20, null when it is no integer."""
-    return F.least(F.coalesce(limit_text, F.lit(str(K.DEFAULT_LIMIT))).try_cast("int"), F.lit(K.MAX_LIMIT))
+    limit = _url_limit(limit_text)
+    return F.when(limit.isNotNull(), F.least(limit, F.lit(K.MAX_LIMIT)))
 
 
 def clamped_limit_error(limit_text: Column) -> Column:
-    limit = clamped_limit(limit_text)
+    limit = _url_limit(limit_text)
     return _rules(
-        (F.coalesce(limit_text, F.lit(str(K.DEFAULT_LIMIT))).try_cast("int").isNull(), "limit",
-         "limit must be an integer."),
+        (limit.isNull(), "limit", "limit must be an integer."),
         (limit < 0, "limit", "limit must not be negative."),
     )
 
