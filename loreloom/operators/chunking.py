@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions.text import chunk_texts
+from loreloom.operators.sizing import small_frame
 
 
 def chunk_documents(documents: DataFrame, text: str = "raw_text", size: int | None = None,
@@ -39,8 +40,9 @@ def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def replace_chunks(old: DataFrame, new: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks after ``documents`` (id) were reprocessed into ``new``; others keep theirs."""
-    touched = documents.select(F.col("id").alias("document_id")).distinct()
-    return old.join(touched, "document_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    touched = small_frame(documents.select(F.col("id").alias("document_id")).distinct())
+    kept = old if touched is None else old.join(touched, "document_id", "left_anti")
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

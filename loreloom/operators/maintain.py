@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom.functions.tags import normalize_tags
+from loreloom.operators.sizing import broadcast_if_bounded
 
 # Parent table -> [(child table, child's foreign key)].
 FOREIGN_KEYS = {
@@ -27,7 +28,7 @@ def cascade_delete(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     Only keys travel down the foreign keys: each child is anti-joined with the keys its
     parents lost. Tables nothing reaches come back unchanged.
     """
-    lost = {table: [("id", ids.select("id").distinct())]}
+    lost = {table: [("id", broadcast_if_bounded(ids.select("id").distinct()))]}
     left = dict(tables)
     for parent in _PARENTS_FIRST:
         children = [(c, column) for c, column in FOREIGN_KEYS[parent] if c in tables]
@@ -71,7 +72,8 @@ def add_links(links: DataFrame, new: DataFrame) -> DataFrame:
 
 def replace_links(links: DataFrame, new: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Each parent in ``parents`` (column ``key``) gets exactly its rows of ``new``."""
-    return links.join(parents.select(key).distinct(), key, "left_anti").unionByName(new)
+    replaced = broadcast_if_bounded(parents.select(key).distinct())
+    return links.join(replaced, key, "left_anti").unionByName(new)
 
 
 def partial_update(base: DataFrame, patches: DataFrame, columns: list[str], as_of: Column,
@@ -84,7 +86,7 @@ def partial_update(base: DataFrame, patches: DataFrame, columns: list[str], as_o
     key = ["id", "owner"] if owned else ["id"]
     patch = patches.select(*key, F.col("fields").alias("_fields"),
                            *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = base.join(patch, key, "left")
+    joined = base.join(broadcast_if_bounded(patch), key, "left")
 
     def value(column: str) -> Column:
         new = F.col(f"_{column}")

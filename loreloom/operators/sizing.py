@@ -18,6 +18,25 @@ def small_frame(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame |
     return F.broadcast(rows.sparkSession.createDataFrame(head, rows.schema)) if head.num_rows else None
 
 
+def broadcast_if_bounded(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when ``rows`` holds at most ``max_rows`` rows; without it the join shuffles.
+
+    For frames that are cheap to count: stored tables, key lists.
+    """
+    return F.broadcast(rows) if rows.limit(max_rows + 1).count() <= max_rows else rows
+
+
+def attach_pages(parents: DataFrame, pages: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Parents with their pages (id, page, ``column``); a parent without any gets an empty page 0.
+
+    ``keys`` (id) are the parents that have pages. An inner join can split a parent with very many
+    pages, which an outer join could not.
+    """
+    empty = F.array().cast(pages.schema[column].dataType)
+    bare = parents.join(keys, "id", "left_anti").withColumns({"page": F.lit(0).cast("bigint"), column: empty})
+    return pages.join(parents, "id").select(*bare.columns).unionByName(bare)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
                 salts: int = 16, how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys are split over ``salts`` tasks.

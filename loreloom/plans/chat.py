@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from loreloom import constants as K
 from loreloom.functions import prompts
 from loreloom.functions.embedding import Embedder
+from loreloom.functions.text import truncate
 from loreloom.operators.generate import Generator, answer_or_fallback, generate, memory_candidate
 from loreloom.operators.maintain import new_memory_entries, replace_links
 from loreloom.operators.ordering import by_activity
-from loreloom.operators.sizing import exact_rank, ordered_list, page_of_rank
+from loreloom.operators.sizing import (
+    attach_pages, broadcast_if_bounded, exact_rank, ordered_list, page_of_rank, salted_join,
+)
 from loreloom.plans.search import embed_queries, search_chunks
+from loreloom.sources.tables import stored
 
 MESSAGE_PAGE_ROWS = 500
 _NO_MESSAGES = "array<struct<role:string,content:string>>"
@@ -57,8 +61,9 @@ def pending_questions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("conversation_id", F.col("_q.id").alias("exchange_id"), F.col("_q.content").alias("message"),
                 F.struct("_q.created_at", "_q.id").alias("_asked"))
     )
+    asked = questions.select("conversation_id", "_asked")
     earlier = (
-        messages.join(questions.select("conversation_id", "_asked"), "conversation_id")
+        salted_join(messages, asked, ["conversation_id"], F.col("id"))
         .filter(at < F.col("_asked")).select(*messages.columns)
     )
     return questions.drop("_asked"), earlier
@@ -122,8 +127,10 @@ def record_exchanges(answered: DataFrame, conversations: DataFrame, messages: Da
 
     ``answered``: exchange_id, owner, conversation_id, title (for new conversations), message,
     answer, sources, user_message_id, assistant_message_id. Sources go to the assistant message,
-    the user message gets none, and the conversations' updated_at moves.
+    the user message gets none, and the conversations' updated_at moves. The exchanges are stored
+    first, so that a model is asked once and all tables get the same answer.
     """
+    answered = stored(answered, "answered")
     said = answered.select(
         F.explode(F.array(
             F.struct(F.col("user_message_id").alias("id"), F.lit("user").alias("role"),
@@ -139,8 +146,8 @@ def record_exchanges(answered: DataFrame, conversations: DataFrame, messages: Da
     written = answered.select(F.explode(F.array("user_message_id", "assistant_message_id")).alias("message_id"))
 
     touched = answered.groupBy("conversation_id", "owner").agg(F.first("title").alias("title"))
-    known = conversations.join(
-        touched.select(F.col("conversation_id").alias("id"), F.lit(True).alias("_touched")), "id", "left"
+    known = conversations.join(broadcast_if_bounded(
+        touched.select(F.col("conversation_id").alias("id"), F.lit(True).alias("_touched"))), "id", "left"
     ).withColumn("updated_at", F.when(F.col("_touched"), as_of).otherwise(F.col("updated_at"))).drop("_touched")
     opened = touched.withColumnRenamed("conversation_id", "id").join(conversations.select("id"), "id", "left_anti") \
         .select("id", "owner", F.coalesce("title", F.lit("")).alias("title"),
@@ -170,8 +177,6 @@ def message_sources(messages: DataFrame, message_chunks: DataFrame, chunks: Data
     The stored score is returned; ``legacy_zero_score`` shows 0.0, as a history that does not
     keep scores would.
     """
-    from loreloom.functions.text import truncate
-
     assistant = messages.filter(F.col("role") == "assistant").select(F.col("id").alias("message_id"))
     texts = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "content")
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
@@ -208,7 +213,4 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame, sources:
         .agg(ordered_list(item, F.col("seq")).alias("messages"))
         .withColumnRenamed("conversation_id", "id")
     )
-    none = F.array().cast(pages.schema["messages"].dataType)
-    return conversations.join(pages, "id", "left").withColumns({
-        "page": F.coalesce("page", F.lit(0)), "messages": F.coalesce("messages", none),
-    })
+    return attach_pages(conversations, pages, messages.select(F.col("conversation_id").alias("id")), "messages")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from loreloom import constants as K
 from loreloom.functions.embedding import Embedder, HashingEmbedder
 from loreloom.functions.text import prefix
+from loreloom.operators import graph
 from loreloom.operators.chunking import chunk_documents, chunk_id, replace_chunks
 from loreloom.operators.generate import capitalised_phrases
 from loreloom.sources.extraction import extract_text
+from loreloom.sources.tables import stored
 
 NO_CHUNKS = "Document text did not produce any chunks."
 
@@ -75,6 +77,26 @@ def ingest(documents: DataFrame, as_of: Column, embedder: Embedder | None = None
     return Ingested(done.drop("content"), chunks, payloads)
 
 
+@dataclass
+class Graph:
+    nodes: DataFrame
+    links: DataFrame
+    edges: DataFrame
+
+
+def upsert_graph(payloads: DataFrame, as_of: Column, nodes: DataFrame | None = None, links: DataFrame | None = None,
+                 edges: DataFrame | None = None, strict: bool = False) -> Graph:
+    """Graph tables after the payloads. Payloads are stored first: a model is asked once per
+    document, and the three tables read the same reply."""
+    payloads = stored(payloads, "payloads")
+    after = graph.upsert_nodes(payloads, as_of, nodes, strict)
+    return Graph(
+        after,
+        graph.link_nodes(payloads, links, strict, None if nodes is None else after),
+        graph.upsert_edges(payloads, as_of, nodes, edges, strict),
+    )
+
+
 def reprocess(old_chunks: DataFrame, documents: DataFrame, as_of: Column, **options) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) after reprocessing ``documents``; failures leave old chunks in place."""
     result = ingest(documents, as_of, extractor=None, **options)

@@ -8,8 +8,13 @@ from loreloom.functions.embedding import Embedder, HashingEmbedder
 from loreloom.functions.text import is_blank, strip
 from loreloom.functions.vectors import similarity_from_distance
 from loreloom.operators.chunking import with_document
+from loreloom.operators.sizing import broadcast_if_bounded
 from loreloom.operators.topk import approximate_topk, cosine_topk
 from loreloom.operators.validation import search_error, search_limit, search_query
+from loreloom.sources.tables import stored
+
+# About 50 bytes each.
+HIT_BROADCAST_ROWS = 1_000_000
 
 
 def embed_queries(queries: DataFrame, embedder: Embedder | None = None) -> DataFrame:
@@ -30,8 +35,9 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k
                   *, approximate: dict | None = None, include_zero: bool = False) -> DataFrame:
     """k nearest chunks of the query's owner, with raw cosine ``distance``.
 
-    ``queries``: query_id, owner, vector, optionally k. Only ids and vectors are scored; text
-    and titles are joined to the k winners afterwards.
+    ``queries``: query_id, owner, vector, optionally k. Only ids and vectors are scored. The
+    winners are stored, so that their number is known when text and titles are joined to them: a
+    few are broadcast to the chunk scan, and chunk text is shuffled only for very many.
     """
     owned = with_owner(chunks.select(*[c for c in ("id", "document_id", "owner", "embedding")
                                        if c in chunks.columns]), documents)
@@ -40,8 +46,9 @@ def search_chunks(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k
         hits = approximate_topk(queries, vectors, k, include_zero=include_zero, **approximate)
     else:
         hits = cosine_topk(queries, vectors, k, include_zero=include_zero)
+    hits = broadcast_if_bounded(stored(hits, "hits"), HIT_BROADCAST_ROWS)
     texts = chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", "content")
-    return with_document(hits.join(texts, "chunk_id"), documents).select(
+    return with_document(texts.join(hits, "chunk_id"), documents).select(
         "query_id", "owner", "rank", "document_id", "document_title", "chunk_id", "chunk_index",
         "content", "distance",
     )

@@ -12,7 +12,7 @@ from loreloom.operators.generate import Generator, generate
 from loreloom.operators.graph import edges_with_titles
 from loreloom.operators.maintain import goal_progress
 from loreloom.operators.ordering import alphabetical, newest_first, newest_per, pinned_first
-from loreloom.operators.sizing import ordered_list, page_of_id
+from loreloom.operators.sizing import attach_pages, ordered_list, page_of_id
 
 DOCUMENT_LIST = [
     "id", "owner", "title", "file", "file_type", "source_url", "raw_text_preview", "processing_status",
@@ -103,10 +103,7 @@ def notes_view(notes: DataFrame, links: DataFrame, page_rows: int = LINK_PAGE_RO
         .agg(F.array_sort(F.collect_set("document_id")).alias("related_documents"))
         .withColumnRenamed("note_id", "id")
     )
-    return notes.join(pages, "id", "left").withColumns({
-        "page": F.coalesce("page", F.lit(0)),
-        "related_documents": F.coalesce("related_documents", F.array().cast("array<bigint>")),
-    })
+    return attach_pages(notes, pages, links.select(F.col("note_id").alias("id")), "related_documents")
 
 
 def tasks_view(tasks: DataFrame) -> DataFrame:

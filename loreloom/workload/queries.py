@@ -3,20 +3,19 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreloom import constants as K
 from loreloom.functions import text as X
-from loreloom.functions.embedding import HashingEmbedder
 from loreloom.functions.tags import normalize_tags, tags_from_text, tags_to_text
-from loreloom.functions.vectors import similarity_from_distance
 from loreloom.operators import chunking, filters, graph, maintain, validation
 from loreloom.operators.topk import approximate_topk
 from loreloom.plans import chat, views
-from loreloom.plans.ingest import embed_chunks, ingest, process_documents
+from loreloom.plans.ingest import embed_chunks, ingest, process_documents, upsert_graph
 from loreloom.plans.search import embed_queries, search_chunks, search_requests, semantic_search
 from loreloom.session import checkpoint_dir
+from loreloom.sources.extraction import extract_text
 from loreloom.sources.tables import stored
 from loreloom.streaming.ingest import current_chunks, start_ingest
 from loreloom.workload.tables import EPOCH, Tables
@@ -135,8 +134,6 @@ def normalize_text(spark, sf_dir):
 
 def txt_extract(spark, sf_dir):
     """Document bytes read as text files."""
-    from loreloom.sources.extraction import extract_text
-
     files = Tables(spark, sf_dir).document_inputs().withColumn("file_type", F.lit("txt"))
     return extract_text(files, {}).select("id", F.md5("text").alias("text_md5"), "error")
 
@@ -394,17 +391,16 @@ def _node_counts(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def graph_nodes_upsert(spark, sf_dir):
-    payloads = stored(Tables(spark, sf_dir).graph_payloads(), "payloads")
-    rows = _node_counts(graph.upsert_nodes(payloads, _as_of()), graph.link_nodes(payloads))
+    g = upsert_graph(Tables(spark, sf_dir).graph_payloads(), _as_of())
+    rows = _node_counts(g.nodes, g.links)
     return graph.with_type_check(rows, "node_type", K.NODE_TYPES).select(
         "owner", "title", "node_type", "description", "document_count", "type_ok",
         X.node_label(F.col("title"), F.col("node_type")).alias("label"))
 
 
 def graph_edges_upsert(spark, sf_dir):
-    payloads = stored(Tables(spark, sf_dir).graph_payloads(), "payloads")
-    nodes, edges = graph.upsert_nodes(payloads, _as_of()), graph.upsert_edges(payloads, _as_of())
-    _, titled = views.graph_data(nodes, edges)
+    g = upsert_graph(Tables(spark, sf_dir).graph_payloads(), _as_of())
+    _, titled = views.graph_data(g.nodes, g.edges)
     return titled.select(
         "owner", "source_title", "target_title", "relationship_type", "relationship_label", "description", "weight",
         X.edge_label(F.col("source_title"), F.col("relationship_type"), F.col("target_title")).alias("label"))
@@ -412,29 +408,27 @@ def graph_edges_upsert(spark, sf_dir):
 
 def node_detail(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    payloads = stored(t.graph_payloads(), "payloads")
-    detail = graph.node_detail(graph.upsert_nodes(payloads, _as_of()), graph.link_nodes(payloads), t.order_documents())
+    g = upsert_graph(t.graph_payloads(), _as_of())
+    detail = graph.node_detail(g.nodes, g.links, t.order_documents())
     ids = F.array_join(F.transform("source_documents", lambda d: d["id"].cast("string")), ",")
     return detail.select("owner", "title", "node_type", "page",
                          F.size("source_documents").cast("bigint").alias("document_count"),
                          F.md5(ids).alias("document_ids_md5"),
-                         F.element_at("source_documents", 1)["title"].alias("first_document"))
+                         F.get("source_documents", F.lit(0))["title"].alias("first_document"))
 
 
-def _text_payloads(spark, sf_dir) -> DataFrame:
-    return stored(ingest(Tables(spark, sf_dir).documents(), _as_of()).payloads, "payloads")
+def _text_graph(spark, sf_dir):
+    return upsert_graph(ingest(Tables(spark, sf_dir).documents(), _as_of()).payloads, _as_of())
 
 
 def entity_nodes(spark, sf_dir):
-    payloads = _text_payloads(spark, sf_dir)
-    return _node_counts(graph.upsert_nodes(payloads, _as_of()), graph.link_nodes(payloads)).select(
-        "owner", "title", "node_type", "document_count")
+    g = _text_graph(spark, sf_dir)
+    return _node_counts(g.nodes, g.links).select("owner", "title", "node_type", "document_count")
 
 
 def entity_edges(spark, sf_dir):
-    payloads = _text_payloads(spark, sf_dir)
-    nodes, edges = graph.upsert_nodes(payloads, _as_of()), graph.upsert_edges(payloads, _as_of())
-    return graph.edges_with_titles(edges, nodes).select(
+    g = _text_graph(spark, sf_dir)
+    return graph.edges_with_titles(g.edges, g.nodes).select(
         "owner", "source_title", "target_title", "relationship_type", "weight")
 
 
