@@ -181,12 +181,13 @@ def _signatures(dimensions: int, tables: int, bits: int, seed: int):
 
 
 def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_LIMIT, *,
-                     dimensions: int, on: tuple[str, ...] = ("owner",), tables: int = 8, bits: int = 6,
+                     dimensions: int, on: tuple[str, ...] = ("owner",), tables: int = 4, bits: int = 4,
                      seed: int = 17, include_zero: bool = False) -> DataFrame:
     """Approximate k nearest: a query only meets vectors sharing one of its hyperplane signatures.
 
     Same columns as ``cosine_topk``; candidates are scored exactly, so every distance is right
-    and only recall is approximate.
+    and only recall is approximate. More ``bits`` mean smaller cells, more ``tables`` better recall:
+    let an owner's vectors be several thousand per 2**bits cells.
     """
     signature = _signatures(dimensions, tables, bits, seed)
 

@@ -19,7 +19,7 @@ DOCUMENTS = _table(
     ("extracted_at", _ts), ("source_checksum", _str), ("created_at", _ts), ("updated_at", _ts),
 )
 DOCUMENT_CHUNKS = _table(
-    ("id", _str), ("document_id", _long), ("chunk_index", _int), ("content", _str),
+    ("id", _str), ("owner", _str), ("document_id", _long), ("chunk_index", _int), ("content", _str),
     ("embedding", VECTOR), ("created_at", _ts),
 )
 CONVERSATIONS = _table(
