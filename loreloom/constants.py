@@ -66,3 +66,42 @@ TASK_PRIORITIES = {"low": "Low", "medium": "Medium", "high": "High"}
 # Types accepted on upload, and the suffixes file-backed types need.
 UPLOAD_TYPES = ("note", "pdf", "txt", "link")
 UPLOAD_SUFFIXES = {"pdf": ".pdf", "txt": ".txt"}
+
+# Messages of refused uploads. {TYPE} is the upper-case file type.
+BAD_TYPE = "Supported MVP types are note, pdf, txt, and link."
+TOO_LARGE = "File is too large for MVP ingestion."
+NOTE_WITHOUT_TEXT = "Notes require text content."
+FILE_MISSING = " documents require a file."
+WRONG_SUFFIX_START = "Expected a "
+WRONG_SUFFIX_END = " file."
+LINK_WITHOUT_URL = "Links require a source URL."
+
+# Messages of failed extraction and processing.
+EMPTY_NOTE = "Note is empty."
+EMPTY_TXT = "Text file is empty."
+EMPTY_PDF = "No selectable text found in this PDF."
+EMPTY_DOCX = "DOCX file contains no selectable text."
+LINK_UNSUPPORTED = "Link extraction is not implemented in this MVP yet."
+UNSUPPORTED_TYPE = "Unsupported document type: "
+NO_CHUNKS = "Document text did not produce any chunks."
+
+# Messages of other refused requests.
+TITLE_REQUIRED = "Title is required."
+CONTENT_REQUIRED = "Content is required."
+FIELD_REQUIRED = "This field is required."
+FIELD_BLANK = "This field may not be blank."
+INTEGER_REQUIRED = "A valid integer is required."
+LIMIT_NOT_INTEGER = "limit must be an integer."
+
+# Placeholders and answer text of a chat exchange.
+NO_HISTORY = "No previous messages."
+NO_CONTEXT = "No relevant context retrieved."
+NO_SOURCES_ANSWER = (
+    "I could not find relevant processed document chunks for this question. "
+    "Upload or reprocess documents, then try again."
+)
+ANSWER_START = 'Based on the retrieved document context for "'
+ANSWER_MIDDLE = '", the most relevant evidence is in '
+HISTORY_HEADING = "Conversation history:\n"
+CONTEXT_HEADING = "Retrieved context:\n"
+QUESTION_HEADING = "User question:\n"

@@ -14,12 +14,6 @@ SYSTEM_TEXT = (
     "Answer strictly from the numbered sources below and mark every claim with its "
     "label, such as [S1]. When the sources do not hold the answer, name what is missing."
 )
-NO_HISTORY = "No previous messages."
-NO_CONTEXT = "No relevant context retrieved."
-NO_SOURCES_ANSWER = (
-    "I could not find relevant processed document chunks for this question. "
-    "Upload or reprocess documents, then try again."
-)
 SOURCE_TYPE = (
     "array<struct<document_id:bigint,document_title:string,chunk_id:string,chunk_index:int,"
     "content:string,score:double,similarity_score:double>>"
@@ -65,9 +59,9 @@ def history_text(messages: Column) -> Column:
 
 def user_prompt(question: Column, context: Column, history: Column) -> Column:
     return F.concat(
-        F.lit("Conversation history:\n"), default_if_empty(history, NO_HISTORY),
-        F.lit("\n\nRetrieved context:\n"), default_if_empty(context, NO_CONTEXT),
-        F.lit("\n\nUser question:\n"), question,
+        F.lit(K.HISTORY_HEADING), default_if_empty(history, K.NO_HISTORY),
+        F.lit("\n\n" + K.CONTEXT_HEADING), default_if_empty(context, K.NO_CONTEXT),
+        F.lit("\n\n" + K.QUESTION_HEADING), question,
     )
 
 
@@ -96,10 +90,10 @@ def fallback_answer(question: Column, sources: Column) -> Column:
         "\n\n",
     )
     found = F.concat(
-        F.lit('Based on the retrieved document context for "'), question,
-        F.lit('", the most relevant evidence is in '), labels, F.lit(".\n\n"), excerpts,
+        F.lit(K.ANSWER_START), question,
+        F.lit(K.ANSWER_MIDDLE), labels, F.lit(".\n\n"), excerpts,
     )
-    return F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.lit(NO_SOURCES_ANSWER)).otherwise(found)
+    return F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.lit(K.NO_SOURCES_ANSWER)).otherwise(found)
 
 
 def conversation_title(message: Column) -> Column:

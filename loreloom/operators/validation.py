@@ -30,22 +30,22 @@ def document_error(file_type: Column, file_name: Column, file_size: Column, raw_
     no_file = file_name.isNull() | (file_name == "")
     return _rules(
         (file_type.isNull() | ~file_type.isin(*allowed), "file_type",
-         "Supported MVP types are note, pdf, txt, and link."),
-        (~no_file & (file_size > K.MAX_UPLOAD_BYTES), "file", "File is too large for MVP ingestion."),
-        ((file_type == "note") & is_blank(raw_text), "raw_text", "Notes require text content."),
-        (backed & no_file, "file", F.concat(F.upper(file_type), F.lit(" documents require a file."))),
-        (backed & wrong_suffix, "file", F.concat(F.lit("Expected a "), F.upper(file_type), F.lit(" file."))),
+         K.BAD_TYPE),
+        (~no_file & (file_size > K.MAX_UPLOAD_BYTES), "file", K.TOO_LARGE),
+        ((file_type == "note") & is_blank(raw_text), "raw_text", K.NOTE_WITHOUT_TEXT),
+        (backed & no_file, "file", F.concat(F.upper(file_type), F.lit(K.FILE_MISSING))),
+        (backed & wrong_suffix, "file", F.concat(F.lit(K.WRONG_SUFFIX_START), F.upper(file_type), F.lit(K.WRONG_SUFFIX_END))),
         ((file_type == "link") & (F.coalesce(source_url, F.lit("")) == ""), "source_url",
-         "Links require a source URL."),
+         K.LINK_WITHOUT_URL),
     )
 
 
 def memory_error(title: Column, content: Column, category: Column, tags: Column) -> Column:
     return _rules(
-        (is_blank(title), "title", "Title is required."),
+        (is_blank(title), "title", K.TITLE_REQUIRED),
         (F.length(strip(title)) > K.MEMORY_TITLE_CHARS, "title",
          f"Ensure this field has no more than {K.MEMORY_TITLE_CHARS} characters."),
-        (is_blank(content), "content", "Content is required."),
+        (is_blank(content), "content", K.CONTENT_REQUIRED),
         (category.isNotNull() & ~category.isin(*K.MEMORY_CATEGORIES), "category",
          F.concat(F.lit('"'), category, F.lit('" is not a valid choice.'))),
         (any_tag_too_long(tags), "tags", f"Ensure this field has no more than {K.TAG_CHARS} characters."),
@@ -66,8 +66,8 @@ def search_limit(body_limit: Column, url_limit: Column) -> Column:
 def search_error(query: Column, limit_text: Column) -> Column:
     limit = limit_text.try_cast("int")
     return _rules(
-        (F.coalesce(query, F.lit("")) == "", "query", "This field may not be blank."),
-        (limit.isNull(), "limit", "A valid integer is required."),
+        (F.coalesce(query, F.lit("")) == "", "query", K.FIELD_BLANK),
+        (limit.isNull(), "limit", K.INTEGER_REQUIRED),
         (limit < 1, "limit", "Ensure this value is greater than or equal to 1."),
         (limit > K.MAX_LIMIT, "limit", f"Ensure this value is less than or equal to {K.MAX_LIMIT}."),
     )
@@ -86,7 +86,7 @@ def clamped_limit(limit_text: Column) -> Column:
 def clamped_limit_error(limit_text: Column) -> Column:
     limit = _url_limit(limit_text)
     return _rules(
-        (limit.isNull(), "limit", "limit must be an integer."),
+        (limit.isNull(), "limit", K.LIMIT_NOT_INTEGER),
         (limit < 0, "limit", "limit must not be negative."),
     )
 
@@ -94,8 +94,8 @@ def clamped_limit_error(limit_text: Column) -> Column:
 def chat_error(message: Column, conversation_id: Column) -> Column:
     trimmed = F.coalesce(strip(message), F.lit(""))
     return _rules(
-        (message.isNull(), "message", "This field is required."),
-        (trimmed == "", "message", "This field may not be blank."),
+        (message.isNull(), "message", K.FIELD_REQUIRED),
+        (trimmed == "", "message", K.FIELD_BLANK),
         (F.length(trimmed) > K.MAX_MESSAGE_CHARS, "message",
          f"Ensure this field has no more than {K.MAX_MESSAGE_CHARS} characters."),
         (conversation_id < 1, "conversation_id", "Ensure this value is greater than or equal to 1."),

@@ -15,8 +15,6 @@ from loreloom.operators.generate import capitalised_phrases
 from loreloom.sources.extraction import extract_text
 from loreloom.sources.tables import stored
 
-NO_CHUNKS = "Document text did not produce any chunks."
-
 
 @dataclass
 class Ingested:
@@ -33,7 +31,7 @@ def process_documents(documents: DataFrame, as_of: Column, decoders: dict | None
     """
     found = extract_text(documents, decoders)
     # A normalised text without words cannot exist, so no text means no chunks.
-    error = F.coalesce(F.col("error"), F.when(F.col("text").isNull(), NO_CHUNKS))
+    error = F.coalesce(F.col("error"), F.when(F.col("text").isNull(), K.NO_CHUNKS))
     failed = error.isNotNull()
 
     def on_success(new: Column, column: str, kind: str) -> Column:

@@ -5,11 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loreloom import constants as K
 from loreloom.functions.text import decode_utf8, normalize_text
 from loreloom.sources.files import decoder_column, docx_lines
 
-LINK_ERROR = "Link extraction is not implemented in this MVP yet."
-
 
 def extract_text(documents: DataFrame, decoders: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """Adds ``text`` and ``error``, one of them null.
@@ -33,13 +32,13 @@ def extract_text(documents: DataFrame, decoders: dict[str, Callable[[bytes], str
     plain = finish(
         documents.filter(kind.isNull() | ~kind.isin(*decoded_here)) if decoded_here else documents,
         F.when(kind == "note", F.col("raw_text")).when(kind == "txt", file_text),
-        F.when(kind == "link", LINK_ERROR).when(
+        F.when(kind == "link", K.LINK_UNSUPPORTED).when(
             kind.isNull() | ~kind.isin("note", "txt"),
-            F.concat(F.lit("Unsupported document type: "), F.coalesce(kind, F.lit("None"))),
+            F.concat(F.lit(K.UNSUPPORTED_TYPE), F.coalesce(kind, F.lit("None"))),
         ),
-        F.when(kind == "note", "Note is empty.").otherwise("Text file is empty."),
+        F.when(kind == "note", K.EMPTY_NOTE).otherwise(K.EMPTY_TXT),
     )
-    empties = {"pdf": "No selectable text found in this PDF.", "docx": "DOCX file contains no selectable text."}
+    empties = {"pdf": K.EMPTY_PDF, "docx": K.EMPTY_DOCX}
     for name in decoded_here:
         failure = f"Failed to extract {name.upper()} text"
         rows = documents.filter(kind == name).withColumn(

@@ -1,9 +1,9 @@
 """SQL giving the same result as each registered query, for checking."""
 
 from loreloom.constants import (
-    CHUNK_OVERLAP, CHUNK_SIZE, CONTEXT_CHARS, EMBEDDING_DIMENSIONS, EXCERPT_CHARS, HISTORY_CHARS, SOURCE_CHARS,
+    CHUNK_OVERLAP, CHUNK_SIZE, CONTEXT_CHARS, EMBEDDING_DIMENSIONS, EXCERPT_CHARS, HISTORY_CHARS, NO_CONTEXT, NO_HISTORY,
+    NO_SOURCES_ANSWER, SOURCE_CHARS,
 )
-from loreloom.functions.prompts import NO_CONTEXT, NO_HISTORY, NO_SOURCES_ANSWER
 from loreloom.workload.tables import EPOCH
 
 _AS_OF = EPOCH + 400 * 86400

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from loreloom.functions import prompts
+from loreloom import constants as K
 from loreloom.functions.embedding import HashingEmbedder
 from loreloom.plans import chat, search
 
@@ -94,7 +94,7 @@ def test_whole_exchange(spark, library, as_of):
     assert one.prompt[1].content.endswith("User question:\nhello world")
     assert one.answer.startswith('Based on the retrieved document context for "hello world", the most relevant evidence is in [S1], [S2].')
     assert "[S1] Ada Notes: hello world test" in one.answer
-    assert two.answer == prompts.NO_SOURCES_ANSWER and two.sources == []
+    assert two.answer == K.NO_SOURCES_ANSWER and two.sources == []
     assert two.prompt[1].content == ("Conversation history:\nNo previous messages.\n\nRetrieved context:\n"
                                      "No relevant context retrieved.\n\nUser question:\nanything")
 
@@ -102,7 +102,7 @@ def test_whole_exchange(spark, library, as_of):
         return lambda text: "" if "anything" in text else "model says"
 
     modelled = {r.exchange_id: r.answer for r in chat.answer(context, load).collect()}
-    assert modelled == {1: "model says", 2: prompts.NO_SOURCES_ANSWER}
+    assert modelled == {1: "model says", 2: K.NO_SOURCES_ANSWER}
 
     answered = chat.answer(context).withColumns({
         "title": F.lit("new talk"), "user_message_id": F.col("exchange_id") * 10,

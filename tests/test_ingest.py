@@ -4,12 +4,13 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from loreloom import constants as K
 from loreloom.functions.embedding import HashingEmbedder
 from loreloom.operators import chunking
 from loreloom.plans.ingest import ingest, reprocess
 from loreloom.session import checkpoint_dir
 from loreloom.sources import tables
-from loreloom.sources.extraction import LINK_ERROR, extract_text
+from loreloom.sources.extraction import extract_text
 from loreloom.sources.files import read_files
 from loreloom.streaming import ingest as stream
 
@@ -65,7 +66,7 @@ def test_extraction_by_type(uploads):
         "e.pdf": (None, "No selectable text found in this PDF."),
         "note": ("a\nb", None),
         "none": (None, "Note is empty."),
-        "link": (None, LINK_ERROR),
+        "link": (None, K.LINK_UNSUPPORTED),
         "odd": (None, "Unsupported document type: odd"),
         "null": (None, "Unsupported document type: None"),
     }
