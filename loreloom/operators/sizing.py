@@ -33,7 +33,7 @@ def attach_pages(parents: DataFrame, pages: DataFrame, keys: DataFrame, column:
     pages, which an outer join could not.
     """
     empty = F.array().cast(pages.schema[column].dataType)
-    bare = parents.join(keys, "id", "left_anti").withColumns({"page": F.lit(0).cast("bigint"), column: empty})
+    bare = parents.join(keys.distinct(), "id", "left_anti").withColumns({"page": F.lit(0).cast("bigint"), column: empty})
     return pages.join(parents, "id").select(*bare.columns).unionByName(bare)
 
 
