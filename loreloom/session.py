@@ -1,5 +1,7 @@
 """Session settings this package relies on, for callers without a configured session."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -31,3 +33,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def checkpoint_dir(spark: SparkSession, default: str | None = None) -> str | None:
     """The shared folder the cluster names; ``default`` only where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or default
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. A folder of this machine stands in only in local mode."""
+    named = checkpoint_dir(spark)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    return tempfile.mkdtemp(prefix="loreloom-")

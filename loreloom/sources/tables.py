@@ -1,6 +1,5 @@
 """Parquet tables with fixed schemas."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreloom.schemas import TABLES
-from loreloom.session import checkpoint_dir
+from loreloom.session import shared_folder
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -55,8 +54,7 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     """Write ``rows`` to the shared checkpoint folder and read them back: a table several steps
     scan is computed once, and a lost executor costs no recomputation."""
     spark = rows.sparkSession
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="loreloom-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     rows.write.mode("errorifexists").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

@@ -1,6 +1,5 @@
 """One function per registered query: (spark, sf_dir) -> DataFrame."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from loreloom.operators.topk import approximate_topk
 from loreloom.plans import chat, views
 from loreloom.plans.ingest import embed_chunks, ingest, process_documents, upsert_graph
 from loreloom.plans.search import embed_queries, search_chunks, search_requests, semantic_search
-from loreloom.session import checkpoint_dir
+from loreloom.session import shared_folder
 from loreloom.sources.extraction import extract_text
 from loreloom.sources.tables import stored
 from loreloom.streaming.ingest import current_chunks, start_ingest
@@ -237,8 +236,7 @@ def facets(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """chunk_documents through the streaming job: files in, batch folders out, current state read back."""
-    base = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="loreloom-")
-    out = f"{base}/stream_ingest-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream_ingest-{uuid.uuid4().hex}"
     t = Tables(spark, sf_dir)
     source = spark.readStream.schema(t.raw("documents").schema).parquet(f"{t.sf_dir}/documents.parquet*")
     made = F.timestamp_seconds(F.lit(EPOCH) + F.col("doc_id") * 60)
