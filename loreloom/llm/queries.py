@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loreloom.llm.common import table
+from loreloom.llm.langid import predict_languages
 from loreloom.llm.simhash import near_duplicates
 
 
+def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_gru": op2_byte_gru,
     "op9_simhash_trie": op9_simhash_trie,
 }
 
