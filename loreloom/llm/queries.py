@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loreloom.llm.common import table
 from loreloom.llm.langid import predict_languages
 from loreloom.llm.simhash import near_duplicates
+from loreloom.llm.weighted_sampling import fingerprint_documents
 
 
 def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,14 @@ def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_gru": op2_byte_gru,
     "op9_simhash_trie": op9_simhash_trie,
+    "op10_weighted_sampling": op10_weighted_sampling,
 }
 
 ORACLE: dict[str, str] = {}
