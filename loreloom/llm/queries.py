@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loreloom.llm.bm25 import contaminated
 from loreloom.llm.common import table
 from loreloom.llm.langid import predict_languages
 from loreloom.llm.simhash import near_duplicates
@@ -16,6 +17,10 @@ def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -26,6 +31,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_gru": op2_byte_gru,
+    "op5_bm25_wand": op5_bm25_wand,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_weighted_sampling": op10_weighted_sampling,
 }
