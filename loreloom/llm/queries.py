@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loreloom.llm.bm25 import contaminated
 from loreloom.llm.common import table
 from loreloom.llm.langid import predict_languages
+from loreloom.llm.packing import pack_documents
 from loreloom.llm.simhash import near_duplicates
 from loreloom.llm.weighted_sampling import fingerprint_documents
 
@@ -21,6 +22,10 @@ def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -32,6 +37,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_gru": op2_byte_gru,
     "op5_bm25_wand": op5_bm25_wand,
+    "op7_grouping_ga": op7_grouping_ga,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_weighted_sampling": op10_weighted_sampling,
 }
