@@ -40,16 +40,21 @@ def text_batches(batch, column: str, most_chars: int = 4_000_000) -> Iterator[tu
 
 
 class remembered(dict):
-    """A dict that computes missing values and starts over when it holds ``most`` of them."""
+    """A dict that computes missing values. It holds ``most`` of them, and as many older ones: when it is full, the
+    values not asked for since it was last full are forgotten."""
 
     def __init__(self, compute, most: int):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 

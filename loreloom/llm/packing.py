@@ -6,6 +6,7 @@ import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,10 @@ def default_tokenizer() -> str:
 
 class Tokenizer:
     """Token ids of texts. Merges and normal forms never reach across a blank or a line break, so a text's ids are those of
-    its stretches between them, and those of frequent stretches are remembered."""
+    its stretches between them, and those of frequent stretches are remembered. Nor do they reach from letters to the
+    marks after them, and letters are lower-cased one by one: so a Latin word is looked up without its marks and capital."""
+
+    MARKS = ".,;:!?$%#&*"
 
     def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer as Model
@@ -39,6 +43,12 @@ class Tokenizer:
         self.known = remembered(self._encode, remember)
 
     def _encode(self, stretch: str) -> bytes:
+        core = stretch.rstrip(self.MARKS)
+        if core and core.isalpha() and max(core) < "\u0250" and len(core.lower()) == len(core):
+            plain = core[0].lower() + core[1:] if "A" <= core[0] <= "Z" else core
+            if plain != stretch:
+                marks = stretch[len(core):]
+                return self.known[plain] + (self.known[marks] if marks else b"")
         return np.array(self.model.encode(stretch, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
@@ -46,6 +56,12 @@ class Tokenizer:
         return np.frombuffer(b"".join([known[x] for x in text.replace("\n", " ").split(" ") if x]), "<u4")
 
 
+@cache
+def shared_tokenizer(path: str) -> Tokenizer:
+    """One for all tasks of a worker process, so that what it remembers outlives a task."""
+    return Tokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document: its ids and the end id 0, cut every ``capacity`` ids.
 
@@ -53,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        model = Tokenizer(path)
+        model = shared_tokenizer(path)
         for batch in batches:
             identifiers = batch.column(0)
             for start, texts in text_batches(batch, "text"):

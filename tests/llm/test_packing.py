@@ -10,7 +10,7 @@ from loreloom.llm.packing import (CAPACITY, Tokenizer, best_fit, crossover, defa
                                   pack_documents)
 
 TEXTS = ["", None, "A plain text.", "  two  blanks\n\n\nand\tlines\r\n", "É ü ñ ß İstanbul don't it's 'll ", "<|endoftext|>x <|startoftext|>",
-         "a b c\u0085d\x1ce", "é ́x ﬁ 日本語 🙂", "word " * 5000, "x" * 9000, "퟿ 123 4.5e6 $$$ ### a_b"]
+         "a b c\u0085d\x1ce", "é ́x ﬁ 日本語 🙂", "word " * 5000, "x" * 9000, "Él's Éa, ÀB!! Aa. aA ǅ. a.b, İ. ŉ ß$$ d' d. ...", "퟿ 123 4.5e6 $$$ ### a_b"]
 
 
 def test_ids_are_those_of_the_whole_text():
