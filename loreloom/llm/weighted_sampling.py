@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreloom.llm.common import column_or_null, remembered, stored, word_hash
+from loreloom.llm.common import column_or_null, stored, word_hash
 
-SAMPLES = 128
-_WORD = re.compile(r"\S+")
+SAMPLES = 64
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of unsigned 64-bit numbers (the finaliser of the splitmix generator)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A bijective scrambling of unsigned 64-bit numbers (the finaliser of the splitmix generator), in place."""
+    shifted = x >> np.uint64(30)
+    x ^= shifted
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, np.uint64(27), out=shifted)
+    x ^= shifted
+    x *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(x, np.uint64(31), out=shifted)
+    x ^= shifted
+    return x
+
+
+def _gamma_quantiles(levels: int = 65_536) -> np.ndarray:
+    """Quantiles of Gamma(2, 1) in the middle of each of ``levels`` equal shares, by Newton's method."""
+    share = (np.arange(levels) + 0.5) / levels
+    x = np.sqrt(2 * share) + share  # near, and below the root
+    for _ in range(60):
+        x -= (1 - np.exp(-x) * (1 + x) - share) / (x * np.exp(-x))
+        x = np.maximum(x, 1e-6)
+    return x.astype(np.float32)
+
+
+_GAMMA = _gamma_quantiles()
+_MINUS_LOG = -np.log((np.arange(65_536) + 0.5) / 65_536).astype(np.float32)
 
 
 class Sampler:
@@ -32,47 +49,54 @@ class Sampler:
     (term, t) is the sample: two weighted sets have the same with probability sum min(w) / sum max(w).
     """
 
-    def __init__(self, samples: int = SAMPLES, remember: int = 50_000):
+    def __init__(self, samples: int = SAMPLES):
         self.samples = samples
-        self.steps = (np.arange(5 * samples, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        # Both values are functions of the key: forgetting them changes nothing. Each holds 4 to 8 bytes a sample.
-        self.drawn = remembered(self._draw, remember)
-
-    def _draw(self, key: tuple[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(ln a, 16-bit code of (term, t)) of every sample, for a term with a whole-number weight."""
-        term, weight = key
-        hashed = np.uint64(word_hash(term))
-        with np.errstate(over="ignore"):
-            u = (_mixed(hashed + self.steps) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-            u = u.reshape(5, self.samples)
-            r, c, b = -np.log(u[0] * u[1]), -np.log(u[2] * u[3]), u[4]
-            t = np.floor(np.log(weight) / r + b)
-            code = _mixed(hashed ^ _mixed(t.astype(np.int64).view(np.uint64) + self.steps[:self.samples]))
-        return (np.log(c) - r * (t - b) - r).astype(np.float32), (code >> np.uint64(48)).astype(np.uint16)
+        self.steps = (np.arange(samples, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
+    def _least(self, hashes: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least ln a of every sample over the given terms, and the 16-bit code of its (term, t).
+
+        The 64 bits of a term and sample are four uniform numbers: one for r, through its quantiles, two for c, one for b."""
+        bits = _mixed(hashes[:, None] + self.steps).view(np.uint16).reshape(len(hashes), self.samples, 4)
+        r = _GAMMA.take(bits[..., 0])
+        c = _MINUS_LOG.take(bits[..., 1])
+        c += _MINUS_LOG.take(bits[..., 2])
+        b = bits[..., 3] * np.float32(2.0**-16)
+        t = logs[:, None] / r
+        t += b
+        np.floor(t, out=t)
+        np.log(c, out=c)
+        b -= t
+        b -= 1
+        b *= r
+        c += b
+        best = c.argmin(0)
+        columns = np.arange(self.samples)
+        chosen = t[best, columns].astype(np.int64).view(np.uint64)
+        code = _mixed(hashes[best] ^ _mixed(chosen + self.steps))
+        return c[best, columns], (code >> np.uint64(48)).astype(np.uint16)
 
     def signature(self, terms: dict[str, int]) -> np.ndarray:
         """Codes [samples]; a set without terms has zeros, which no other set is likely to have.
 
-        Equal sets have equal signatures: terms are taken in sorted order, so ties of a fall alike."""
+        Equal sets have equal signatures: terms are taken in order of their hashes, so equal a fall alike."""
         if not terms:
             return np.zeros(self.samples, np.uint16)
-        least = np.full(self.samples, np.inf, np.float32)
-        codes = np.zeros(self.samples, np.uint16)
-        keys = sorted(terms.items())
-        for at in range(0, len(keys), 4096):
-            drawn = [self.drawn[key] for key in keys[at:at + 4096]]
-            a = np.array([x[0] for x in drawn])
-            best = a.argmin(0)
-            found = a[best, np.arange(self.samples)]
-            code = np.array([x[1] for x in drawn])[best, np.arange(self.samples)]
-            better = found < least
-            least[better], codes[better] = found[better], code[better]
+        hashes = np.fromiter(map(word_hash, terms), np.uint64, len(terms))
+        logs = np.log(np.fromiter(terms.values(), np.float32, len(terms)))
+        order = np.argsort(hashes)
+        hashes, logs = hashes[order], logs[order]
+        least, codes = self._least(hashes[:256], logs[:256])
+        for at in range(256, len(hashes), 256):
+            a, code = self._least(hashes[at:at + 256], logs[at:at + 256])
+            better = a < least
+            least[better], codes[better] = a[better], code[better]
         return codes
 
 
 def terms_of(text: str) -> dict[str, int]:
     """Weighted terms of a text: its words between white space, as often as they occur."""
-    return Counter(_WORD.findall(text))
+    return Counter(text.split())
 
 
 def as_text(codes: np.ndarray) -> str:
