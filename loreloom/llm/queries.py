@@ -10,6 +10,7 @@ from loreloom.llm.bm25 import contaminated
 from loreloom.llm.common import table
 from loreloom.llm.langid import predict_languages
 from loreloom.llm.packing import pack_documents
+from loreloom.llm.pseudonyms import pseudonymised_documents
 from loreloom.llm.sharding import shard_documents
 from loreloom.llm.simhash import near_duplicates
 from loreloom.llm.weighted_sampling import fingerprint_documents
@@ -19,6 +20,10 @@ def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymised_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +46,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_gru": op2_byte_gru,
+    "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op5_bm25_wand": op5_bm25_wand,
     "op6_hypergeometric_shuffle": op6_hypergeometric_shuffle,
     "op7_grouping_ga": op7_grouping_ga,
