@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable
 from functools import cache
@@ -29,10 +30,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others for
+    the letters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
 class Tokenizer:
     """Token ids of texts. Merges and normal forms never reach across a blank or a line break, so a text's ids are those of
     its stretches between them, and those of frequent stretches are remembered. Nor do they reach from letters to the
-    marks after them, and letters are lower-cased one by one: so a Latin word is looked up without its marks and capital."""
+    marks after them, and letters are lower-cased one by one: so a Latin word is looked up without its marks and
+    capitals, and its merges are asked for directly."""
 
     MARKS = ".,;:!?$%#&*"
 
@@ -40,16 +50,19 @@ class Tokenizer:
         from tokenizers import Tokenizer as Model
 
         self.model = Model.from_file(path)
+        self.merges = self.model.model.tokenize
+        self.letters = _byte_letters()
         self.known = remembered(self._encode, remember)
 
     def _encode(self, stretch: str) -> bytes:
         core = stretch.rstrip(self.MARKS)
-        if core and core.isalpha() and max(core) < "\u0250" and len(core.lower()) == len(core):
-            plain = core[0].lower() + core[1:] if "A" <= core[0] <= "Z" else core
+        if core and core.isalpha() and max(core) < "\u0250" and len(plain := core.lower()) == len(core):
             if plain != stretch:
                 marks = stretch[len(core):]
                 return self.known[plain] + (self.known[marks] if marks else b"")
-        return np.array(self.model.encode(stretch, add_special_tokens=False).ids, np.uint32).tobytes()
+            word = plain if plain.isascii() else "".join(map(self.letters.__getitem__, plain.encode()))
+            return array("I", [t.id for t in self.merges(word)]).tobytes()
+        return array("I", self.model.encode(stretch, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         known = self.known
@@ -174,9 +187,10 @@ def evolve(sizes: list[int], capacity: int, population: list[Bins], rng: random.
 
 
 def _island(block: int, island: int, epoch: int, sizes: list[int], capacity: int, elites: list[Bins]) -> Bins:
+    """An epoch of an island. There is nothing to evolve where an elite or the first packing has as few bins as the sizes allow."""
     rng = random.Random(f"{block}/{island}/{epoch}")
-    population = [*elites, first_packing(sizes, capacity, rng, island == 0 and epoch == 0)]
-    while len(population) < 4:
+    population = list(elites) or [first_packing(sizes, capacity, rng, island == 0)]
+    while len(population) < 4 and min(map(len, population)) > -(-sum(sizes) // capacity):
         population.append(first_packing(sizes, capacity, rng, False))
     return evolve(sizes, capacity, population, rng)[0]
 

@@ -19,6 +19,13 @@ def test_ids_are_those_of_the_whole_text():
         assert own.ids(text or "").tolist() == model.encode(text or "", add_special_tokens=False).ids
 
 
+def test_every_latin_letter():
+    own, model = Tokenizer(default_tokenizer()), Model.from_file(default_tokenizer())
+    for code in range(33, 0x260):
+        for text in (f"x{chr(code)}", f"{chr(code)}.", f"A{chr(code)}b!"):
+            assert own.ids(text).tolist() == model.encode(text, add_special_tokens=False).ids, text
+
+
 def test_rows(spark):
     model = Model.from_file(default_tokenizer())
     rows = [(i, t, 0) for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], 1), (None, "no id", 1)] + [(100 + i, "w " * (i * 37 % 900), 1) for i in range(80)]
