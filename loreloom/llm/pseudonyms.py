@@ -14,7 +14,7 @@ KEY = "replace this key"
 # Patterns of the values that are looked for, in the order in which they are tried. Every repetition is possessive or bounded.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z0-9-]++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]){11,30}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])(?<![0-9][.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])(?![.-][0-9])",
     "ssn": r"(?<![0-9A-Za-z])(?<![0-9][.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z])(?![.-][0-9])",
