@@ -13,6 +13,8 @@ from loreloom.llm.packing import pack_documents
 from loreloom.llm.pseudonyms import pseudonymised_documents
 from loreloom.llm.sharding import shard_documents
 from loreloom.llm.simhash import near_duplicates
+from loreloom.llm.url_cascade import ORACLE as URL_ORACLE
+from loreloom.llm.url_cascade import judge_pages
 from loreloom.llm.weighted_sampling import fingerprint_documents
 
 
@@ -24,6 +26,10 @@ def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymised_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +53,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_gru": op2_byte_gru,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
+    "op4_bloom_cascade": op4_bloom_cascade,
     "op5_bm25_wand": op5_bm25_wand,
     "op6_hypergeometric_shuffle": op6_hypergeometric_shuffle,
     "op7_grouping_ga": op7_grouping_ga,
@@ -54,4 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weighted_sampling": op10_weighted_sampling,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_bloom_cascade": URL_ORACLE,
+}
