@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loreloom.llm.bm25 import contaminated
 from loreloom.llm.common import table
+from loreloom.llm.fixity import ORACLE as FIXITY_ORACLE
+from loreloom.llm.fixity import audit_pages
 from loreloom.llm.langid import predict_languages
 from loreloom.llm.packing import pack_documents
 from loreloom.llm.pseudonyms import pseudonymised_documents
@@ -42,6 +44,10 @@ def op7_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -57,10 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bm25_wand": op5_bm25_wand,
     "op6_hypergeometric_shuffle": op6_hypergeometric_shuffle,
     "op7_grouping_ga": op7_grouping_ga,
+    "op8_merkle_audit": op8_merkle_audit,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_weighted_sampling": op10_weighted_sampling,
 }
 
 ORACLE: dict[str, str] = {
     "op4_bloom_cascade": URL_ORACLE,
+    "op8_merkle_audit": FIXITY_ORACLE,
 }
