@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loreloom.llm.bm25 import contaminated
+from loreloom.llm.chaining import repeated_passages
 from loreloom.llm.common import table
 from loreloom.llm.fixity import ORACLE as FIXITY_ORACLE
 from loreloom.llm.fixity import audit_pages
@@ -20,6 +21,10 @@ from loreloom.llm.url_cascade import judge_pages
 from loreloom.llm.weighted_sampling import fingerprint_documents
 
 
+def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collinear_chaining": op1_collinear_chaining,
     "op2_byte_gru": op2_byte_gru,
     "op3_feistel_pseudonyms": op3_feistel_pseudonyms,
     "op4_bloom_cascade": op4_bloom_cascade,
