@@ -300,6 +300,17 @@ def fitted(docs: DataFrame, per_language: int = 250, chars: int = 1024) -> Netwo
     return train(bounded_sample(docs, identifier.isNotNull() & ~held_out(identifier), per_language, chars))
 
 
+def with_known_language(docs: DataFrame, net: Network | None = None, least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: letters, and a score of ``least_score`` or more. Columns are kept.
+
+    Where nothing could be learnt, as no row has a language, all texts with a letter are kept."""
+    net = net or fitted(docs)
+    if not net.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    name = "_language" + "_" * max(map(len, docs.columns))
+    return identify(docs, net, name=name).where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least_score)).drop(name)
+
+
 def predict_languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, positions of every document; see ``identify``.
 

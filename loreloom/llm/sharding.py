@@ -72,7 +72,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, pa
     Every row is dealt, repeated and null ones too. Columns named shard or slot are replaced. An empty table stays empty.
     """
     spark = rows.sparkSession
-    placed = stored(rows.drop("shard", "slot").withColumn(_AT, F.monotonically_increasing_id()), "shuffled")
+    # The row goes as one struct: no column of it can clash with those added here.
+    placed = stored(rows.drop("shard", "slot").select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias(_AT)), "shuffled")
     part = F.pmod(F.shiftright(_AT, 33), F.lit(parts))
     counted = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
@@ -99,7 +100,7 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, pa
     offsets = sizes_of.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = Window.partitionBy("shard", "_bucket").orderBy("_order", _AT)
     return dealt.withColumn("_row", F.row_number().over(inside)).join(offsets, ["shard", "_bucket"]).withColumn(
-        "slot", (F.col("_first") + F.col("_row") - 1).cast("bigint")).drop("_bucket", "_order", "_first", "_row", _AT)
+        "slot", (F.col("_first") + F.col("_row") - 1).cast("bigint")).select("row.*", "shard", "slot")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -45,31 +45,27 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def with_fingerprint(rows: DataFrame, text: str = "text", name: str = "fingerprint",
-                     shingle_words: int = 3) -> DataFrame:
-    """``rows`` with the SimHash of a text column as 16 lowercase hex digits."""
+def _row_key(rows: DataFrame, identifier: str, text: str):
+    """Equal for rows of equal id and text only; never null."""
+    return F.md5(F.concat(F.coalesce(column_or_null(rows, identifier, "string"), F.lit("-")), F.lit("|"),
+                          F.coalesce(column_or_null(rows, text, "string"), F.lit(""))))
 
-    @F.pandas_udf("string")
-    def hexed(texts):
-        return texts.map(lambda x: f"{fingerprint(x, shingle_words):016x}")
 
-    return rows.withColumn(name, hexed(F.col(f"`{text}`").cast("string")))
-
-
-def _spread_hex(rows: DataFrame, identifier: str, text: str, shingle_words: int) -> DataFrame:
-    """(doc_id, fingerprint) of every row, one row each."""
+def _fingerprints(rows: DataFrame, identifier: str, text: str, shingle_words: int) -> DataFrame:
+    """(doc_id, key, fingerprint) of every row, one row each."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for start, texts in text_batches(batch, "text"):
                 prints = [f"{fingerprint(x, shingle_words):016x}" for x in texts]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(texts)), pa.array(prints, pa.string())],
-                                                 names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array(prints, pa.string())],
+                    names=["doc_id", "key", "fingerprint"])
 
-    return rows.select(column_or_null(rows, identifier, "bigint").alias("doc_id"),
+    return rows.select(column_or_null(rows, identifier, "bigint").alias("doc_id"), _row_key(rows, identifier, text).alias("key"),
                        column_or_null(rows, text, "string").alias("text")).mapInArrow(
-                           run, "doc_id bigint, fingerprint string")
+                           run, "doc_id bigint, key string, fingerprint string")
 
 
 def trie_links(values: np.ndarray, budget: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +226,35 @@ def near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "te
     takes part; its component_id is null only if no member has an id. Repeated rows stay, one result
     row each. Other columns are ignored. An empty table gives an empty table.
     """
-    prints = stored(_spread_hex(docs, identifier, text, shingle_words), "simhash")
+    prints = stored(_fingerprints(docs, identifier, text, shingle_words), "simhash")
+    classes = _classes(prints, budget)
+    return prints.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id", "component_root")
+
+
+def _classes(prints: DataFrame, budget: int) -> DataFrame:
+    """(fingerprint, component_id, component_root) of every distinct fingerprint of (doc_id, fingerprint)."""
     roots = near_components(prints, budget)
     least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     rooted = stored(least.join(roots, "fingerprint", "left").select(
         "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "least"), "roots")
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return prints.join(classes.select("fingerprint", "component_id", F.col("root").alias("component_root")), "fingerprint") \
-        .select("doc_id", "fingerprint", "component_id", "component_root")
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(
+        "fingerprint", "component_id", F.col("root").alias("component_root"))
+
+
+def without_near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "text", budget: int = 3,
+                            shingle_words: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that with the smallest doc_id. Columns are kept.
+
+    Ties (rows of one id with different texts) go to the smallest digest of id and text, and of rows that are equal in both
+    any one stays. A component without ids is a component like any other."""
+    prints = stored(_fingerprints(docs, identifier, text, shingle_words), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key")
+    keys = prints.groupBy("fingerprint", "doc_id", "key").agg(F.count("*").alias("n"))
+    kept = keys.join(_classes(prints, budget).select("fingerprint", "component_root"), "fingerprint") \
+        .groupBy("component_root").agg(F.min_by(F.struct("key", "n"), first).alias("kept")).select("kept.*")
+    kept = stored(kept, "kept")
+    # The row goes as one struct: no column of it can clash with those added here.
+    left = docs.select(F.struct("*").alias("row"), _row_key(docs, identifier, text).alias("key")).join(kept, "key")
+    if kept.where("n > 1").limit(1).count():
+        left = left.where("n = 1").unionByName(left.where("n > 1").dropDuplicates(["key"]))
+    return left.select("row.*")

@@ -31,7 +31,7 @@ def test_matrix_sums():
 
 @pytest.mark.parametrize("slot_rows", [65_536, 3])
 def test_shards_and_slots(spark, slot_rows):
-    rows = spark.range(1000).selectExpr("id % 7 AS same", "id", "'x' AS slot", "1 AS _n").repartition(6)
+    rows = spark.range(1000).selectExpr("id % 7 AS same", "id", "'x' AS slot", "1 AS _n", "2 AS _part", "3 AS row").repartition(6)
     got = shuffle_into_shards(rows, 7, 5, slot_rows=slot_rows).collect()
     assert sorted(r.id for r in got) == list(range(1000))
     counts = Counter(r.shard for r in got)
