@@ -1,9 +1,11 @@
 """Exact and approximate cosine top-k for a whole batch of queries.
 
-Queries and vectors of one key (an owner) meet in cells of bounded size: each side is
+Few query vectors, the normal case, are sent to the vectors: every task scores its part of the scan
+against the queries of each row's key and returns its own k best per query, so vectors are never
+shuffled. Queries too many for that meet the vectors of their key (an owner) in cells of bounded size: each side is
 split into parts, every pair of parts is one cell, and a cell returns only its own k best
-per query. Pairs are never rows; a hot owner becomes many cells; nothing is dropped,
-because the k best of a query are among the k best of the cells it visited.
+per query. Pairs are never rows; a hot owner becomes many tasks; nothing is dropped,
+because the k best of a query are among the k best of the parts it visited.
 """
 
 import numpy as np
@@ -16,9 +18,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from loreloom import constants as K
 from loreloom.functions.vectors import DISTANCE_DECIMALS, cosine_distance, has_dimensions
 from loreloom.operators.sizing import small_frame
+from loreloom.sources.tables import stored
 
 CELL_VECTORS = 16384
-CELL_QUERIES = 2048
+CELL_QUERIES = 16384
+# Query vectors that are sent to every task: bytes, checked before.
+BROADCAST_BYTES = 32 << 20
+# Keys that are named in a filter, which the scan can use to skip files.
+FILTER_KEYS = 1000
 _SCORE_ROWS = 256
 
 
@@ -86,20 +93,75 @@ def _cell_scorer(schema: pa.Schema, include_zero: bool):
 
 
 def _limit_column(queries: DataFrame, k: int) -> Column:
-    """Per-query ``k`` column when there is one, else the constant."""
+    """Per-query ``k`` column when there is one, else the constant. Below 0 is 0."""
     limit = F.coalesce(F.col("k").cast("int"), F.lit(k)) if "k" in queries.columns else F.lit(k)
-    return F.greatest(F.lit(0), F.least(limit, F.lit(K.MAX_LIMIT)))
+    return F.greatest(F.lit(0), limit)
 
 
-def _best(hits: DataFrame) -> DataFrame:
+def _best(hits: DataFrame, constant: int | None = None) -> DataFrame:
+    """``constant``: a k that holds for all queries, which lets Spark cut each map partition before the shuffle."""
     best_first = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return (
-        hits.withColumn("rank", F.row_number().over(best_first))
-        # The constant bound lets Spark cut each map partition before the shuffle.
-        .filter(F.col("rank") <= K.MAX_LIMIT)
-        .filter(F.col("rank") <= F.col("k"))
-        .drop("k")
-    )
+    ranked = hits.withColumn("rank", F.row_number().over(best_first))
+    if constant is not None:
+        ranked = ranked.filter(F.col("rank") <= constant)
+    return ranked.filter(F.col("rank") <= F.col("k")).drop("k")
+
+
+def _hit_type(queries: DataFrame, vectors: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
+        T.StructField("distance", T.DoubleType()),
+        T.StructField("k", T.IntegerType()),
+    ])
+
+
+def _score_on_scan(queries: pa.Table, vectors: DataFrame, on: list[str], out: T.StructType, include_zero: bool) -> DataFrame:
+    """k best of every query in every partition of ``vectors``, which are scanned where they are."""
+    schema = to_arrow_schema(out)
+    score = _cell_scorer(schema, include_zero)
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(queries)
+
+    def run(batches):
+        asked: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(*[shared.value[c].to_pylist() for c in on], strict=True)):
+            asked.setdefault(key, []).append(i)
+        own = {key: shared.value.take(pa.array(rows)) for key, rows in asked.items()}
+        best: dict[tuple, pa.Table] = {}
+        for batch in batches:
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*[batch.column(c).to_pylist() for c in on], strict=True)):
+                if key in own:
+                    rows.setdefault(key, []).append(i)
+            for key, at in rows.items():
+                found = score(own[key], pa.Table.from_batches([batch.take(pa.array(at))]))
+                best[key] = _kept(pa.concat_tables([best[key], found])) if key in best else found
+        for table in best.values():
+            yield from table.to_batches()
+
+    return vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", *on, "embedding").mapInArrow(run, out)
+
+
+def _kept(hits: pa.Table) -> pa.Table:
+    """The k best hits of each query."""
+    # A distance that isn't a number is the last; null sorts after all.
+    hits = hits.sort_by([("query_id", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
+    query = hits["query_id"].combine_chunks()
+    if isinstance(query, pa.ChunkedArray):
+        query = pa.concat_arrays(query.chunks)
+    codes = query.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    first = np.searchsorted(codes, np.arange(codes.max(initial=-1) + 1))
+    place = np.arange(len(codes)) - first[codes]
+    return hits.filter(pa.array(place < hits["k"].to_numpy()))
+
+
+def _of_keys(vectors: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Vectors of the keys asked for: a filter the scan can use when they are few, else a semi-join."""
+    few = keys.limit(FILTER_KEYS + 1).collect()
+    if len(on) == 1 and len(few) <= FILTER_KEYS:
+        return vectors.filter(F.col(on[0]).isin([r[0] for r in few if r[0] is not None]))
+    return vectors.join(keys, on, "left_semi")
 
 
 def _hot_keys(queries: DataFrame, vectors: DataFrame, on: list[str], cell_vectors: int,
@@ -128,12 +190,7 @@ def _score_in_cells(queries: DataFrame, vectors: DataFrame, on: list[str], inclu
 
     left = split(queries, "query_id", "_q", "_q_parts", "_v", "_v_parts").select(*cell, "query_id", "vector", "k")
     right = split(vectors, "chunk_id", "_v", "_v_parts", "_q", "_q_parts").select(*cell, "chunk_id", "embedding")
-    out = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("chunk_id", vectors.schema["chunk_id"].dataType),
-        T.StructField("distance", T.DoubleType()),
-        T.StructField("k", T.IntegerType()),
-    ])
+    out = _hit_type(queries, vectors)
     return (
         left.groupBy(*cell).cogroup(right.groupBy(*cell))
         .applyInArrow(_cell_scorer(to_arrow_schema(out), include_zero), out)
@@ -142,17 +199,26 @@ def _score_in_cells(queries: DataFrame, vectors: DataFrame, on: list[str], inclu
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_LIMIT, *,
                 on: tuple[str, ...] = ("owner",), include_zero: bool = False,
-                cell_vectors: int = CELL_VECTORS, cell_queries: int = CELL_QUERIES) -> DataFrame:
+                cell_vectors: int = CELL_VECTORS, cell_queries: int = CELL_QUERIES,
+                broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Exact k nearest vectors of every query among the rows sharing its ``on`` key.
 
-    ``queries``: query_id, *on, vector and optionally k. ``vectors``: chunk_id, *on, embedding.
-    Returns query_id, chunk_id, distance, rank; ties are ordered by chunk_id.
+    ``queries``: query_id, *on, vector and optionally k, of any size. ``vectors``: chunk_id, *on, embedding.
+    Returns query_id, chunk_id, distance, rank; ties are ordered by chunk_id. The queries are stored and
+    measured first; up to ``broadcast_bytes`` of them go to the vectors, and only the keys they name are scanned.
     """
-    asked = queries.withColumn("k", _limit_column(queries, k)).select("query_id", *on, "vector", "k")
-    hits = _score_in_cells(
-        asked, vectors.select("chunk_id", *on, "embedding"), list(on), include_zero, cell_vectors, cell_queries,
-    )
-    return _best(hits)
+    keys = list(on)
+    asked = stored(
+        queries.withColumn("k", _limit_column(queries, k)).select("query_id", *keys, "vector", "k")
+        .filter(F.col("vector").isNotNull()), "queries")
+    constant = None if "k" in queries.columns else max(0, k)
+    of_keys = _of_keys(vectors.select("chunk_id", *keys, "embedding"), asked.select(*keys).distinct(), keys)
+    measured = asked.agg(F.sum(F.size("vector") * 8 + F.coalesce(F.length(F.col("query_id").cast("string")), F.lit(0)) + 64)).first()[0]
+    if (measured or 0) <= broadcast_bytes:
+        hits = _score_on_scan(asked.toArrow(), of_keys, keys, _hit_type(asked, vectors), include_zero)
+    else:
+        hits = _score_in_cells(asked, of_keys, keys, include_zero, cell_vectors, cell_queries)
+    return _best(hits, constant)
 
 
 def nearest(vectors: DataFrame, vector: list[float], k: int = K.DEFAULT_LIMIT, *,
@@ -187,12 +253,15 @@ def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_
 
     Same columns as ``cosine_topk``; candidates are scored exactly, so every distance is right
     and only recall is approximate. More ``bits`` mean smaller cells, more ``tables`` better recall:
-    let an owner's vectors be several thousand per 2**bits cells.
+    let an owner's vectors be several thousand per 2**bits cells. Null vectors are left out; one of another
+    length than ``dimensions`` is an error, as in ``cosine_topk``.
     """
     signature = _signatures(dimensions, tables, bits, seed)
 
     def hashed(rows: DataFrame, column: str) -> DataFrame:
-        kept = rows.filter(has_dimensions(F.col(column), dimensions))
+        wrong = F.raise_error(F.concat(F.lit(f"vectors of {dimensions} dimensions are asked for, one has "), F.size(column).cast("string")))
+        checked = F.when(has_dimensions(F.col(column), dimensions), F.col(column)).otherwise(wrong)
+        kept = rows.filter(F.col(column).isNotNull()).withColumn(column, checked)
         return kept.select("*", F.posexplode(signature(column)).alias("_table", "_signature"))
 
     asked = queries.withColumn("k", _limit_column(queries, k)).select("query_id", *on, "vector", "k")
@@ -200,4 +269,4 @@ def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_
         hashed(asked, "vector"), hashed(vectors.select("chunk_id", *on, "embedding"), "embedding"),
         [*on, "_table", "_signature"], include_zero, CELL_VECTORS, CELL_QUERIES,
     )
-    return _best(hits.dropDuplicates(["query_id", "chunk_id"]))
+    return _best(hits.dropDuplicates(["query_id", "chunk_id"]), None if "k" in queries.columns else max(0, k))

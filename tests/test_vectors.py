@@ -44,18 +44,37 @@ def data(owners=3, chunks=200, queries=12, dims=8, seed=5):
     return q, c
 
 
-@pytest.mark.parametrize("cells", [(16384, 2048), (16, 4), (7, 1)])
-def test_topk_equals_brute_force(spark, cells):
+@pytest.mark.parametrize("k", [5, 50])
+@pytest.mark.parametrize("cells", [None, (16384, 2048), (16, 4), (7, 1)])
+def test_topk_equals_brute_force(spark, cells, k):
     q, c = data()
-    hits = cosine_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C), 5,
-                       cell_vectors=cells[0], cell_queries=cells[1])
-    assert collected(hits) == {k: v for k, v in brute(q, c, 5).items() if v}
+    sizes = {"cell_vectors": cells[0], "cell_queries": cells[1], "broadcast_bytes": 0} if cells else {}
+    hits = cosine_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C).repartition(5), k, **sizes)
+    assert collected(hits) == {k: v for k, v in brute(q, c, k).items() if v}
+
+
+def test_few_queries_go_to_the_vectors(spark):
+    q, c = data()
+    hits = cosine_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C), 5)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "WindowGroupLimit" in plan
+    # The owners asked for are a filter on the scan.
+    assert "Filter" in plan and "= o0" in plan
+
+
+def test_several_keys_and_null_keys(spark):
+    q = [("q1", "a", 1, [1.0, 0.0]), ("q2", "a", 2, [1.0, 0.0]), ("q3", None, 1, [1.0, 0.0])]
+    c = [(1, "a", 1, [1.0, 0.0]), (2, "a", 2, [1.0, 0.0]), (3, "b", 1, [1.0, 0.0])]
+    hits = cosine_topk(spark.createDataFrame(q, "query_id string, owner string, part int, vector array<double>"),
+                       spark.createDataFrame(c, "chunk_id long, owner string, part int, embedding array<float>"), 3,
+                       on=("owner", "part"))
+    assert collected(hits) == {"q1": [1], "q2": [2]}
 
 
 def test_topk_of_identical_vectors_takes_lowest_ids(spark):
     c = [(i, "a", [1.0, 1.0]) for i in range(50)]
     hits = cosine_topk(spark.createDataFrame([("q", "a", [2.0, 2.0])], Q), spark.createDataFrame(c, C), 4,
-                       cell_vectors=9)
+                       cell_vectors=9, broadcast_bytes=0)
     assert collected(hits) == {"q": [0, 1, 2, 3]}
     assert {r.distance for r in hits.collect()} == {0.0}
 
@@ -65,7 +84,7 @@ def test_limits_per_query(spark):
                                ("neg", "a", [1.0], -1), ("none", "a", [1.0], None)], Q + ", k int")
     c = spark.createDataFrame([(i, "a", [1.0]) for i in range(30)], C)
     got = {k: len(v) for k, v in collected(cosine_topk(q, c, 5)).items()}
-    assert got == {"one": 1, "all": 20, "none": 5}
+    assert got == {"one": 1, "all": 30, "none": 5}
 
 
 def test_zero_vectors(spark):
@@ -93,7 +112,7 @@ def test_mixed_dimensions_are_refused(spark):
 
 def test_plan_has_no_cartesian_product(spark):
     q, c = data()
-    hits = cosine_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C), 5, cell_vectors=16)
+    hits = cosine_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C), 5, cell_vectors=16, broadcast_bytes=0)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
@@ -119,6 +138,9 @@ def test_approximate_finds_identical_vectors_and_right_distances(spark):
     same = approximate_topk(spark.createDataFrame([("q", "a", [1.0, 2.0])], Q),
                             spark.createDataFrame([(1, "a", [2.0, 4.0]), (2, "b", [2.0, 4.0])], C), dimensions=2)
     assert [(r.chunk_id, r.distance) for r in same.collect()] == [(1, 0.0)]
+    with pytest.raises(Exception, match="dimensions"):
+        approximate_topk(spark.createDataFrame([("q", "a", [1.0])], Q),
+                         spark.createDataFrame([(1, "a", [2.0])], C), dimensions=2).collect()
 
 
 def test_scalar_vector_functions(spark):
