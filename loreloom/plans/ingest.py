@@ -12,6 +12,7 @@ from loreloom.functions.text import prefix
 from loreloom.operators import graph
 from loreloom.operators.chunking import chunk_documents, chunk_id, replace_chunks
 from loreloom.operators.generate import capitalised_phrases
+from loreloom.operators.validation import document_error, split_valid
 from loreloom.sources.extraction import extract_text
 from loreloom.sources.tables import stored
 
@@ -23,8 +24,7 @@ class Ingested:
     payloads: DataFrame
 
 
-def process_documents(documents: DataFrame, as_of: Column, decoders: dict | None = None,
-                      size: int | None = None, overlap: int | None = None) -> DataFrame:
+def process_documents(documents: DataFrame, as_of: Column, decoders: dict | None = None) -> DataFrame:
     """Document rows after processing: text, status, error and time stamps.
 
     A failed document keeps its raw_text, extracted_at and chunks of earlier runs.
@@ -48,19 +48,25 @@ def process_documents(documents: DataFrame, as_of: Column, decoders: dict | None
     }).drop("text", "error")
 
 
+def stored_processing(documents: DataFrame, as_of: Column, decoders: dict | None = None) -> DataFrame:
+    """``process_documents``, computed once and stored without the files' bytes."""
+    return stored(process_documents(documents, as_of, decoders).drop("content"), "processed")
+
+
 def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     return chunks.withColumn("embedding", (embedder or HashingEmbedder()).embed(F.col("content")))
 
 
 def ingest(documents: DataFrame, as_of: Column, embedder: Embedder | None = None,
            extractor: Callable[[Column], Column] | None = capitalised_phrases, decoders: dict | None = None,
-           size: int | None = None, overlap: int | None = None) -> Ingested:
+           size: int | None = None, overlap: int | None = None, processed: bool = False) -> Ingested:
     """Process documents and derive their chunks, vectors and graph payloads.
 
     All three results are narrow over the input: no shuffle until a caller writes or merges
-    them. ``extractor=None`` leaves the payloads empty.
+    them. ``extractor=None`` leaves the payloads empty. ``processed``: the documents went through ``stored_processing``,
+    so that files are decoded once for all three.
     """
-    done = process_documents(documents, as_of, decoders, size, overlap)
+    done = documents if processed else process_documents(documents, as_of, decoders)
     good = done.filter(F.col("processing_status") == "completed")
     chunks = embed_chunks(
         chunk_documents(good, "raw_text", size, overlap, keep=("owner",))
@@ -75,6 +81,29 @@ def ingest(documents: DataFrame, as_of: Column, embedder: Embedder | None = None
     return Ingested(done.drop("content"), chunks, payloads)
 
 
+@dataclass
+class Accepted:
+    """What an upload batch leads to; ``refused`` rows have an ``error`` and went no further."""
+
+    refused: DataFrame
+    ingested: Ingested
+    graph: "Graph"
+
+
+def ingest_uploads(uploads: DataFrame, as_of: Column, nodes: DataFrame | None = None, links: DataFrame | None = None,
+                   edges: DataFrame | None = None, allowed: tuple[str, ...] = K.UPLOAD_TYPES, strict: bool = False,
+                   embedder: Embedder | None = None, extractor: Callable[[Column], Column] | None = capitalised_phrases,
+                   decoders: dict | None = None, size: int | None = None, overlap: int | None = None) -> Accepted:
+    """The whole chain for uploads: validate, process, chunk, embed, and merge what was extracted into the graph.
+
+    Files are decoded once and models are asked once: processed rows and payloads are stored in between."""
+    good, refused = split_valid(uploads, document_error(
+        F.col("file_type"), F.col("file_name"), F.col("file_size"), F.col("raw_text"), F.col("source_url"), allowed))
+    done = stored_processing(good, as_of, decoders)
+    result = ingest(done, as_of, embedder, extractor, None, size, overlap, processed=True)
+    return Accepted(refused, result, upsert_graph(result.payloads, as_of, nodes, links, edges, strict))
+
+
 @dataclass
 class Graph:
     nodes: DataFrame

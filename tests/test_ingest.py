@@ -166,5 +166,41 @@ def test_stream_reads_newest_versions(spark, tmp_path, as_of):
     assert stream.current_chunks(spark, target).count() == 3
 
 
+def test_streams_do_not_touch_each_other(spark, tmp_path, as_of):
+    """A second source into one output, one source into a second output, and a stream that lost its progress."""
+    def source(name, ids):
+        path = str(tmp_path / name)
+        spark.range(*ids).selectExpr("id", "'o' AS owner", "'t' AS title", "'note' AS file_type", f"'{name} text' AS raw_text",
+                                     "timestamp_seconds(id) AS updated_at").write.parquet(path)
+        return lambda: stream.document_stream(spark, path, spark.read.parquet(path).schema)
+
+    a, b, out, other = source("a", (0, 3)), source("b", (10, 12)), str(tmp_path / "out"), str(tmp_path / "other")
+    stream.start_ingest(a(), out, as_of=as_of).awaitTermination()
+    stream.start_ingest(a(), other, as_of=as_of).awaitTermination()
+    assert stream.current_documents(spark, other).count() == 3
+    stream.start_ingest(b(), out, checkpoint=str(tmp_path / "progress-b"), as_of=as_of).awaitTermination()
+    assert {r.id for r in stream.current_documents(spark, out).collect()} == {0, 1, 2, 10, 11}
+    stream.start_ingest(a(), out, checkpoint=str(tmp_path / "progress-lost"), as_of=as_of).awaitTermination()
+    assert stream.current_documents(spark, out).count() == 5 and stream.current_chunks(spark, out).count() == 5
+    target = str(tmp_path / "target")
+    stream.compact(spark, out, target)
+    stream.start_ingest(b(), target, as_of=as_of).awaitTermination()
+    assert stream.current_documents(spark, target).count() == 5 and stream.current_chunks(spark, target).count() == 5
+
+
+def test_compaction_keeps_chunks_of_documents_that_failed_since(spark, tmp_path, as_of):
+    out, target = str(tmp_path / "out"), str(tmp_path / "target")
+    for i, text in enumerate(("good text", " ")):
+        path = str(tmp_path / f"in/{i}")
+        spark.createDataFrame([(1, "o", "t", "note", text)], "id long, owner string, title string, file_type string, raw_text string") \
+            .withColumn("updated_at", F.timestamp_seconds(F.lit(i))).write.parquet(path)
+        docs = stream.document_stream(spark, f"{tmp_path}/in/*", spark.read.parquet(path).schema)
+        stream.start_ingest(docs, out, as_of=as_of).awaitTermination()
+    stream.compact(spark, out, target)
+    for place in (out, target):
+        assert [r.content for r in stream.current_chunks(spark, place).collect()] == ["good text"]
+        assert [r.processing_status for r in stream.current_documents(spark, place).collect()] == ["failed"]
+
+
 def test_checkpoint_folder_is_the_sessions(spark):
     assert checkpoint_dir(spark, "/x") == (spark.conf.get("spark.checkpoint.dir", None) or "/x")
