@@ -40,7 +40,8 @@ class KnowledgeBase:
     # Documents and search.
 
     def documents(self, owner: str) -> DataFrame:
-        return views.list_documents(self.table("documents", owner), self.table("document_chunks", owner))
+        return views.list_documents(self.table("documents", owner), self.table("document_chunks", owner)) \
+            .orderBy("position")
 
     def document(self, owner: str, document_id: int) -> DataFrame:
         return owned_row(self.documents(owner), owner, document_id)
@@ -69,7 +70,7 @@ class KnowledgeBase:
     # Chat.
 
     def conversations(self, owner: str) -> DataFrame:
-        return chat.list_conversations(self.table("conversations", owner))
+        return chat.list_conversations(self.table("conversations", owner)).orderBy("position")
 
     def conversation(self, owner: str, conversation_id: int) -> DataFrame:
         talk = owned_row(self.table("conversations"), owner, conversation_id)
@@ -91,7 +92,7 @@ class KnowledgeBase:
     # Memory.
 
     def memories(self, owner: str, query: str = "", category: str = "", pinned: str | None = None) -> DataFrame:
-        return views.search_memory(self.table("memory_entries", owner), query, category, pinned)
+        return views.search_memory(self.table("memory_entries", owner), query, category, pinned).orderBy("position")
 
     def memory(self, owner: str, entry_id: int) -> DataFrame:
         return owned_row(self.table("memory_entries"), owner, entry_id)
@@ -99,7 +100,8 @@ class KnowledgeBase:
     # Graph.
 
     def graph(self, owner: str) -> tuple[DataFrame, DataFrame]:
-        return views.graph_data(self.table("nodes", owner), self.table("edges", owner))
+        nodes, edges = views.graph_data(self.table("nodes", owner), self.table("edges", owner))
+        return nodes.orderBy("position"), edges
 
     def node(self, owner: str, node_id: str) -> DataFrame:
         links = self.table("node_documents").filter(F.col("node_id") == node_id)

@@ -2,8 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small_frame(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
@@ -18,12 +20,17 @@ def small_frame(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame |
     return F.broadcast(rows.sparkSession.createDataFrame(head, rows.schema)) if head.num_rows else None
 
 
-def broadcast_if_bounded(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when ``rows`` holds at most ``max_rows`` rows; without it the join shuffles.
+def broadcast_if_bounded(rows: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when ``rows`` holds at most ``max_rows`` rows and ``max_bytes`` bytes; without it the join shuffles.
 
-    For frames that are cheap to count: stored tables, key lists.
+    For frames that are cheap to measure: stored tables, key lists.
     """
-    return F.broadcast(rows) if rows.limit(max_rows + 1).count() <= max_rows else rows
+    width = F.lit(16 * len(rows.columns))
+    for field in rows.schema:
+        if not isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType)):
+            width = width + F.coalesce(F.length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
+    n, size = rows.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(rows) if n <= max_rows and size <= max_bytes else rows
 
 
 def attach_pages(parents: DataFrame, pages: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -50,14 +57,21 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: Column,
 
 
 def exact_rank(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column],
-               name: str = "rank") -> DataFrame:
+               name: str = "rank", fine: Column | None = None, most: int = 100_000) -> DataFrame:
     """1-based position of every row within ``keys`` without sorting a key in one task.
 
     ``bucket`` must not decrease along ``order``. Buckets are counted first; a running
     sum over the (few) bucket rows gives each bucket its offset, and rows are numbered
-    inside their bucket only, so a hot key is spread over its buckets.
+    inside their bucket only, so a hot key is spread over its buckets. A bucket of more than ``most`` rows is
+    split by ``fine``, which must not decrease along ``order`` either.
     """
-    bucketed = rows.withColumn("_bucket", bucket)
+    bucketed = rows.withColumn("_bucket", F.struct(bucket.alias("coarse")))
+    if fine is not None:
+        crowded = small_frame(rows.groupBy(*keys, bucket.alias("coarse")).agg(F.count("*").alias("_n"))
+                              .filter(F.col("_n") > most).select(*keys, "coarse", F.lit(True).alias("_crowded")))
+        if crowded is not None:
+            bucketed = rows.withColumn("coarse", bucket).join(crowded, [*keys, "coarse"], "left").withColumn(
+                "_bucket", F.struct("coarse", F.when(F.col("_crowded"), fine).alias("fine"))).drop("coarse", "_crowded")
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -76,9 +90,9 @@ def page_of_rank(rank: Column, page_rows: int) -> Column:
     return F.floor((rank - 1) / F.lit(page_rows)).cast("bigint")
 
 
-def page_of_id(identifier: Column, page_rows: int) -> Column:
-    """Order-preserving page of an integer id: at most ``page_rows`` distinct ids each."""
-    return F.floor(identifier / F.lit(page_rows)).cast("bigint")
+def id_range(identifier: Column, width: int = 10_000) -> Column:
+    """Order-preserving bucket of an integer id: at most ``width`` distinct ids each."""
+    return F.floor(identifier / F.lit(width)).cast("bigint")
 
 
 def ordered_list(item: Column, *order: Column) -> Column:

@@ -11,9 +11,9 @@ from loreloom.functions.embedding import Embedder
 from loreloom.functions.text import truncate
 from loreloom.operators.generate import Generator, answer_or_fallback, generate, memory_candidate
 from loreloom.operators.maintain import new_memory_entries, replace_links
-from loreloom.operators.ordering import by_activity
+from loreloom.operators.ordering import by_activity, chronological
 from loreloom.operators.sizing import (
-    attach_pages, broadcast_if_bounded, exact_rank, ordered_list, page_of_rank, salted_join,
+    attach_pages, broadcast_if_bounded, ordered_list, page_of_rank, salted_join,
 )
 from loreloom.plans.search import embed_queries, search_chunks
 from loreloom.sources.tables import stored
@@ -201,10 +201,7 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame, sources:
     cited = sources.groupBy("message_id").agg(
         ordered_list(F.struct(*fields), F.col("citation_rank")).alias("sources")
     ).withColumnRenamed("message_id", "id")
-    numbered = exact_rank(
-        messages, ["conversation_id"], F.floor(F.unix_seconds("created_at") / F.lit(bucket_seconds)),
-        [F.col("created_at"), F.col("id")], "seq",
-    )
+    numbered = chronological(messages, "seq", bucket_seconds)
     item = F.struct("id", "role", "content", "sources", "created_at")
     pages = (
         numbered.join(cited, "id", "left")

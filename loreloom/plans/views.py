@@ -12,7 +12,7 @@ from loreloom.operators.generate import Generator, generate
 from loreloom.operators.graph import edges_with_titles
 from loreloom.operators.maintain import goal_progress
 from loreloom.operators.ordering import alphabetical, newest_first, newest_per, pinned_first
-from loreloom.operators.sizing import attach_pages, ordered_list, page_of_id
+from loreloom.operators.sizing import attach_pages, exact_rank, id_range, ordered_list, page_of_rank
 
 DOCUMENT_LIST = [
     "id", "owner", "title", "file", "file_type", "source_url", "raw_text_preview", "processing_status",
@@ -22,6 +22,7 @@ LINK_PAGE_ROWS = 1000
 
 
 def list_documents(documents: DataFrame, chunks: DataFrame, ordered: bool = True) -> DataFrame:
+    """With ``position`` in the owner's list, newest first, unless ``ordered`` is false."""
     listed = with_chunk_count(
         documents.withColumn("raw_text_preview", prefix(F.coalesce("raw_text", F.lit("")), K.PREVIEW_CHARS)), chunks
     ).select(*[c for c in DOCUMENT_LIST if c in documents.columns or c in ("raw_text_preview", "chunk_count")])
@@ -30,13 +31,14 @@ def list_documents(documents: DataFrame, chunks: DataFrame, ordered: bool = True
 
 def search_memory(entries: DataFrame, query: str | None = "", category: str | None = "",
                   pinned: str | None = None, ordered: bool = True) -> DataFrame:
-    """``pinned`` is the request text: true/1, false/0, anything else means both."""
+    """``pinned`` is the request text: true/1, false/0, anything else means both. ``position`` is the place among what the owner's
+    search found, unless ``ordered`` is false."""
     found = memory_filter(entries, query, category, parse_tri_state(pinned))
     return pinned_first(found) if ordered else found
 
 
 def graph_data(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes by title, edges with both titles and a readable relationship)."""
+    """(nodes with their position by title, edges with both titles and a readable relationship)."""
     titled = edges_with_titles(edges, nodes).withColumn(
         "relationship_label", relationship_label(F.col("relationship_type"))
     )
@@ -97,10 +99,12 @@ def daily_digest(owners: DataFrame, documents: DataFrame, memories: DataFrame, m
 
 
 def notes_view(notes: DataFrame, links: DataFrame, page_rows: int = LINK_PAGE_ROWS) -> DataFrame:
-    """Notes with the ids of their related documents, in pages of at most ``page_rows`` ids."""
+    """Notes with the ids of their related documents, in pages 0, 1, ... of ``page_rows`` ids in order."""
+    numbered = exact_rank(links.select("note_id", "document_id").distinct(), ["note_id"], id_range(F.col("document_id")),
+                          [F.col("document_id")], "seq")
     pages = (
-        links.groupBy("note_id", page_of_id(F.col("document_id"), page_rows).alias("page"))
-        .agg(F.array_sort(F.collect_set("document_id")).alias("related_documents"))
+        numbered.groupBy("note_id", page_of_rank(F.col("seq"), page_rows).alias("page"))
+        .agg(ordered_list(F.col("document_id"), F.col("seq")).alias("related_documents"))
         .withColumnRenamed("note_id", "id")
     )
     return attach_pages(notes, pages, links.select(F.col("note_id").alias("id")), "related_documents")

@@ -161,7 +161,7 @@ _MEMORY = """mem AS (
          CASE event_type WHEN 'click' THEN 'note' WHEN 'view' THEN 'summary' WHEN 'purchase' THEN 'preference'
               WHEN 'signup' THEN 'fact' ELSE 'pinned' END AS category,
          event_type AS kind, 'k' || json_extract_string(props, '$.k') AS ktag, value > 150 AS is_pinned,
-         CAST(floor(epoch(ts)) AS BIGINT) AS updated_epoch
+         CAST(floor(epoch(ts)) AS BIGINT) AS updated_epoch, ts
   FROM events)"""
 
 _LINES = """lines AS (
@@ -237,7 +237,8 @@ SELECT document_id, chunk_index, length(content) AS n_chars, md5(content) AS con
 
 ORACLE["document_list"] = _with(_DOCS, _CHUNKS) + """
 SELECT id, owner, title, 'note' AS file_type, substr(text, 1, 500) AS raw_text_preview,
-       coalesce(n, 0) AS chunk_count, 'NOTE · ' || coalesce(n, 0) || ' chunks' AS caption, made AS created_epoch
+       coalesce(n, 0) AS chunk_count, 'NOTE · ' || coalesce(n, 0) || ' chunks' AS caption, made AS created_epoch,
+       row_number() OVER (PARTITION BY owner ORDER BY made DESC, id) AS position
 FROM docs LEFT JOIN (SELECT document_id AS id, count(*) AS n FROM chunked GROUP BY document_id) USING (id)"""
 
 ORACLE["validate_documents"] = _with(_INPUTS) + """
@@ -342,7 +343,8 @@ SELECT id, conv_id AS conversation_id, role, md5(content) AS content_md5, CAST(c
 FROM stored JOIN moved USING (conv_id)"""
 
 ORACLE["list_conversations"] = _with(_TURNS) + """
-SELECT conv_id AS id, owner, 'Conversation ' || conv_id AS title, min(made) AS created_epoch, max(made) AS updated_epoch
+SELECT conv_id AS id, owner, 'Conversation ' || conv_id AS title, min(made) AS created_epoch, max(made) AS updated_epoch,
+       row_number() OVER (PARTITION BY owner ORDER BY max(made) DESC, conv_id) AS position
 FROM turns GROUP BY conv_id, owner"""
 
 ORACLE["conversation_detail"] = _with(_TURNS, _VECTOR_CHUNKS, f"""cites AS (
@@ -372,11 +374,13 @@ SELECT id, CASE WHEN message = '' OR length(message) > 8000 THEN 'message' WHEN
 FROM asks"""
 
 ORACLE["memory_search"] = _with(_MEMORY) + """
-SELECT id, owner, title, category, is_pinned, kind || ', ' || ktag AS tags, updated_epoch FROM mem
+SELECT id, owner, title, category, is_pinned, kind || ', ' || ktag AS tags, updated_epoch,
+       row_number() OVER (PARTITION BY owner ORDER BY is_pinned DESC, ts DESC, id) AS position FROM mem
 WHERE NOT is_pinned AND (contains(lower(title), 'k1') OR contains(lower(content), 'k1') OR contains(kind, 'k1')
                          OR contains(lower(ktag), 'k1'))"""
 ORACLE["memory_search_category"] = _with(_MEMORY) + """
-SELECT id, owner, title, category, is_pinned, kind || ', ' || ktag AS tags, updated_epoch FROM mem
+SELECT id, owner, title, category, is_pinned, kind || ', ' || ktag AS tags, updated_epoch,
+       row_number() OVER (PARTITION BY owner ORDER BY is_pinned DESC, ts DESC, id) AS position FROM mem
 WHERE category = 'preference' AND (contains(lower(title), 'purchase 1') OR contains(lower(content), 'purchase 1')
                                    OR contains(kind, 'purchase 1') OR contains(lower(ktag), 'purchase 1'))"""
 
@@ -421,11 +425,13 @@ SELECT owner, a AS source_title, b AS target_title, kind AS relationship_type,
 FROM edges GROUP BY owner, a, b, kind"""
 
 ORACLE["node_detail"] = _with(_LINES, """links AS (
-  SELECT DISTINCT owner, title, node_type, document_id FROM mentions)""") + """
-SELECT owner, title, node_type, document_id // 1000 AS page, count(*) AS document_count,
+  SELECT owner, title, node_type, document_id,
+         (row_number() OVER (PARTITION BY owner, title, node_type ORDER BY document_id) - 1) // 1000 AS page
+  FROM (SELECT DISTINCT owner, title, node_type, document_id FROM mentions))""") + """
+SELECT owner, title, node_type, page, count(*) AS document_count,
        md5(string_agg(CAST(document_id AS VARCHAR), ',' ORDER BY document_id)) AS document_ids_md5,
        'Order line ' || min(document_id) AS first_document
-FROM links GROUP BY owner, title, node_type, document_id // 1000"""
+FROM links GROUP BY owner, title, node_type, page"""
 
 ORACLE["entity_nodes"] = _with(_ENTITIES) + """
 SELECT owner, substr(full_title, 1, 255) AS title, 'topic' AS node_type, count(DISTINCT doc_id) AS document_count
@@ -477,7 +483,7 @@ FROM part"""
 
 ORACLE["notes_view"] = """
 SELECT a.doc_id AS id, a.source AS owner, 'Document ' || a.doc_id AS title,
-       coalesce(b.doc_id // 1000, 0) AS page,
+       0 AS page,
        coalesce(string_agg(CAST(b.doc_id AS VARCHAR), ',' ORDER BY b.doc_id), '') AS related_ids
 FROM documents a LEFT JOIN documents b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 3
-GROUP BY a.doc_id, a.source, coalesce(b.doc_id // 1000, 0)"""
+GROUP BY a.doc_id, a.source"""

@@ -149,7 +149,7 @@ def document_list(spark, sf_dir):
     return listed.select(
         "id", "owner", "title", "file_type", "raw_text_preview", "chunk_count",
         X.document_caption(F.col("file_type"), F.col("chunk_count")).alias("caption"),
-        _seconds("created_at").alias("created_epoch"),
+        _seconds("created_at").alias("created_epoch"), F.col("position").cast("bigint").alias("position"),
     )
 
 
@@ -305,7 +305,8 @@ def record_exchange(spark, sf_dir):
 def list_conversations(spark, sf_dir):
     rows = chat.list_conversations(Tables(spark, sf_dir).conversations())
     return rows.select("id", "owner", X.conversation_label(F.col("id"), F.col("title")).alias("title"),
-                       _seconds("created_at").alias("created_epoch"), _seconds("updated_at").alias("updated_epoch"))
+                       _seconds("created_at").alias("created_epoch"), _seconds("updated_at").alias("updated_epoch"),
+                       F.col("position").cast("bigint").alias("position"))
 
 
 def conversation_detail(spark, sf_dir):
@@ -335,14 +336,18 @@ def _memory_columns(rows: DataFrame) -> DataFrame:
                        _seconds("updated_at").alias("updated_epoch"))
 
 
+def _found(rows: DataFrame) -> DataFrame:
+    return _memory_columns(rows).join(rows.select("id", F.col("position").cast("bigint").alias("position")), "id")
+
+
 def memory_search(spark, sf_dir):
     entries = Tables(spark, sf_dir).memory().withColumn("tags", normalize_tags(F.col("tags")))
-    return _memory_columns(views.search_memory(entries, " K1 ", "", "false"))
+    return _found(views.search_memory(entries, " K1 ", "", "false"))
 
 
 def memory_search_category(spark, sf_dir):
     entries = Tables(spark, sf_dir).memory().withColumn("tags", normalize_tags(F.col("tags")))
-    return _memory_columns(views.search_memory(entries, "PURCHASE 1", "preference", "any"))
+    return _found(views.search_memory(entries, "PURCHASE 1", "preference", "any"))
 
 
 def memory_tags_normalized(spark, sf_dir):

@@ -126,7 +126,8 @@ def test_whole_exchange(spark, library, as_of):
     assert pages[(7, 1)] == [("assistant", 2)] and len(pages[(8, 0)]) == 2
     zero = chat.message_sources(after.messages, after.message_chunks, chunks, docs, legacy_zero_score=True)
     assert {r.score for r in zero.collect()} == {0.0}
-    assert [r.id for r in chat.list_conversations(after.conversations).collect()] == [7, 8, 6]
+    listed = {r.id: (r.owner, r.position) for r in chat.list_conversations(after.conversations).collect()}
+    assert listed == {7: ("ada", 1), 6: ("ada", 2), 8: ("nobody", 1)}
 
 
 def test_memories_from_exchanges(spark, as_of):

@@ -112,7 +112,7 @@ def test_views(spark, as_of):
     assert titled.first().relationship_label == "works on"
     docs = spark.createDataFrame([(1, "One"), (2, "Two")], "id bigint, title string")
     detail = graph.node_detail(nodes.unionByName(nodes.limit(1).withColumn("id", F.lit("lonely"))),
-                               graph.link_nodes(p), docs, page_rows=2)
+                               graph.link_nodes(p), docs, page_rows=1)
     got = {(r.id == "lonely", r.title, r.page): [d.title for d in r.source_documents] for r in detail.collect()}
     assert got[(False, "B", 0)] == ["One"] and got[(False, "B", 1)] == ["Two"]
     assert [v for k, v in got.items() if k[0]] == [[]]

@@ -35,7 +35,11 @@ def ids(rows):
     ("", "", "1", [2, 5]), ("", "", "false", [4, 3, 1]), ("", "", "0", [4, 3, 1]), ("POSTGRES", "", "0", [4, 3, 1]),
 ])
 def test_memory_search(memory, query, category, pinned, expected):
-    assert ids(views.search_memory(memory, query, category, pinned)) == expected
+    found = views.search_memory(memory, query, category, pinned).collect()
+    assert sorted(r.id for r in found) == sorted(expected)
+    for owner in {r.owner for r in found}:
+        own = sorted((r.position, r.id) for r in found if r.owner == owner)
+        assert own == list(enumerate((i for i in expected if i in {x for _, x in own}), 1))
 
 
 def test_scope_and_lookup(memory):
@@ -71,12 +75,12 @@ def test_keyword_and_facets(spark, memory):
 def test_orders(spark):
     rows = spark.createDataFrame([(2, "b", at(1), at(1), 2), (1, "b", at(1), at(3), 0), (3, "a", at(2), at(2), 1)],
                                  "id bigint, title string, created_at timestamp, updated_at timestamp, chunk_index int") \
-        .withColumn("document_id", F.lit(1))
-    assert ids(ordering.newest_first(rows)) == [3, 1, 2]
-    assert ids(ordering.by_activity(rows)) == [1, 3, 2]
-    assert ids(ordering.chronological(rows)) == [1, 2, 3]
-    assert ids(ordering.alphabetical(rows)) == [3, 1, 2]
-    assert ids(ordering.in_document_order(rows)) == [1, 3, 2]
+        .withColumns({"document_id": F.lit(1), "owner": F.lit("o"), "conversation_id": F.lit(1), "is_pinned": F.col("id") == 2})
+    for order, expected in ((ordering.newest_first, [3, 1, 2]), (ordering.by_activity, [1, 3, 2]), (ordering.chronological, [1, 2, 3]),
+                            (ordering.alphabetical, [3, 1, 2]), (ordering.in_document_order, [1, 3, 2]), (ordering.pinned_first, [2, 1, 3])):
+        placed = order(rows.unionByName(rows.withColumns({"owner": F.lit("p"), "conversation_id": F.lit(2)})))
+        assert ids(placed.where("owner = 'o'").orderBy("position")) == expected
+        assert sorted(r.position for r in placed.collect()) == [1, 1, 2, 2, 3, 3]
     top = ordering.newest_per(rows, ["title"], 1)
     assert {(r.id, r.rank) for r in top.collect()} == {(1, 1), (3, 1)}
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
@@ -248,21 +252,23 @@ def test_lists(spark):
                                  "id bigint, owner string, title string, raw_text string, created_at timestamp")
     chunks = spark.createDataFrame([(2,)], "document_id bigint")
     got = views.list_documents(docs, chunks).collect()
-    assert [(r.id, len(r.raw_text_preview), r.chunk_count) for r in got] == [(2, 500, 1), (1, 0, 0)]
+    assert sorted((r.position, r.id, len(r.raw_text_preview), r.chunk_count) for r in got) == [(1, 2, 500, 1), (2, 1, 0, 0)]
     tasks = spark.createDataFrame([("in_progress", "high", datetime(2025, 3, 4, 23, 59, tzinfo=timezone.utc))],
                                   "status string, priority string, due_date timestamp")
     row = views.tasks_view(tasks).first()
     assert (row.status_label, row.priority_label, row.due_day) == ("In Progress", "High", date(2025, 3, 4))
     notes = spark.createDataFrame([(1,), (2,)], "id bigint")
     links = spark.createDataFrame([(1, 30), (1, 4), (1, 31), (1, 4)], "note_id bigint, document_id bigint")
-    got = {(r.id, r.page): r.related_documents for r in views.notes_view(notes, links, page_rows=10).collect()}
-    assert got == {(1, 0): [4], (1, 3): [30, 31], (2, 0): []}
+    got = {(r.id, r.page): r.related_documents for r in views.notes_view(notes, links, page_rows=2).collect()}
+    assert got == {(1, 0): [4, 30], (1, 1): [31], (2, 0): []}
 
 
 def test_exact_rank_and_salted_join(spark):
     rows = spark.createDataFrame([("a", i * 7 % 50) for i in range(50)] + [("b", 3)], "k string, v int")
     ranked = sizing.exact_rank(rows, ["k"], F.floor(F.col("v") / 8), [F.col("v")], "n")
     assert {(r.k, r.v): r.n for r in ranked.collect()} == {**{("a", v): v + 1 for v in range(50)}, ("b", 3): 1}
+    one = sizing.exact_rank(rows, ["k"], F.lit(0), [F.col("v")], "n", F.floor(F.col("v") / 8), most=10)
+    assert {(r.k, r.v): r.n for r in one.collect()} == {(r.k, r.v): r.n for r in ranked.collect()}
     small = spark.createDataFrame([("a", 1), ("c", 2)], "k string, w int")
     assert sizing.salted_join(rows, small, ["k"], F.col("v"), 4).count() == 50
     assert sizing.small_frame(small.filter("w > 5")) is None
