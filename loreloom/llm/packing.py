@@ -46,10 +46,8 @@ class Tokenizer:
 
     MARKS = ".,;:!?$%#&*"
 
-    def __init__(self, path: str, remember: int = 400_000):
-        from tokenizers import Tokenizer as Model
-
-        self.model = Model.from_file(path)
+    def __init__(self, path: str, remember: int = 250_000):
+        self.model = shared_model(path)
         self.merges = self.model.model.tokenize
         self.letters = _byte_letters()
         self.known = remembered(self._encode, remember)
@@ -70,9 +68,11 @@ class Tokenizer:
 
 
 @cache
-def shared_tokenizer(path: str) -> Tokenizer:
-    """One for all tasks of a worker process, so that what it remembers outlives a task."""
-    return Tokenizer(path)
+def shared_model(path: str):
+    """One for all tasks of a worker process: reading the vocabulary takes longer than a small task."""
+    from tokenizers import Tokenizer as Model
+
+    return Model.from_file(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        model = shared_tokenizer(path)
+        model = Tokenizer(path)  # what it remembers, about 250 bytes a word, goes with the task
         for batch in batches:
             identifiers = batch.column(0)
             for start, texts in text_batches(batch, "text"):
