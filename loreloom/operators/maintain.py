@@ -3,8 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loreloom import constants as K
 from loreloom.functions.tags import normalize_tags
 from loreloom.operators.sizing import broadcast_if_bounded
+from loreloom.operators.validation import split_valid
+from loreloom.sources.tables import stored, with_new_ids
 
 # Parent table -> [(child table, child's foreign key)].
 FOREIGN_KEYS = {
@@ -76,16 +79,30 @@ def replace_links(links: DataFrame, new: DataFrame, parents: DataFrame, key: str
     return links.join(replaced, key, "left_anti").unionByName(new)
 
 
+def _one_patch_per_row(patches: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Several patches of a row become one: each field has the value of the last patch that names it. Last is the greatest
+    ``patched_at``, where patches have one; patches that tie are ordered by their values."""
+    at = [F.col("patched_at")] if "patched_at" in patches.columns else []
+
+    def last(column: str) -> Column:
+        # Values of any type that can be ordered; the names break ties of equal values.
+        named = F.array_contains("fields", column)
+        order = F.when(named, F.struct(*at, F.col(column).isNotNull().alias("_given"), F.col(column).alias("_value")))
+        return F.max_by(F.struct(F.col(column).alias("v")), order)["v"].alias(f"_{column}")
+
+    return patches.groupBy(*key).agg(
+        F.array_distinct(F.flatten(F.collect_set("fields"))).alias("_fields"), *[last(c) for c in columns])
+
+
 def partial_update(base: DataFrame, patches: DataFrame, columns: list[str], as_of: Column,
                    owned: bool = True) -> DataFrame:
-    """Apply at most one patch per row: id, [owner], ``fields`` (names given), and the new values.
+    """Apply patches: id, [owner], ``fields`` (names given), the new values and optionally patched_at.
 
     A named field takes the patch value even when that is null. Patches for unknown or
-    foreign rows change nothing. Array column ``tags`` is normalised again.
+    foreign rows change nothing, and several for one row are one (``_one_patch_per_row``). Array column ``tags`` is normalised again.
     """
     key = ["id", "owner"] if owned else ["id"]
-    patch = patches.select(*key, F.col("fields").alias("_fields"),
-                           *[F.col(c).alias(f"_{c}") for c in columns])
+    patch = stored(_one_patch_per_row(patches, key, columns), "patches")
     joined = base.join(broadcast_if_bounded(patch), key, "left")
 
     def value(column: str) -> Column:
@@ -101,8 +118,10 @@ def partial_update(base: DataFrame, patches: DataFrame, columns: list[str], as_o
     ])
 
 
-def _stamped(rows: DataFrame, owner: Column, as_of: Column) -> DataFrame:
-    return rows.withColumns({"owner": owner, "created_at": as_of, "updated_at": as_of})
+def _stamped(rows: DataFrame, owner: Column, as_of: Column, existing: DataFrame | None) -> DataFrame:
+    """With owner and times, and an id where the rows have none: the ids after those of ``existing``, the stored table."""
+    stamped = rows.withColumns({"owner": owner, "created_at": as_of, "updated_at": as_of})
+    return stamped if "id" in rows.columns else with_new_ids(stamped, existing)
 
 
 def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -113,32 +132,39 @@ def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     })
 
 
-def new_memory_entries(rows: DataFrame, owner: Column, as_of: Column, source: str = "manual") -> DataFrame:
+def new_memory_entries(rows: DataFrame, owner: Column, as_of: Column, source: str = "manual",
+                       existing: DataFrame | None = None) -> DataFrame:
     filled = with_defaults(rows, {
         "category": F.lit("note"), "tags": F.array().cast("array<string>"), "is_pinned": F.lit(False),
         "source": F.lit(source),
     })
-    return _stamped(filled, owner, as_of).withColumn("tags", normalize_tags(F.col("tags")))
+    return _stamped(filled, owner, as_of, existing).withColumn("tags", normalize_tags(F.col("tags")))
 
 
-def new_tasks(rows: DataFrame, owner: Column, as_of: Column) -> DataFrame:
+def new_tasks(rows: DataFrame, owner: Column, as_of: Column, existing: DataFrame | None = None) -> DataFrame:
     return _stamped(with_defaults(rows, {
         "description": F.lit(""), "status": F.lit("pending"), "priority": F.lit("medium"),
         "due_date": F.lit(None).cast("timestamp"),
-    }), owner, as_of)
+    }), owner, as_of, existing)
 
 
-def new_goals(rows: DataFrame, owner: Column, as_of: Column) -> DataFrame:
+def new_goals(rows: DataFrame, owner: Column, as_of: Column, existing: DataFrame | None = None) -> DataFrame:
     return _stamped(with_defaults(rows, {
         "description": F.lit(""), "target_date": F.lit(None).cast("date"), "progress": F.lit(0),
         "is_completed": F.lit(False),
-    }), owner, as_of)
+    }), owner, as_of, existing)
+
+
+def note_error(title: Column, content: Column) -> Column:
+    """The form refuses notes without title or content."""
+    return F.when(F.coalesce(title, F.lit("")) == "", F.struct(F.lit("title").alias("field"), F.lit(K.FIELD_REQUIRED).alias("message"))) \
+        .when(F.coalesce(content, F.lit("")) == "", F.struct(F.lit("content").alias("field"), F.lit(K.FIELD_REQUIRED).alias("message")))
 
 
-def new_notes(rows: DataFrame, owner: Column, as_of: Column) -> DataFrame:
-    """Rows without title or content are refused by the form and left out here."""
-    given = (F.coalesce("title", F.lit("")) != "") & (F.coalesce("content", F.lit("")) != "")
-    return _stamped(rows.filter(given), owner, as_of)
+def new_notes(rows: DataFrame, owner: Column, as_of: Column, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new notes, refused rows with ``error``)."""
+    good, refused = split_valid(rows, note_error(F.col("title"), F.col("content")))
+    return _stamped(good, owner, as_of, existing), refused
 
 
 def toggled_status(status: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,22 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def with_new_ids(rows: DataFrame, existing: DataFrame | None, name: str = "id") -> DataFrame:
+    """``rows`` with ids above all of ``existing``, gapless, one each, and no row in a window of all others.
+
+    The rows are stored first: a recomputed task can't give a row another id."""
+    start = (existing.agg(F.max(name)).first()[0] if existing is not None else None) or 0
+    placed = stored(rows.drop(name).select("*", F.monotonically_increasing_id().alias("_place")), "numbered")
+    part = F.shiftright("_place", 33)
+    # A row for each partition of the input.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
+        name, (F.lit(start + 1) + F.col("_before") + F.col("_place") - F.shiftleft(F.col("_part"), 33)).cast("bigint")).drop(
+        "_place", "_part", "_before")
+
+
 def as_json(rows: DataFrame, column: str = "json") -> DataFrame:
     """Each row as one JSON text."""
     return rows.select(F.to_json(F.struct("*")).alias(column))

@@ -93,11 +93,10 @@ _INGESTED = ",\n".join([
 _TURNS = f"""turns AS (
   SELECT conv_id * 100 + turn AS id, conv_id, turn, role, text AS content,
          {EPOCH} + (conv_id * 60 + turn) * 60 AS made, 'src' || (conv_id % 20) AS owner
-  FROM conversations WHERE role IN ('user', 'assistant'))"""
+  FROM conversations)"""
 
 _QUESTIONS = """questions AS (
-  SELECT conv_id, owner, max(id) AS query_id, arg_max(content, id) AS content
-  FROM turns WHERE role = 'user' GROUP BY conv_id, owner)"""
+  SELECT conv_id, owner, id AS query_id, content FROM turns WHERE role = 'user')"""
 
 _RETRIEVED = ",\n".join([
     _INGESTED, _TURNS, _QUESTIONS,
@@ -119,11 +118,11 @@ best AS (
 
 def _history(source: str, key: str, n: int) -> str:
     return f"""newest AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY made DESC, id DESC) AS recency FROM {source}),
+  SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY made DESC, id DESC) AS recency FROM {source}),
 lines AS (
-  SELECT conv_id, count(*) AS message_count, coalesce(string_agg(role || ': ' || content, chr(10)
-         ORDER BY recency DESC) FILTER (content <> ''), '') AS raw FROM newest WHERE recency <= {n} GROUP BY conv_id),
-history AS (SELECT conv_id, message_count, {_truncate('raw', HISTORY_CHARS)} AS history FROM lines)"""
+  SELECT {key}, count(*) AS message_count, coalesce(string_agg(role || ': ' || content, chr(10)
+         ORDER BY recency DESC) FILTER (content <> ''), '') AS raw FROM newest WHERE recency <= {n} GROUP BY {key}),
+history AS (SELECT {key}, message_count, {_truncate('raw', HISTORY_CHARS)} AS history FROM lines)"""
 
 
 _CONTEXT = ",\n".join([
@@ -133,12 +132,13 @@ blocks AS (
   SELECT query_id, count(*) AS source_count, string_agg('[S' || rank || '] Document: ' || document_title || chr(10)
          || 'Chunk: ' || chunk_index || chr(10) || excerpt, chr(10) || chr(10) ORDER BY rank) AS raw_context
   FROM cut GROUP BY query_id),
-earlier AS (SELECT turns.* FROM turns JOIN questions USING (conv_id) WHERE turns.id < questions.query_id)""",
-    _history("earlier", "conv_id", 8),
+earlier AS (
+  SELECT turns.*, questions.query_id FROM turns JOIN questions USING (conv_id) WHERE turns.id < questions.query_id)""",
+    _history("earlier", "query_id", 8),
     f"""contexts AS (
   SELECT q.conv_id, q.query_id, q.content AS message, coalesce(b.source_count, 0) AS source_count,
          coalesce({_truncate('b.raw_context', CONTEXT_CHARS)}, '') AS context, coalesce(h.history, '') AS history
-  FROM questions q LEFT JOIN blocks b USING (query_id) LEFT JOIN history h USING (conv_id))""",
+  FROM questions q LEFT JOIN blocks b USING (query_id) LEFT JOIN history h USING (query_id))""",
 ])
 
 _ANSWERS = ",\n".join([
@@ -329,7 +329,7 @@ SELECT conv_id AS conversation_id, query_id AS exchange_id, source_count, md5(co
 FROM contexts"""
 
 ORACLE["fallback_answer"] = _with(_ANSWERS) + """
-SELECT conv_id AS conversation_id, answer FROM answers"""
+SELECT conv_id AS conversation_id, query_id AS exchange_id, answer FROM answers"""
 
 ORACLE["record_exchange"] = _with(_ANSWERS, f"""stored AS (
   SELECT id, conv_id, role, content, CASE WHEN role = 'assistant' THEN 3 ELSE 0 END AS cites FROM turns
@@ -483,7 +483,7 @@ FROM part"""
 
 ORACLE["notes_view"] = """
 SELECT a.doc_id AS id, a.source AS owner, 'Document ' || a.doc_id AS title,
-       0 AS page,
+       CAST(0 AS BIGINT) AS page,
        coalesce(string_agg(CAST(b.doc_id AS VARCHAR), ',' ORDER BY b.doc_id), '') AS related_ids
 FROM documents a LEFT JOIN documents b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 3
 GROUP BY a.doc_id, a.source"""

@@ -67,11 +67,10 @@ def _ingested_chunks(t: Tables) -> DataFrame:
     return stored(_embedded(t), "chunks")
 
 
-def _exchanges(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """(last question of every conversation, the messages before it)."""
-    questions, earlier = chat.pending_questions(t.messages())
+def _exchanges(t: Tables) -> DataFrame:
+    """Every user message as an exchange, with its place in its conversation."""
     owners = t.conversations().select(F.col("id").alias("conversation_id"), "owner")
-    return questions.join(owners, "conversation_id"), earlier
+    return chat.asked_questions(t.messages()).join(owners, "conversation_id")
 
 
 def embedded_chunks(spark, sf_dir):
@@ -85,9 +84,9 @@ def embedded_chunks(spark, sf_dir):
 
 
 def text_search_topk(spark, sf_dir):
-    """Every conversation's last question, embedded and searched among its owner's chunks."""
+    """Every question of every conversation, embedded and searched among its owner's chunks."""
     t = Tables(spark, sf_dir)
-    asked = _exchanges(t)[0].select(F.col("exchange_id").alias("query_id"), "owner", F.col("message").alias("query"))
+    asked = _exchanges(t).select(F.col("exchange_id").alias("query_id"), "owner", F.col("message").alias("query"))
     hits = search_chunks(embed_queries(asked), _ingested_chunks(t), t.documents())
     return hits.select(
         "query_id", "owner", F.col("rank").cast("bigint").alias("rank"), "document_id", "chunk_id",
@@ -266,8 +265,7 @@ def recent_history_4(spark, sf_dir):
 
 
 def _contexts(t: Tables) -> DataFrame:
-    exchanges, earlier = _exchanges(t)
-    return chat.chat_context(exchanges, earlier, _ingested_chunks(t), t.documents())
+    return chat.chat_context(_exchanges(t), t.messages(), _ingested_chunks(t), t.documents())
 
 
 def chat_context(spark, sf_dir):
@@ -281,11 +279,11 @@ def chat_context(spark, sf_dir):
 
 def fallback_answer(spark, sf_dir):
     rows = chat.answer(_contexts(Tables(spark, sf_dir)))
-    return rows.select("conversation_id", "answer")
+    return rows.select("conversation_id", "exchange_id", "answer")
 
 
 def record_exchange(spark, sf_dir):
-    """Messages and citations after every last question got its answer stored."""
+    """Messages and citations after every question got its answer stored."""
     t = Tables(spark, sf_dir)
     answered = chat.answer(_contexts(t)).withColumns({
         "title": F.lit(None).cast("string"),

@@ -89,8 +89,7 @@ class Tables:
         )
 
     def conversations(self) -> DataFrame:
-        turns = self.raw("conversations").filter(F.col("role").isin("user", "assistant"))
-        return turns.groupBy("conv_id").agg(
+        return self.raw("conversations").groupBy("conv_id").agg(
             F.min("turn").alias("_first"), F.max("turn").alias("_last")
         ).select(
             F.col("conv_id").alias("id"), _owner(F.col("conv_id")).alias("owner"),
@@ -100,7 +99,8 @@ class Tables:
         )
 
     def messages(self) -> DataFrame:
-        return self.raw("conversations").filter(F.col("role").isin("user", "assistant")).select(
+        """Messages of all roles, ``system`` too."""
+        return self.raw("conversations").select(
             (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("conversation_id"),
             "role", F.col("text").alias("content"), _at(F.col("conv_id") * 60 + F.col("turn")).alias("created_at"),
         )

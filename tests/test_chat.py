@@ -64,12 +64,60 @@ def test_history_is_cut_from_the_start(spark):
     assert text.startswith("user: a a") and text.endswith("...") and len(text) <= 4003
 
 
-def test_pending_questions(spark):
+def test_every_question_has_the_history_before_it(spark):
     rows = messages(spark, (1, 1, "user", "first"), (2, 1, "assistant", "reply"), (3, 1, "user", "second"),
-                    (4, 1, "assistant", "later"), (5, 2, "assistant", "alone"))
-    questions, earlier = chat.pending_questions(rows)
-    assert [(r.conversation_id, r.exchange_id, r.message) for r in questions.collect()] == [(1, 3, "second")]
-    assert sorted(r.id for r in earlier.collect()) == [1, 2]
+                    (4, 1, "system", "later"), (5, 2, "assistant", "alone"), (6, 1, "user", "third"))
+    asked = chat.asked_questions(rows)
+    assert sorted((r.exchange_id, r.conversation_id, r.message, r.seq) for r in asked.collect()) == [
+        (1, 1, "first", 1), (3, 1, "second", 3), (6, 1, "third", 5)]
+    got = {r.exchange_id: [m.content for m in r.messages] for r in chat.history_before(asked, rows, 3).collect()}
+    assert got == {3: ["first", "reply"], 6: ["reply", "second", "later"]}
+
+
+def _answered(spark, rows):
+    return spark.createDataFrame(rows, "exchange_id long, owner string, conversation_id long, title string, message string, answer string") \
+        .withColumn("sources", F.array().cast("array<struct<chunk_id:string,score:double>>"))
+
+
+def test_recording_keeps_owners_and_new_conversations_apart(spark, as_of):
+    talks = spark.createDataFrame([(1, "ada", "Ada", T0, T0), (2, "eve", "Eve", T0, T0)],
+                                  "id long, owner string, title string, created_at timestamp, updated_at timestamp")
+    stored = messages(spark, (9, 1, "user", "before"))
+    links = spark.createDataFrame([], "message_id long, chunk_id string, citation_rank int, score double")
+    after = chat.record_exchanges(_answered(spark, [
+        (1, "ada", 1, None, "mine", "a"), (2, "eve", 1, None, "not hers", "b"), (3, "eve", None, "first new", "m3", "c"),
+        (4, "ada", None, "second new", "m4", "d"), (5, "ada", 77, None, "unknown", "e"), (6, "ada", 1, None, "again", "f"),
+        (7, None, None, "no owner", "m7", "g")]), talks, stored, links, as_of)
+    assert {(r.exchange_id, r.error) for r in after.refused.collect()} == {(2, "Conversation not found."), (5, "Conversation not found.")}
+    talk = {r.id: (r.owner, r.title) for r in after.conversations.collect()}
+    assert after.conversations.count() == 5 and set(talk) == {1, 2, 3, 4, 5}
+    assert sorted(v[1] for k, v in talk.items() if k > 2) == ["first new", "no owner", "second new"]
+    said = after.messages.collect()
+    assert len({r.id for r in said}) == len(said) == 11 and all(r.id > 9 for r in said if r.content != "before")
+    for r in said:
+        if r.content in ("m3", "c"):
+            assert talk[r.conversation_id] == ("eve", "first new")
+        if r.content in ("m4", "d"):
+            assert talk[r.conversation_id] == ("ada", "second new")
+    assert {r.content for r in said if r.conversation_id == 1} == {"before", "mine", "a", "again", "f"}
+
+
+def test_chat_chain(spark, library, as_of):
+    docs, chunks = library
+    talks = spark.createDataFrame([(7, "ada", "old", T0, T0)], "id long, owner string, title string, created_at timestamp, updated_at timestamp")
+    asks = spark.createDataFrame([(1, "ada", 7, "I like tea"), (2, "ada", None, "x" * 100), (3, "eve", 7, "not hers"), (4, "ada", 7, " ")], EXCHANGE)
+    links = spark.createDataFrame([], "message_id long, chunk_id string, citation_rank int, score double")
+    memories = spark.createDataFrame([(5, "ada")], "id long, owner string")
+
+    def load():
+        return lambda text: '{"title":"Tea","content":"likes tea","category":"preference"}' if "I like tea" in text else "{}"
+
+    done = chat.chat_requests(asks, talks, messages(spark, (1, 7, "user", "before")), links, chunks, docs, memories, as_of, load, EMBED)
+    assert {(r.exchange_id, r.error.field) for r in done.refused.collect()} == {(3, "conversation_id"), (4, "message")}
+    assert done.recorded.refused.count() == 0
+    assert {r.id: r.title for r in done.recorded.conversations.collect()} == {7: "old", 8: "x" * 80}
+    assert done.recorded.messages.count() == 5
+    assert [(r.id, r.title) for r in done.memories.collect()] == [(6, "Tea")]
 
 
 def test_conversations_are_resolved(spark):

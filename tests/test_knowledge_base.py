@@ -26,7 +26,7 @@ def kb(spark, as_of, tmp_path_factory):
         "documents": result.documents, "document_chunks": result.chunks, "nodes": graph.nodes,
         "node_documents": graph.links, "edges": graph.edges,
         "memory_entries": new_memory_entries(one, F.lit("ada"), as_of), "tasks": new_tasks(one, F.lit("ada"), as_of),
-        "goals": new_goals(one, F.lit("ada"), as_of), "notes": new_notes(one, F.lit("ada"), as_of),
+        "goals": new_goals(one, F.lit("ada"), as_of), "notes": new_notes(one, F.lit("ada"), as_of)[0],
         "note_documents": spark.createDataFrame([(1, 3)], "note_id bigint, document_id bigint"),
         "conversations": spark.createDataFrame([(5, "ada", "Talk")], "id bigint, owner string, title string"),
     }

@@ -95,7 +95,26 @@ def test_new_rows_get_defaults(spark, as_of):
     goal = maintain.new_goals(rows.select("title"), F.lit("ada"), as_of).first()
     assert (goal.progress, goal.is_completed, goal.target_date) == (0, False, None)
     notes = spark.createDataFrame([("t", "c"), ("", "c"), ("t", None)], "title string, content string")
-    assert maintain.new_notes(notes, F.lit("ada"), as_of).count() == 1
+    good, refused = maintain.new_notes(notes, F.lit("ada"), as_of)
+    assert good.count() == 1 and refused.count() == notes.count() - 1 and {r.error.field for r in refused.collect()} <= {"title", "content"}
+
+
+def test_new_rows_get_ids(spark, as_of):
+    stored = spark.createDataFrame([(7,), (3,)], "id bigint")
+    rows = spark.createDataFrame([(f"t{i}",) for i in range(20)], "title string").repartition(4)
+    assert sorted(r.id for r in maintain.new_tasks(rows, F.lit("ada"), as_of, stored).collect()) == list(range(8, 28))
+    assert sorted(r.id for r in maintain.new_goals(rows, F.lit("ada"), as_of).collect()) == list(range(1, 21))
+    assert maintain.new_tasks(rows.limit(0), F.lit("ada"), as_of, stored).count() == 0
+
+
+def test_patches_of_one_row_become_one(spark, memory, as_of):
+    patches = spark.createDataFrame([
+        (1, "ada", ["title"], "first", None, 1), (1, "ada", ["title", "category"], "second", "fact", 2), (1, "ada", ["category"], None, "note", 3),
+        (2, "ada", ["title"], "was", None, 1), (2, "ada", ["title"], None, None, 2),
+    ], "id bigint, owner string, fields array<string>, title string, category string, patched_at int")
+    after = maintain.partial_update(memory, patches, ["title", "category"], as_of)
+    got = {r.id: (r.title, r.category) for r in after.collect()}
+    assert after.count() == memory.count() and got[1] == ("second", "note") and got[2] == (None, "fact")
 
 
 def test_partial_update(spark, memory, as_of):
