@@ -137,7 +137,7 @@ class Recorded:
     exchanges: DataFrame
 
 
-def _settled(answered: DataFrame, conversations: DataFrame) -> DataFrame:
+def _settled(answered: DataFrame, conversations: DataFrame, ids: DataFrame | None) -> DataFrame:
     """Exchanges with ``error`` (null: accepted), ``_opens`` (for the one that opens its conversation) and a conversation id each.
 
     A null conversation asks for a new one, each for its own. A named one must be its owner's; an unknown one is opened if the exchange
@@ -146,7 +146,7 @@ def _settled(answered: DataFrame, conversations: DataFrame) -> DataFrame:
     new = answered.filter(fresh).drop("conversation_id")
     taken = conversations.select(F.col("id").alias("conversation_id")).union(
         answered.filter(F.col("title").isNotNull()).select("conversation_id"))
-    opened = with_new_ids(new, taken, "conversation_id") \
+    opened = with_new_ids(new, taken if ids is None else ids.select(F.col("id").alias("conversation_id")), "conversation_id") \
         .withColumns({"error": F.lit(None).cast("string"), "_opens": F.lit(True)})
     known = conversations.select(F.col("id").alias("conversation_id"), F.col("owner").alias("_owner"))
     named = answered.filter(~fresh).join(known, "conversation_id", "left")
@@ -161,7 +161,7 @@ def _settled(answered: DataFrame, conversations: DataFrame) -> DataFrame:
 
 
 def record_exchanges(answered: DataFrame, conversations: DataFrame, messages: DataFrame,
-                     message_chunks: DataFrame, as_of: Column) -> Recorded:
+                     message_chunks: DataFrame, as_of: Column, ids: DataFrame | None = None) -> Recorded:
     """Tables after storing the exchanges.
 
     ``answered``: exchange_id (distinct), owner, conversation_id, title (for new conversations), message,
@@ -169,13 +169,14 @@ def record_exchanges(answered: DataFrame, conversations: DataFrame, messages: Da
     absent. Sources go to the assistant message, the user message gets none, and the conversations' updated_at moves. The exchanges
     are stored first, so that a model is asked once and all tables get the same answer. Exchanges that name a conversation of
     another owner, or an unknown one without a title, store nothing and come back in ``refused``; ``exchanges`` are the stored
-    ones, with their conversation.
+    ones, with their conversation. New ids follow those of the tables, or of ``ids`` where the tables aren't all there is.
     """
-    settled = stored(_settled(stored(answered, "answered"), conversations), "settled")
+    settled = stored(_settled(stored(answered, "answered"), conversations, ids), "settled")
     refused = settled.filter(F.col("error").isNotNull()).drop("_opens")
     answered = settled.filter(F.col("error").isNull()).drop("error")
     if "user_message_id" not in answered.columns:
-        answered = with_new_ids(answered, messages.select((F.ceil(F.col("id") / 2)).alias("_pair")), "_pair").withColumns({
+        used = messages if ids is None else ids
+        answered = with_new_ids(answered, used.select(F.ceil(F.col("id") / 2).alias("_pair")), "_pair").withColumns({
             "user_message_id": F.col("_pair") * 2, "assistant_message_id": F.col("_pair") * 2 + 1}).drop("_pair")
         answered = stored(answered, "numbered-answers")
     said = answered.select(
@@ -225,7 +226,7 @@ class Chat:
 
 def chat_requests(requests: DataFrame, conversations: DataFrame, messages: DataFrame, message_chunks: DataFrame, chunks: DataFrame,
                   documents: DataFrame, memories: DataFrame, as_of: Column, model: Generator | None = None,
-                  embedder: Embedder | None = None) -> Chat:
+                  embedder: Embedder | None = None, ids: DataFrame | None = None) -> Chat:
     """The whole chain: validate, resolve or open the conversation, history, retrieval, answer, record, memories.
 
     ``requests``: exchange_id, owner, conversation_id, message. Conversations are settled before anything is retrieved, so that
@@ -236,8 +237,9 @@ def chat_requests(requests: DataFrame, conversations: DataFrame, messages: DataF
         "error", F.struct(F.lit("conversation_id").alias("field"), F.lit("Conversation not found.").alias("message")))
     asked = resolved.filter(F.col("status") != "not_found").drop("status")
     answered = answer(chat_context(asked, messages, chunks, documents, embedder), model)
-    recorded = record_exchanges(answered, conversations, messages, message_chunks, as_of)
-    return Chat(recorded, extract_memories(recorded.exchanges, as_of, model, memories), invalid.unionByName(lost))
+    recorded = record_exchanges(answered, conversations, messages, message_chunks, as_of, ids)
+    found = extract_memories(recorded.exchanges, as_of, model, memories if ids is None else ids)
+    return Chat(recorded, found, invalid.unionByName(lost))
 
 
 def list_conversations(conversations: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from loreloom.functions.text import prefix
 from loreloom.operators import graph
 from loreloom.operators.chunking import chunk_documents, chunk_id, replace_chunks
 from loreloom.operators.generate import capitalised_phrases
-from loreloom.operators.validation import document_error, split_valid
+from loreloom.operators.validation import ERROR, document_error, split_valid
 from loreloom.sources.extraction import extract_text
 from loreloom.sources.tables import stored
 
@@ -93,12 +93,14 @@ class Accepted:
 def ingest_uploads(uploads: DataFrame, as_of: Column, nodes: DataFrame | None = None, links: DataFrame | None = None,
                    edges: DataFrame | None = None, allowed: tuple[str, ...] = K.UPLOAD_TYPES, strict: bool = False,
                    embedder: Embedder | None = None, extractor: Callable[[Column], Column] | None = capitalised_phrases,
-                   decoders: dict | None = None, size: int | None = None, overlap: int | None = None) -> Accepted:
+                   decoders: dict | None = None, size: int | None = None, overlap: int | None = None,
+                   checked: bool = True) -> Accepted:
     """The whole chain for uploads: validate, process, chunk, embed, and merge what was extracted into the graph.
 
-    Files are decoded once and models are asked once: processed rows and payloads are stored in between."""
-    good, refused = split_valid(uploads, document_error(
-        F.col("file_type"), F.col("file_name"), F.col("file_size"), F.col("raw_text"), F.col("source_url"), allowed))
+    Files are decoded once and models are asked once: processed rows and payloads are stored in between. ``checked`` is false for
+    rows that passed before and are processed again."""
+    error = document_error(F.col("file_type"), F.col("file_name"), F.col("file_size"), F.col("raw_text"), F.col("source_url"), allowed)
+    good, refused = split_valid(uploads, error if checked else F.lit(None).cast(ERROR))
     done = stored_processing(good, as_of, decoders)
     result = ingest(done, as_of, embedder, extractor, None, size, overlap, processed=True)
     return Accepted(refused, result, upsert_graph(result.payloads, as_of, nodes, links, edges, strict))

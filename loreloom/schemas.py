@@ -26,10 +26,10 @@ CONVERSATIONS = _table(
     ("id", _long), ("owner", _str), ("title", _str), ("created_at", _ts), ("updated_at", _ts),
 )
 MESSAGES = _table(
-    ("id", _long), ("conversation_id", _long), ("role", _str), ("content", _str), ("created_at", _ts),
+    ("id", _long), ("conversation_id", _long), ("owner", _str), ("role", _str), ("content", _str), ("created_at", _ts),
 )
 MESSAGE_CHUNKS = _table(
-    ("message_id", _long), ("chunk_id", _str), ("citation_rank", _int), ("score", _dbl),
+    ("message_id", _long), ("owner", _str), ("chunk_id", _str), ("citation_rank", _int), ("score", _dbl),
 )
 MEMORY_ENTRIES = _table(
     ("id", _long), ("owner", _str), ("title", _str), ("content", _str), ("category", _str),
@@ -40,7 +40,7 @@ NODES = _table(
     ("id", _str), ("owner", _str), ("title", _str), ("node_type", _str), ("description", _str),
     ("metadata", T.MapType(_str, _str)), ("created_at", _ts), ("updated_at", _ts),
 )
-NODE_DOCUMENTS = _table(("node_id", _str), ("document_id", _long))
+NODE_DOCUMENTS = _table(("node_id", _str), ("owner", _str), ("document_id", _long))
 EDGES = _table(
     ("id", _str), ("owner", _str), ("source_id", _str), ("target_id", _str),
     ("relationship_type", _str), ("description", _str), ("weight", _dbl), ("created_at", _ts),
@@ -49,7 +49,7 @@ NOTES = _table(
     ("id", _long), ("owner", _str), ("title", _str), ("content", _str),
     ("created_at", _ts), ("updated_at", _ts),
 )
-NOTE_DOCUMENTS = _table(("note_id", _long), ("document_id", _long))
+NOTE_DOCUMENTS = _table(("note_id", _long), ("owner", _str), ("document_id", _long))
 TASKS = _table(
     ("id", _long), ("owner", _str), ("title", _str), ("description", _str), ("status", _str),
     ("priority", _str), ("due_date", _ts), ("created_at", _ts), ("updated_at", _ts),

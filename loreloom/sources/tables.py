@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,20 +16,39 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def conform(rows: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns of ``schema`` in order and type; absent ones are null."""
-    return rows.select(*[
-        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema
-    ])
+    def column(f: T.StructField) -> Column:
+        if f.name not in rows.columns:
+            return F.lit(None).cast(f.dataType)
+        # Equal types need no cast, which nullable elements would forbid.
+        same = rows.schema[f.name].dataType.simpleString() == f.dataType.simpleString()
+        return F.col(f.name) if same else F.col(f.name).cast(f.dataType)
 
+    return rows.select(*[column(f).alias(f.name) for f in schema])
 
-def append_table(rows: DataFrame, root: str, name: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Append; ``partition_by=("owner",)`` lets one tenant's scan skip the others' files."""
+
+def append_table(rows: DataFrame, root: str, name: str) -> None:
+    """Append. A table with owners has a folder for each, so one tenant's scan skips the others' files."""
     writer = conform(rows, TABLES[name]).write.mode("append")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    if "owner" in TABLES[name].names:
+        writer = writer.partitionBy("owner")
     writer.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def _folder_name(value: str) -> str:
+    """A partition value as Spark writes it in a folder name."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value)
+
+
+def replace_owner(changed: dict[str, DataFrame], root: str, owner: str) -> None:
+    """Give tables new contents for one owner; all other owners' folders stay untouched.
+
+    All new rows are written to the shared folder first, as they derive from the files they replace, and swapped in when every
+    table's are complete. A swap that broke off is repeated by calling this again with the same rows: contents, not changes, are written."""
+    staged = {name: stored(conform(rows, TABLES[name]).drop("owner"), f"staged-{name}") for name, rows in changed.items()}
+    for name, rows in staged.items():
+        rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/owner={_folder_name(owner)}")
+
+
 def write_table(rows: DataFrame, path: str, sort_by: tuple[str, ...] = (),
                 partition_by: tuple[str, ...] = ()) -> None:
     """Write to a new folder. Sorting within files makes row-group statistics selective."""
