@@ -96,26 +96,26 @@ def fallback_answer(question: Column, sources: Column) -> Column:
     return F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.lit(K.NO_SOURCES_ANSWER)).otherwise(found)
 
 
+MEMORY_START = (
+    "Read this exchange. If it states a lasting fact or preference of the user, reply with a JSON "
+    "object holding 'title', 'content' and 'category' (fact, preference or note); otherwise reply {}."
+    "\n\nUser: "
+)
+MEMORY_MIDDLE = "\nAssistant: "
+DIGEST_START = (
+    "Write a short daily summary, under 150 words, of what this user is working on, "
+    "and suggest one or two next steps.\n\nRecent Documents: "
+)
+DIGEST_MIDDLE = "\nRecent Memories: "
+
+
 def conversation_title(message: Column) -> Column:
     return prefix(message, K.CONVERSATION_TITLE_CHARS)
 
 
 def memory_prompt(question: Column, answer: Column) -> Column:
-    return F.concat(
-        F.lit(
-            "Read this exchange. If it states a lasting fact or preference of the user, reply with a JSON "
-            "object holding 'title', 'content' and 'category' (fact, preference or note); otherwise reply {}."
-            "\n\nUser: "
-        ),
-        question, F.lit("\nAssistant: "), answer,
-    )
+    return F.concat(F.lit(MEMORY_START), question, F.lit(MEMORY_MIDDLE), answer)
 
 
 def digest_prompt(document_titles: Column, memory_titles: Column) -> Column:
-    return F.concat(
-        F.lit(
-            "Write a short daily summary, under 150 words, of what this user is working on, "
-            "and suggest one or two next steps.\n\nRecent Documents: "
-        ),
-        document_titles, F.lit("\nRecent Memories: "), memory_titles,
-    )
+    return F.concat(F.lit(DIGEST_START), document_titles, F.lit(DIGEST_MIDDLE), memory_titles)

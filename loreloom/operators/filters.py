@@ -22,10 +22,6 @@ def with_status(rows: DataFrame, status: str, column: str = "status") -> DataFra
     return rows.filter(F.col(column) == status)
 
 
-def embedded(chunks: DataFrame) -> DataFrame:
-    return chunks.filter(F.col("embedding").isNotNull())
-
-
 def tri_state(text: Column) -> Column:
     """'true'/'1' is true, 'false'/'0' is false, anything else is null: no filter."""
     return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
@@ -83,7 +79,3 @@ def facet_counts(rows: DataFrame, facets: list[str]) -> DataFrame:
         rows.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value")
         .agg(F.count("*").alias("row_count"))
     )
-
-
-def stripped_or_null(text: Column) -> Column:
-    return F.nullif(strip(text), F.lit(""))

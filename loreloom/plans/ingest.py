@@ -115,9 +115,9 @@ class Graph:
 
 def upsert_graph(payloads: DataFrame, as_of: Column, nodes: DataFrame | None = None, links: DataFrame | None = None,
                  edges: DataFrame | None = None, strict: bool = False) -> Graph:
-    """Graph tables after the payloads. Payloads are stored first: a model is asked once per
-    document, and the three tables read the same reply."""
-    payloads = stored(payloads, "payloads")
+    """Graph tables after the payloads. Payloads are parsed and stored first: a model is asked once per
+    document, and the three tables read the same reply, each its nested columns only."""
+    payloads = stored(graph.parsed(payloads), "payloads")
     after = graph.upsert_nodes(payloads, as_of, nodes, strict)
     return Graph(
         after,

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.constants import BLANKS
-from loreloom.functions.text import normalize_text
 
 EXTRACTED = "struct<text:string,error:string>"
 
@@ -65,11 +64,3 @@ def decoder_column(content: Column, decode: Callable[[bytes], str], failure: str
         return pd.DataFrame([one(data) for data in batch], columns=["text", "error"])
 
     return run(content)
-
-
-def text_or_error(text: Column, empty_error: str) -> Column:
-    normal = normalize_text(text)
-    return F.struct(
-        F.nullif(normal, F.lit("")).alias("text"),
-        F.when(normal == "", empty_error).alias("error"),
-    )

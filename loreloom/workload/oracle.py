@@ -4,6 +4,7 @@ from loreloom.constants import (
     CHUNK_OVERLAP, CHUNK_SIZE, CONTEXT_CHARS, EMBEDDING_DIMENSIONS, EXCERPT_CHARS, HISTORY_CHARS, NO_CONTEXT, NO_HISTORY,
     NO_SOURCES_ANSWER, SOURCE_CHARS,
 )
+from loreloom.functions.prompts import DIGEST_MIDDLE, DIGEST_START, MEMORY_MIDDLE, MEMORY_START
 from loreloom.workload.tables import EPOCH
 
 _AS_OF = EPOCH + 400 * 86400
@@ -255,15 +256,16 @@ SELECT id, split_part(rule, '|', 1) AS field, split_part(rule, '|', 2) AS messag
 
 ORACLE["ingest_documents"] = _with(_INPUTS, """texts AS (
   SELECT id AS doc_id, kind, array_to_string(list_filter(list_transform(string_split(
-         CASE kind WHEN 'note' THEN raw_text WHEN 'txt' THEN text ELSE '' END, chr(10)),
+         CASE kind WHEN 'note' THEN raw_text WHEN 'txt' THEN text WHEN 'docx' THEN text ELSE '' END, chr(10)),
          lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM inputs)""",
     _chunks("chunked", CHUNK_SIZE, CHUNK_OVERLAP, "texts")) + """
-SELECT doc_id AS id, CASE WHEN text = '' THEN 'failed' ELSE 'completed' END AS processing_status,
-  CASE WHEN text <> '' THEN '' WHEN kind = 'note' THEN 'Note is empty.' WHEN kind = 'txt' THEN 'Text file is empty.'
-       WHEN kind = 'link' THEN 'Link extraction is not implemented in this MVP yet.' WHEN kind = 'docx' THEN 'docx'
-       ELSE 'Unsupported document type: ' || kind END AS processing_error,
-  coalesce(n, 0) AS chunk_count, text <> '' AS extracted
-FROM texts LEFT JOIN (SELECT document_id AS doc_id, count(*) AS n FROM chunked GROUP BY document_id) USING (doc_id)"""
+SELECT doc_id AS id, CASE WHEN texts.text = '' THEN 'failed' ELSE 'completed' END AS processing_status,
+  CASE WHEN texts.text <> '' THEN '' ELSE CASE texts.kind WHEN 'note' THEN 'Note is empty.' WHEN 'txt' THEN 'Text file is empty.'
+       WHEN 'link' THEN 'Link extraction is not implemented in this MVP yet.'
+       WHEN 'docx' THEN 'DOCX file contains no selectable text.'
+       ELSE 'Unsupported document type: ' || texts.kind END END AS processing_error,
+  coalesce(n, 0) AS chunk_count, texts.text <> '' AS extracted, md5(coalesce(nullif(texts.text, ''), raw_text)) AS text_md5
+FROM texts JOIN inputs ON inputs.id = doc_id LEFT JOIN (SELECT document_id AS doc_id, count(*) AS n FROM chunked GROUP BY document_id) USING (doc_id)"""
 
 ORACLE["replace_chunks"] = _with(
     _CHUNKS, "good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)",
@@ -454,8 +456,9 @@ LEFT JOIN (SELECT 'src' || (o_custkey % 20) AS owner, count(*) AS n FROM orders
 LEFT JOIN (SELECT source AS owner, count(*) AS n FROM chunked JOIN documents ON doc_id = document_id GROUP BY 1) c
   USING (owner)"""
 
-ORACLE["recent_digest"] = _with(_USERS, _DOCS) + """
-SELECT owner, coalesce(d.titles, '') AS recent_documents, coalesce(m.titles, '') AS recent_memories FROM people
+ORACLE["recent_digest"] = _with(_USERS, _DOCS) + f"""
+SELECT owner, coalesce(d.titles, '') AS recent_documents, coalesce(m.titles, '') AS recent_memories,
+       '{DIGEST_START}' || coalesce(d.titles, '') || '{DIGEST_MIDDLE}' || coalesce(m.titles, '') AS prompt FROM people
 LEFT JOIN (SELECT owner, string_agg(title, ', ' ORDER BY r) AS titles FROM (
   SELECT owner, title, row_number() OVER (PARTITION BY owner ORDER BY made DESC, id) AS r FROM docs)
   WHERE r <= 5 GROUP BY owner) d USING (owner)
@@ -487,3 +490,78 @@ SELECT a.doc_id AS id, a.source AS owner, 'Document ' || a.doc_id AS title,
        coalesce(string_agg(CAST(b.doc_id AS VARCHAR), ',' ORDER BY b.doc_id), '') AS related_ids
 FROM documents a LEFT JOIN documents b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 3
 GROUP BY a.doc_id, a.source"""
+
+_RULE = """CASE
+    WHEN kind IN ('docx', 'bogus') THEN 'file_type'
+    WHEN file_name IS NOT NULL AND file_size > 10485760 THEN 'file'
+    WHEN kind = 'note' AND trim(raw_text) = '' THEN 'raw_text'
+    WHEN kind IN ('pdf', 'txt') AND file_name IS NULL THEN 'file'
+    WHEN kind IN ('pdf', 'txt') AND lower(regexp_extract(file_name, '\\.[^.]+$')) <> '.' || kind THEN 'file'
+    WHEN kind = 'link' AND source_url IS NULL THEN 'source_url' END"""
+
+ORACLE["upload_chain"] = _with(_INPUTS, f"ruled AS (SELECT *, {_RULE} AS rule FROM inputs)", """texts AS (
+  SELECT id, rule, array_to_string(list_filter(list_transform(string_split(
+         CASE kind WHEN 'note' THEN raw_text WHEN 'txt' THEN text ELSE '' END, chr(10)),
+         lambda x: trim(x)), lambda x: x <> ''), chr(10)) AS text FROM ruled)""") + """
+SELECT id, CASE WHEN rule IS NOT NULL THEN 'refused: ' || rule WHEN text = '' THEN 'failed' ELSE 'completed' END AS outcome,
+       CASE WHEN rule IS NOT NULL THEN 0 ELSE len(list_distinct(list_transform(
+         regexp_extract_all(text, '\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)*'), lambda x: substr(x, 1, 255)))) END AS nodes
+FROM texts"""
+
+ORACLE["keyword_search_dated"] = _with(_DOCS, _CHUNKS, "span AS (SELECT max(doc_id) AS last FROM documents)") + f"""
+SELECT id, owner, title, coalesce(n, 0) AS chunk_count
+FROM docs CROSS JOIN span LEFT JOIN (SELECT document_id AS id, count(*) AS n FROM chunked GROUP BY document_id) USING (id)
+WHERE contains(lower(owner), 'src') AND made >= {EPOCH} + CAST(floor(last * 1 / 3) AS BIGINT) * 60
+  AND made < {EPOCH} + CAST(floor(last * 2 / 3) AS BIGINT) * 60"""
+
+ORACLE["owner_documents"] = _with(_DOCS, _CHUNKS) + """
+SELECT id, title, coalesce(n, 0) AS chunk_count, row_number() OVER (ORDER BY made DESC, id) AS position
+FROM docs LEFT JOIN (SELECT document_id AS id, count(*) AS n FROM chunked GROUP BY document_id) USING (id) WHERE owner = 'src0'"""
+
+ORACLE["nearest_chunks"] = """
+WITH vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), asked AS (SELECT v AS q FROM vectors WHERE vec_id = 0),
+scored AS (
+  SELECT vec_id AS chunk_id, round(1 - list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 9) + 0.0
+         AS distance FROM vectors, asked)
+SELECT chunk_id, round(distance, 6) AS distance FROM scored ORDER BY scored.distance, chunk_id LIMIT 10"""
+
+ORACLE["cascade_delete_owner"] = _with(_USERS, _TURNS) + """
+SELECT 'users' AS table_name, count(*) AS row_count FROM people WHERE owner <> 'src0'
+UNION ALL SELECT 'documents', count(*) FROM documents WHERE source <> 'src0'
+UNION ALL SELECT 'conversations', count(DISTINCT conv_id) FROM turns WHERE owner <> 'src0'
+UNION ALL SELECT 'messages', count(*) FROM turns WHERE owner <> 'src0'
+UNION ALL SELECT 'memory_entries', count(*) FROM events WHERE user_id % 20 <> 0
+UNION ALL SELECT 'tasks', count(*) FROM orders WHERE o_custkey % 20 <> 0
+UNION ALL SELECT 'goals', count(*) FROM part WHERE p_partkey % 20 <> 0
+UNION ALL SELECT 'notes', count(*) FROM documents WHERE source <> 'src0'
+UNION ALL SELECT 'note_documents', count(*) FROM documents a JOIN documents b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 3
+WHERE a.source <> 'src0' AND b.source <> 'src0'"""
+
+ORACLE["insert_tasks"] = """
+SELECT 'src' || (o_custkey % 20) AS owner, 'Order ' || o_orderkey AS title, 'pending' AS status,
+       CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'high' WHEN o_orderpriority[1] = '3' THEN 'medium' ELSE 'low' END AS priority,
+       false AS id_taken
+FROM orders"""
+
+ORACLE["clamped_limits"] = _with(_TURNS) + """
+SELECT id, CASE turn WHEN 0 THEN 5 WHEN 1 THEN NULL WHEN 2 THEN -1 ELSE least(turn * 4, 20) END::BIGINT AS k,
+       CASE turn WHEN 1 THEN 'limit must be an integer.' WHEN 2 THEN 'limit must not be negative.' END AS error
+FROM turns"""
+
+ORACLE["new_conversations"] = _with(_TURNS, _QUESTIONS) + f"""
+SELECT 'conversation' AS kind, owner, md5(substr(content, 1, 80)) AS what, 2::BIGINT AS messages FROM questions
+UNION ALL
+SELECT 'memory', owner, md5(CAST(length(content) + {len(MEMORY_START) + len(MEMORY_MIDDLE) + len('Noted.')} AS VARCHAR)), 0 FROM questions"""
+
+ORACLE["graph_incremental_upsert"] = _with(_LINES, "cut AS (SELECT max(o_orderkey) * 5 AS bound FROM orders)", """named AS (
+  SELECT owner, title, node_type, arg_min(about, (CASE WHEN document_id >= bound THEN 0 ELSE 1 END, document_id, pos)) AS description,
+         count(DISTINCT document_id) AS n FROM mentions, cut GROUP BY owner, title, node_type)""", """edges AS (
+  SELECT document_id, 0 AS pos, owner, c_name AS a, p_name AS b, 'uses' AS kind, about FROM lines
+  UNION ALL SELECT document_id, 1, owner, p_name, s_name, 'belongs_to', about FROM lines
+  UNION ALL SELECT document_id, 2, owner, c_name, s_name, 'related_to', about FROM lines)""") + """
+SELECT 'node' AS kind, owner, node_type || '/' || title AS name, description, n,
+       row_number() OVER (PARTITION BY owner ORDER BY title, md5(owner || chr(31) || node_type || chr(31) || title)) AS position
+FROM named
+UNION ALL
+SELECT 'edge', owner, kind || '/' || a || '/' || b, arg_min(about, (CASE WHEN document_id >= bound THEN 0 ELSE 1 END, document_id, pos)), 0, 0
+FROM edges, cut GROUP BY owner, a, b, kind"""

@@ -1,5 +1,6 @@
 """One function per registered query: (spark, sf_dir) -> DataFrame."""
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,9 @@ from loreloom import constants as K
 from loreloom.functions import text as X
 from loreloom.functions.tags import normalize_tags, tags_from_text, tags_to_text
 from loreloom.operators import chunking, filters, graph, maintain, validation
-from loreloom.operators.topk import approximate_topk
+from loreloom.operators.topk import approximate_topk, nearest
 from loreloom.plans import chat, views
-from loreloom.plans.ingest import embed_chunks, ingest, process_documents, upsert_graph
+from loreloom.plans.ingest import embed_chunks, ingest, ingest_uploads, process_documents, stored_processing, upsert_graph
 from loreloom.plans.search import embed_queries, search_chunks, search_requests, semantic_search
 from loreloom.session import shared_folder
 from loreloom.sources.extraction import extract_text
@@ -132,7 +133,9 @@ def normalize_text(spark, sf_dir):
 
 def txt_extract(spark, sf_dir):
     """Document bytes read as text files."""
-    files = Tables(spark, sf_dir).document_inputs().withColumn("file_type", F.lit("txt"))
+    files = Tables(spark, sf_dir).raw("documents").select(
+        F.col("doc_id").alias("id"), F.lit("txt").alias("file_type"), F.lit(None).cast("string").alias("raw_text"),
+        F.encode("text", "UTF-8").alias("content"))
     return extract_text(files, {}).select("id", F.md5("text").alias("text_md5"), "error")
 
 
@@ -158,15 +161,20 @@ def validate_documents(spark, sf_dir):
 
 def ingest_documents(spark, sf_dir):
     """Uploads of every type: final status, error and number of chunks."""
-    t = Tables(spark, sf_dir)
-    uploads = t.document_inputs().filter(F.col("file_type") != "docx")
-    docx = t.document_inputs().filter(F.col("file_type") == "docx")
-    result = ingest(uploads.unionByName(docx.drop("content"), allowMissingColumns=True), _as_of(), extractor=None)
+    done = stored_processing(Tables(spark, sf_dir).document_inputs(), _as_of())
+    result = ingest(done, _as_of(), extractor=None, processed=True)
     listed = chunking.with_chunk_count(result.documents, result.chunks)
-    return listed.select(
-        "id", "processing_status",
-        F.when(F.col("file_type") == "docx", "docx").otherwise(F.col("processing_error")).alias("processing_error"),
-        "chunk_count", F.col("extracted_at").isNotNull().alias("extracted"))
+    return listed.select("id", "processing_status", "processing_error", "chunk_count",
+                         F.col("extracted_at").isNotNull().alias("extracted"), F.md5("raw_text").alias("text_md5"))
+
+
+def upload_chain(spark, sf_dir):
+    """Uploads of every type through validation, processing and the graph: refused rows, then statuses and linked nodes."""
+    done = ingest_uploads(Tables(spark, sf_dir).document_inputs(), _as_of())
+    linked = done.graph.links.groupBy("document_id").agg(F.count("*").alias("nodes")).withColumnRenamed("document_id", "id")
+    good = done.ingested.documents.join(linked, "id", "left").select(
+        "id", F.col("processing_status").alias("outcome"), F.coalesce("nodes", F.lit(0)).alias("nodes"))
+    return good.unionByName(done.refused.select("id", F.concat(F.lit("refused: "), "error.field").alias("outcome"), F.lit(0).alias("nodes")))
 
 
 def _reprocessed(t: Tables) -> DataFrame:
@@ -218,6 +226,66 @@ def keyword_search(spark, sf_dir):
     return found.select("id", "owner", "title", "chunk_count")
 
 
+def keyword_search_dated(spark, sf_dir):
+    """Documents of the second of three equal stretches of time, by keyword."""
+    t = Tables(spark, sf_dir)
+    last = t.raw("documents").agg(F.max("doc_id")).scalar()
+    since, until = (F.timestamp_seconds(F.lit(EPOCH) + F.floor(last * n / 3) * 60) for n in (1, 2))
+    found = views.search_documents_by_keyword(
+        t.documents().withColumn("source_url", F.lit(None).cast("string")),
+        chunking.chunk_documents(t.documents()), t.users(), "src", since=since, until=until)
+    return found.select("id", "owner", "title", "chunk_count")
+
+
+def owner_documents(spark, sf_dir):
+    """What one owner sees of the document list."""
+    t = Tables(spark, sf_dir)
+    documents = filters.owned_by(t.documents(), "src0")
+    chunks = filters.owned_by(chunking.chunk_documents(t.documents(), keep=("owner",)), "src0")
+    return views.list_documents(documents, chunks).select("id", "title", "chunk_count", F.col("position").cast("bigint").alias("position"))
+
+
+def nearest_chunks(spark, sf_dir):
+    """The ten chunks nearest to the first vector."""
+    t = Tables(spark, sf_dir)
+    first = t.raw("embeddings").filter(F.col("vec_id") == 0).select("embedding").first()[0]
+    vectors = t.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return nearest(vectors, first, 10).select("chunk_id", F.round("distance", 6).alias("distance"))
+
+
+def cascade_delete_owner(spark, sf_dir):
+    """One user goes, with all that is theirs; what remains per table."""
+    t = Tables(spark, sf_dir)
+    tables = {"users": t.users(), "documents": t.documents(), "conversations": t.conversations(),
+              "messages": t.messages(), "memory_entries": t.memory(), "tasks": t.tasks(), "goals": t.goals(), "notes": t.notes(),
+              "note_documents": t.note_documents()}
+    after = maintain.cascade_delete(tables, "users", t.users().filter(F.col("id") == "src0").select("id"))
+    result = None
+    for name, rows in after.items():
+        counted = rows.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        result = counted if result is None else result.unionByName(counted)
+    return result
+
+
+def insert_tasks(spark, sf_dir):
+    """Orders as new tasks without ids, beside the stored ones: each gets an id of its own."""
+    t = Tables(spark, sf_dir)
+    new = maintain.new_tasks(t.tasks().select("title", "priority", F.col("owner").alias("who")), F.col("who"), _as_of(), t.tasks())
+    both = new.withColumn("is_new", F.lit(True)).unionByName(t.tasks().withColumn("is_new", F.lit(False)), allowMissingColumns=True)
+    shared = chunking.duplicate_keys(both, ["id"]).select("id", F.lit(True).alias("shared"))
+    return both.join(shared, "id", "left").filter("is_new").select(
+        "owner", "title", "status", "priority", F.coalesce("shared", F.lit(False)).alias("id_taken"))
+
+
+def clamped_limits(spark, sf_dir):
+    """Limits of document searches as they come in a URL, one for each message."""
+    turn = F.col("id") % 100
+    text = F.when(turn == 0, F.lit(None).cast("string")).when(turn == 1, F.lit("abc")).when(turn == 2, F.lit("-1")) \
+        .otherwise((turn * 4).cast("string"))
+    return Tables(spark, sf_dir).messages().select(
+        "id", validation.clamped_limit(text).cast("bigint").alias("k"), validation.clamped_limit_error(text)["message"].alias("error"))
+
+
 def keyword_search_chunks(spark, sf_dir):
     t = Tables(spark, sf_dir)
     found = views.search_chunks_by_keyword(chunking.chunk_documents(t.documents()), t.documents(), "the License")
@@ -300,6 +368,26 @@ def record_exchange(spark, sf_dir):
         X.message_label(F.col("role"), F.col("content")).alias("label"))
 
 
+def new_conversations(spark, sf_dir):
+    """Every question asked outside any conversation: each opens one of its own, and a model finds a memory in each exchange."""
+    t = Tables(spark, sf_dir)
+    asked = _exchanges(t).drop("seq").withColumns({
+        "conversation_id": F.lit(None).cast("bigint"), "title": chat.prompts.conversation_title(F.col("message")),
+        "answer": F.lit("Noted."), "sources": F.array().cast("array<struct<chunk_id:string,score:double>>")})
+    links = t.message_chunks().withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    after = chat.record_exchanges(asked, t.conversations(), t.messages(), links, _as_of())
+
+    def load():
+        return lambda text: json.dumps({"title": "Asked", "content": str(len(text)), "category": "fact"})
+
+    memories = chat.extract_memories(after.exchanges.select("owner", "message", "answer"), _as_of(), load, t.memory())
+    said = after.messages.groupBy("conversation_id").agg(F.count("*").alias("messages")).withColumnRenamed("conversation_id", "id")
+    opened = after.conversations.join(t.conversations().select("id"), "id", "left_anti").join(said, "id").select(
+        F.lit("conversation").alias("kind"), "owner", F.md5("title").alias("what"), "messages")
+    return opened.unionByName(memories.select(F.lit("memory").alias("kind"), "owner", F.md5("content").alias("what"),
+                                              F.lit(0).cast("bigint").alias("messages")))
+
+
 def list_conversations(spark, sf_dir):
     rows = chat.list_conversations(Tables(spark, sf_dir).conversations())
     return rows.select("id", "owner", X.conversation_label(F.col("id"), F.col("title")).alias("title"),
@@ -407,6 +495,22 @@ def graph_edges_upsert(spark, sf_dir):
         X.edge_label(F.col("source_title"), F.col("relationship_type"), F.col("target_title")).alias("label"))
 
 
+def graph_incremental_upsert(spark, sf_dir):
+    """The graph built in two batches, late orders first: stored rows win, links and edges add up."""
+    t = Tables(spark, sf_dir)
+    late = F.col("document_id") >= t.raw("orders").agg(F.max("o_orderkey")).scalar() * 5
+    first = upsert_graph(t.graph_payloads().filter(late), _as_of())
+    nodes, links, edges = stored(first.nodes, "nodes"), stored(first.links, "links"), stored(first.edges, "edges")
+    g = upsert_graph(t.graph_payloads().filter(~late), _as_of(), nodes, links, edges)
+    listed, titled = views.graph_data(g.nodes, g.edges)
+    counted = _node_counts(listed, g.links)
+    return counted.select(
+        F.lit("node").alias("kind"), "owner", F.concat_ws("/", "node_type", "title").alias("name"), "description",
+        F.col("document_count").alias("n"), F.col("position").cast("bigint").alias("position")).unionByName(titled.select(
+            F.lit("edge").alias("kind"), "owner", F.concat_ws("/", "relationship_type", "source_title", "target_title").alias("name"),
+            "description", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("position")))
+
+
 def node_detail(spark, sf_dir):
     t = Tables(spark, sf_dir)
     g = upsert_graph(t.graph_payloads(), _as_of())
@@ -445,7 +549,7 @@ def dashboard_summary(spark, sf_dir):
 def recent_digest(spark, sf_dir):
     t = Tables(spark, sf_dir)
     digest = views.daily_digest(t.users(), t.documents(), t.memory())
-    return digest.select("owner", "recent_documents", "recent_memories")
+    return digest.select("owner", "recent_documents", "recent_memories", "prompt")
 
 
 def tasks_view(spark, sf_dir):
@@ -481,6 +585,7 @@ QUERIES = {
         list_conversations, conversation_detail, validate_chat_requests, memory_search, memory_search_category,
         memory_tags_normalized, memory_keyword_search, validate_memory, partial_update, graph_nodes_upsert,
         graph_edges_upsert, node_detail, entity_nodes, entity_edges, dashboard_summary, recent_digest, tasks_view,
-        toggle_tasks, goals_view, notes_view,
+        toggle_tasks, goals_view, notes_view, upload_chain, keyword_search_dated, owner_documents, nearest_chunks,
+        cascade_delete_owner, insert_tasks, clamped_limits, new_conversations, graph_incremental_upsert,
     )
 }

@@ -1,5 +1,10 @@
 """Knowledge-base tables as views over the given parquet tables. Every view spans its whole table."""
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +24,23 @@ def _owner(number):
     return F.concat(F.lit("src"), (number % OWNERS).cast("string"))
 
 
+def _docx(text):
+    """The text as a DOCX file, a paragraph for each line."""
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        def one(text):
+            lines = "".join(f"<w:p><w:r><w:t xml:space=\"preserve\">{escape(x)}</w:t></w:r></w:p>" for x in (text or "").split("\n"))
+            name = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("word/document.xml", f"<w:document xmlns:w=\"{name}\"><w:body>{lines}</w:body></w:document>")
+            return out.getvalue()
+
+        return texts.map(one)
+
+    return pack(text)
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -59,7 +81,7 @@ class Tables:
             (F.col("n_chars") * 1000).alias("file_size"),
             F.when(doc % 5 != 0, F.lit("https://example.org/page")).alias("source_url"),
             F.when(doc % 7 == 0, F.lit("")).otherwise(F.col("text")).alias("raw_text"),
-            F.encode("text", "UTF-8").alias("content"),
+            F.when(doc % 6 == 3, _docx(F.col("text"))).otherwise(F.encode("text", "UTF-8")).alias("content"),
             F.lit("").alias("processing_error"), made.alias("created_at"), made.alias("updated_at"),
         )
 
