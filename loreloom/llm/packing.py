@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from loreloom.llm.common import column_or_null, remembered, stored, text_batches
 
+#: Space to Python, but perhaps a mark to a tokenizer.
+_OTHER_SPACE = re.compile("[\x0b-\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CAPACITY = 2048
 END = 0
 #: Pieces that one genetic algorithm packs.
@@ -46,7 +49,7 @@ class Tokenizer:
 
     MARKS = ".,;:!?$%#&*"
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 400_000):
         self.model = shared_model(path)
         self.merges = self.model.model.tokenize
         self.letters = _byte_letters()
@@ -63,8 +66,11 @@ class Tokenizer:
         return array("I", self.model.encode(stretch, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
-        known = self.known
-        return np.frombuffer(b"".join([known[x] for x in text.replace("\n", " ").split(" ") if x]), "<u4")
+        if _OTHER_SPACE.search(text):
+            words = [x for x in text.replace("\n", " ").split(" ") if x]
+        else:
+            words = text.split()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
 
 @cache
