@@ -124,12 +124,17 @@ def test_chunk_counts_and_documents(spark):
 def test_tables_round_trip(spark, tmp_path, as_of):
     root = str(tmp_path)
     rows = spark.createDataFrame([(1, "ada", "T")], "id bigint, owner string, title string")
-    tables.append_table(rows, root, "conversations", ("owner",))
-    tables.append_table(rows.withColumn("id", F.lit(2)), root, "conversations", ("owner",))
+    tables.append_table(rows, root, "conversations")
+    tables.append_table(rows.withColumn("id", F.lit(2)), root, "conversations")
     back = tables.read_table(spark, root, "conversations")
     assert {(r.id, r.owner, r.title, r.created_at) for r in back.collect()} == {(1, "ada", "T", None), (2, "ada", "T", None)}
     plan = back.filter("owner = 'ada'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(owner" in plan
+    tables.replace_owner({"conversations": back.filter("owner = 'ada' AND id = 1")}, root, "ada")
+    tables.append_table(rows.withColumns({"id": F.lit(3), "owner": F.lit("ü/=%\"")}), root, "conversations")
+    tables.replace_owner({"conversations": rows.withColumn("id", F.lit(4))}, root, "ü/=%\"")
+    assert {(r.id, r.owner) for r in tables.read_table(spark, root, "conversations").collect()} == {(1, "ada"), (4, "ü/=%\"")}
+    back = tables.read_table(spark, root, "conversations")
     tables.write_json(back, f"{root}/json")
     assert tables.as_json(spark.read.json(f"{root}/json").select("id")).count() == 2
     tables.write_table(rows, f"{root}/t", ("id",))
