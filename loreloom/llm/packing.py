@@ -228,8 +228,9 @@ def _pack_blocks(items: DataFrame, capacity: int, islands: int, epochs: int) ->
 
     A block is evolved on ``islands`` islands. After an epoch the best packing of each, its elite, migrates to the next
     island of the ring, and joins that island's own elite in the population of the next epoch; after the last
-    epoch the block's best packing is taken. A packing is a row a piece: nothing passes through the driver."""
-    found = None
+    epoch the block's best packing is taken. Blocks with as few bins as their sizes allow are done at once. A packing is a row a
+    piece: nothing passes through the driver."""
+    found, done = None, []
     keys = ["block", "island"]
     schema = "item bigint, block bigint, size bigint, island int, bin int, bins int, quality double"
 
@@ -265,9 +266,13 @@ def _pack_blocks(items: DataFrame, capacity: int, islands: int, epochs: int) ->
             rows = found.select("item", "block", "size", "island", "bin", F.col("island").alias("source")).unionByName(moved)
         found = stored(rows.repartition(*keys).sortWithinPartitions(*keys, "item")
                        .mapInPandas(_streamed(group_of(epoch), keys), schema), "islands")
-    best = found.groupBy("block").agg(F.min(F.struct("bins", "quality", "island")).alias("best")) \
-        .select("block", "best.island")
-    return found.join(best, ["block", "island"]).select("item", "block", "size", "bin")
+        best = found.groupBy("block").agg(F.min(F.struct("bins", "quality", "island")).alias("best"), F.sum("size").alias("total"))
+        if epoch < epochs - 1:  # each of the islands has all sizes
+            best = best.where(F.col("best.bins") <= F.ceil(F.col("total") / (islands * capacity)))
+        best = stored(best.select("block", "best.island"), "best")
+        done.append(found.join(best, ["block", "island"]).select("item", "block", "size", "bin"))
+        found = found.join(best.select("block"), "block", "left_anti")
+    return _union(done)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES, islands: int = ISLANDS,
