@@ -12,7 +12,8 @@ from loreloom.operators.generate import Generator, generate
 from loreloom.operators.graph import edges_with_titles
 from loreloom.operators.maintain import goal_progress
 from loreloom.operators.ordering import alphabetical, newest_first, newest_per, pinned_first
-from loreloom.operators.sizing import attach_pages, exact_rank, id_range, ordered_list, page_of_rank
+from loreloom.operators.sizing import attach_pages, broadcast_if_bounded, exact_rank, id_range, ordered_list, page_of_rank
+from loreloom.sources.tables import stored
 
 DOCUMENT_LIST = [
     "id", "owner", "title", "file", "file_type", "source_url", "raw_text_preview", "processing_status",
@@ -122,10 +123,15 @@ def goals_view(goals: DataFrame) -> DataFrame:
     return goals.withColumn("progress", goal_progress(F.col("progress"), F.col("is_completed")))
 
 
+def _names(users: DataFrame, *fields: str) -> DataFrame:
+    """Owners' names, stored and measured: when they are few, the big table isn't shuffled to get them."""
+    return broadcast_if_bounded(stored(users.select(F.col("id").alias("owner"), *fields), "names"))
+
+
 def search_documents_by_keyword(documents: DataFrame, chunks: DataFrame, users: DataFrame, query: str,
                                 equal: dict | None = None, since=None, until=None) -> DataFrame:
     """Terms over title, owner name and URL, then facets; with chunk counts."""
-    names = users.select(F.col("id").alias("owner"), "username")
+    names = _names(users, "username")
     found = keyword_filter(documents.join(names, "owner"), query, ["title", "username", "source_url"])
     return with_chunk_count(facet_filter(found, equal, since, until), chunks)
 
@@ -141,6 +147,6 @@ def search_chunks_by_keyword(chunks: DataFrame, documents: DataFrame, query: str
 def search_memory_by_keyword(entries: DataFrame, users: DataFrame, query: str,
                              equal: dict | None = None) -> DataFrame:
     """Terms over title, content, owner name and owner email."""
-    names = users.select(F.col("id").alias("owner"), "username", "email")
+    names = _names(users, "username", "email")
     return keyword_filter(facet_filter(entries, equal).join(names, "owner"), query,
                           ["title", "content", "email", "username"])
