@@ -59,12 +59,17 @@ def search_query(body_query: Column, body_q: Column, url_query: Column, url_q: C
     return strip(F.coalesce(F.nullif(body, F.lit("")), url_query, url_q, F.lit("")))
 
 
+def whole_number(text: Column) -> Column:
+    """Text to integer as a form's integer field reads it: blanks about it and zeros after a point are nothing."""
+    return F.regexp_replace(text, r"\.0*\s*$", "").try_cast("int")
+
+
 def search_limit(body_limit: Column, url_limit: Column) -> Column:
     return F.coalesce(body_limit, url_limit, F.lit(str(K.DEFAULT_LIMIT)))
 
 
 def search_error(query: Column, limit_text: Column) -> Column:
-    limit = limit_text.try_cast("int")
+    limit = whole_number(limit_text)
     return _rules(
         (F.coalesce(query, F.lit("")) == "", "query", K.FIELD_BLANK),
         (limit.isNull(), "limit", K.INTEGER_REQUIRED),

@@ -10,7 +10,7 @@ from loreloom.functions.vectors import similarity_from_distance
 from loreloom.operators.chunking import with_document
 from loreloom.operators.sizing import broadcast_if_bounded
 from loreloom.operators.topk import approximate_topk, cosine_topk
-from loreloom.operators.validation import search_error, search_limit, search_query
+from loreloom.operators.validation import search_error, search_limit, search_query, whole_number
 from loreloom.sources.tables import stored
 
 # About 50 bytes each.
@@ -73,7 +73,7 @@ def search_requests(requests: DataFrame, embedder: Embedder | None = None) -> tu
         search_query(F.col("body_query"), F.col("body_q"), F.col("url_query"), F.col("url_q")).alias("query"),
         search_limit(F.col("body_limit"), F.col("url_limit")).alias("_limit"),
     ).withColumn("error", search_error(F.col("query"), F.col("_limit")))
-    good = resolved.filter(F.col("error").isNull()).withColumn("k", F.least(F.col("_limit").try_cast("int"), F.lit(K.MAX_LIMIT)))
+    good = resolved.filter(F.col("error").isNull()).withColumn("k", F.least(whole_number(F.col("_limit")), F.lit(K.MAX_LIMIT)))
     return (
         embed_queries(good.drop("error", "_limit"), embedder),
         resolved.filter(F.col("error").isNotNull()).drop("_limit"),

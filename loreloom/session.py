@@ -40,6 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = checkpoint_dir(spark)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
     return tempfile.mkdtemp(prefix="loreloom-")

@@ -42,9 +42,19 @@ def docx_lines(content: bytes) -> str:
         body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{_W}body")
     parts = [_paragraph_text(p) for p in body.findall(f"{_W}p")]
     for table in body.findall(f"{_W}tbl"):
+        above: dict[int, str] = {}
         for row in table.findall(f"{_W}tr"):
+            column = 0
             for cell in row.findall(f"{_W}tc"):
-                parts.append("\n".join(_paragraph_text(p) for p in cell.findall(f"{_W}p")))
+                # A merged cell's text stands at each place it covers.
+                span, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+                goes_on = merge is not None and merge.get(f"{_W}val", "continue") == "continue"
+                text = "\n".join(_paragraph_text(p) for p in cell.findall(f"{_W}p"))
+                for _ in range(int(span.get(f"{_W}val", "1")) if span is not None else 1):
+                    text = above.get(column, text) if goes_on else text
+                    above[column] = text
+                    parts.append(text)
+                    column += 1
     return "\n".join(part.strip(BLANKS) for part in parts if part.strip(BLANKS))
 
 

@@ -11,7 +11,7 @@ from loreloom.plans.ingest import ingest, reprocess
 from loreloom.session import checkpoint_dir
 from loreloom.sources import tables
 from loreloom.sources.extraction import extract_text
-from loreloom.sources.files import read_files
+from loreloom.sources.files import docx_lines, read_files
 from loreloom.streaming import ingest as stream
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -53,6 +53,16 @@ def uploads(spark, tmp_path):
     return docs.join(found.select("name", "content", "file_size"), "name", "left")
 
 
+def test_merged_docx_cells_stand_at_each_place_they_cover():
+    def cell(text, properties=""):
+        return f"<w:tc><w:tcPr>{properties}</w:tcPr>{p(text)}</w:tc>"
+
+    wide, top, below = '<w:gridSpan w:val="2"/>', '<w:vMerge w:val="restart"/>', "<w:vMerge/>"
+    rows = (cell("a", wide) + cell("b", top), cell("c") + cell("d") + cell("", below), cell("e") + cell("f", wide))
+    body = "<w:tbl>" + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>"
+    assert docx_lines(docx(body)).split("\n") == ["a", "a", "b", "c", "d", "b", "e", "f", "f"]
+
+
 def test_extraction_by_type(uploads):
     got = {r.title: (r.text, r.error) for r in extract_text(uploads, {"pdf": pages}).collect()}
     failed = got.pop("bad.docx")

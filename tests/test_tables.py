@@ -224,6 +224,8 @@ def test_memory_validation(spark):
 
 
 def test_limits(spark):
+    whole = spark.createDataFrame([(i, t) for i, t in enumerate(["5.0", " 7. ", "5.5", "1.0.0"])], "i int, t string").orderBy("i")
+    assert [r[0] for r in whole.select(validation.whole_number(F.col("t"))).collect()] == [5, 7, None, None]
     texts = ["0", "1", "20", "21", "-1", "abc", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
     strict = validation.search_error(F.lit("q"), F.col("t"))["field"]
