@@ -64,7 +64,8 @@ class Index:
     @classmethod
     def build(cls, items: list[tuple[int, list[str]]], frequency: dict[str, int], total: int, mean_length: float,
               longest: int) -> Index:
-        """``items`` in any order; document frequency of terms, number and mean length are those of the whole benchmark."""
+        """``items`` in any order; document frequency of terms, number and mean length are those of the whole
+        benchmark."""
         items = sorted(items)
         found: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for place, (_, words) in enumerate(items):
@@ -93,11 +94,12 @@ class Index:
                    cuts, range_max)
 
     def above(self, query: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
-        """(place, score) of every item in [low, high) that scores ``threshold`` or more for the distinct terms ``query``.
+        """(place, score) of every item in [low, high) that scores ``threshold`` or more for the distinct terms
+        ``query``.
 
-        Block-max WAND: cursors stand in order of their items. The pivot is the first item whose cursors' list maxima
-        reach the threshold; then the maxima of the blocks that hold the pivot are summed, and if they don't reach it,
-        all cursors move past the nearest block end. Only what is left is scored."""
+        Block-max WAND: cursors stand in order of their items. The pivot is the first item whose cursors' list
+        maxima reach the threshold; then the maxima of the blocks that hold the pivot are summed, and if they don't
+        reach it, all cursors move past the nearest block end. Only what is left is scored."""
         # A hair of slack: an item just at the threshold must not be lost.
         least, high = threshold - SLACK, len(self.items) if high is None else high
         found: list[tuple[int, float]] = []
@@ -176,7 +178,8 @@ def _overlap(part: list[str], seen: set, size: int) -> float:
 def index_blocks(benchmark: DataFrame, block_items: int, identifier: str = "item_id", text: str = "text"):
     """Indexes of the benchmark's items, ``block_items`` items each, with statistics of all items.
 
-    Each is made on the driver from that many items' words. Items without words or id are left out: nothing can hold them."""
+    Each is made on the driver from that many items' words. Items without words or id are left out: nothing can hold
+    them."""
     split = F.udf(lambda x: words_of(x), "array<string>")  # a benchmark row each, not a corpus row
     items = stored(benchmark.select(column_or_null(benchmark, identifier, "bigint").alias("item_id"),
                                     split(column_or_null(benchmark, text, "string")).alias("words"))
@@ -201,15 +204,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """(doc_id, item_id, score, question_overlap, answer_overlap, passages): the items that each document leaks.
 
     Every passage of every whole text (64 words, or as many as the longest item has; the next begins half as many
-    later) is a query. An item scores its share of the score
-    of all its words; all items with ``threshold`` or more are retrieved, by block-max WAND. Each is verified: of the
-    runs of ``gram`` words of its question and of its answer, at least the given shares must stand in the passage or the
-    passage before or after it. ``passages`` counts those that pass; score and overlaps are the best of them.
-
-    The index is broadcast in the tasks' closure, ``block_items`` items at a time; a larger benchmark takes a pass over the
-    documents for each block. Repeated items (equal id and text) count once; items of one id with different texts each do, and the best
-    is returned. Null and empty texts, and items without words, leak nothing. A row without id is reported with a null doc_id, repeated rows
-    are one. An empty table on either side gives an empty table. Other columns are ignored.
+    later) is a query. An item scores its share of the score of all its words; all items with ``threshold`` or more
+    are retrieved, by block-max WAND. Each is verified: of the runs of ``gram`` words of its question and of its
+    answer, at least the given shares must stand in the passage or the passage before or after it. ``passages``
+    counts those that pass; score and overlaps are the best of them.
+
+    The index is broadcast in the tasks' closure, ``block_items`` items at a time; a larger benchmark takes a pass
+    over the documents for each block. Repeated items (equal id and text) count once; items of one id with different
+    texts each do, and the best is returned. Null and empty texts, and items without words, leak nothing. A row
+    without id is reported with a null doc_id, repeated rows are one. An empty table on either side gives an empty
+    table. Other columns are ignored.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
@@ -227,8 +231,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question_share: float = 0.6, answer_share: float = 0.5,
                   gram: int = 3, block_items: int = 5_000, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text leaks no item; see ``contaminated``. A narrow pass, or one for each block of items; rows keep their
-    columns, and ids play no role."""
+    """The rows of ``docs`` whose text leaks no item; see ``contaminated``. A narrow pass, or one for each block of
+    items; rows keep their columns, and ids play no role."""
     spark = docs.sparkSession
     for index in index_blocks(benchmark, block_items):
         docs = docs.where(~_leaking(spark.sparkContext.broadcast(index), threshold, question_share, answer_share, gram)(

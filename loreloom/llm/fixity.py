@@ -15,7 +15,8 @@ FILE_PAGES = 256
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
-    """The bytes of a response record: version, named fields, an empty line, the block, and two line ends. Nulls are empty."""
+    """The bytes of a response record: version, named fields, an empty line, the block, and two line ends. Nulls are
+    empty."""
     block = F.coalesce(html, F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
@@ -25,10 +26,12 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def laid_out(records: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """``records`` (with page_id and length) with the file and the offset each is written at: end to end, ``file_pages`` neighbouring
-    page_ids to a file, in their order. Only what is given is sorted: give digests, not records.
+    """``records`` (with page_id and length) with the file and the offset each is written at: end to end,
+    ``file_pages`` neighbouring page_ids to a file, in their order. Only what is given is sorted: give digests, not
+    records.
 
-    Repeated ids follow each other. Records without id are in files of their own, with negative numbers, one for each partition they were in."""
+    Repeated ids follow each other. Records without id are in files of their own, with negative numbers, one for
+    each partition they were in."""
     placed = stored(records.withColumn("_at", F.monotonically_increasing_id()), "laid-out")
     file = F.coalesce(F.floor(F.col("page_id") / file_pages).cast("bigint"), -1 - F.shiftright("_at", 33))
     in_file = Window.partitionBy("file").orderBy("page_id", "_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,9 +47,10 @@ def digests(records: DataFrame) -> DataFrame:
 def tree(leaves: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels (file, node, hash) of the trees of all files of a digest table, leaves first, roots last.
 
-    A leaf covers the records that begin in ``range_bytes`` bytes of a file, in order of their offsets; a node covers ``fanout`` neighbours. Both hash the
-    places and hashes of what they cover, so an empty range differs from a lost one. Every group is bounded: a
-    range by the records that begin in it, a node by the fanout. The levels are as many as the longest file needs."""
+    A leaf covers the records that begin in ``range_bytes`` bytes of a file, in order of their offsets; a node
+    covers ``fanout`` neighbours. Both hash the places and hashes of what they cover, so an empty range differs from
+    a lost one. Every group is bounded: a range by the records that begin in it, a node by the fanout. The levels
+    are as many as the longest file needs."""
     ranges = leaves.groupBy("file", F.floor(F.col("offset") / range_bytes).alias("node")).agg(F.sha2(F.concat_ws(
         "\n", F.transform(F.array_sort(F.collect_list(F.struct("offset", "length", "digest"))), lambda x: F.concat_ws(
             " ", x["offset"].cast("string"), x["length"].cast("string"), x["digest"]))), 256).alias("hash"))
@@ -62,12 +66,15 @@ def tree(leaves: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT
 
 
 def audit(original: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
-    """(file, offset, length, replica_length, fault): the records in which two digest tables (file, offset, length, digest) differ.
-
-    fault is ``changed`` (other bytes of the same length), ``resized``, ``lost`` (not in the replica) or ``foreign`` (only there). Roots are compared, then the children of nodes that
-    differ, down to the leaf ranges; only the records of differing ranges are compared one by one. Trees of replicas that have
-    levels of different number are compared at all nodes of the higher levels. A record that stands twice at one offset is compared as often as
-    it does. Files or offsets that are null, records of no bytes, and empty tables on either side are compared like any other."""
+    """(file, offset, length, replica_length, fault): the records in which two digest tables (file, offset, length,
+    digest) differ.
+
+    fault is ``changed`` (other bytes of the same length), ``resized``, ``lost`` (not in the replica) or ``foreign``
+    (only there). Roots are compared, then the children of nodes that differ, down to the leaf ranges; only the
+    records of differing ranges are compared one by one. Trees of replicas that have levels of different number are
+    compared at all nodes of the higher levels. A record that stands twice at one offset is compared as often as it
+    does. Files or offsets that are null, records of no bytes, and empty tables on either side are compared like any
+    other."""
     left, right = (stored(side.select(F.coalesce("file", F.lit(-1)).alias("file"), F.coalesce("offset", F.lit(0)).alias("offset"), "length", "digest"), "fixity")
                    for side in (original, replica))
     trees = [tree(side, range_bytes, fanout) for side in (left, right)]
@@ -98,8 +105,8 @@ def audit(original: DataFrame, replica: DataFrame, range_bytes: int = RANGE_BYTE
 
 
 def damaged(page_id: Column, record: Column) -> Column:
-    """The record as bad storage gives it back, the same at every run: of each 97 pages (by a digest of the id) one record is lost
-    (null), one has its middle byte changed, one is cut short by 7 bytes."""
+    """The record as bad storage gives it back, the same at every run: of each 97 pages (by a digest of the id) one
+    record is lost (null), one has its middle byte changed, one is cut short by 7 bytes."""
     dice = F.coalesce(F.conv(F.substring(F.md5(page_id.cast("string")), 1, 8), 16, 10).cast("bigint") % 97, F.lit(0))
     length = F.octet_length(record)
     half = F.floor(length / 2).cast("int")
@@ -111,11 +118,13 @@ def damaged(page_id: Column, record: Column) -> Column:
 
 
 def audit_pages(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
-    """page_id, file, offset, length, replica_length, fault: an audit of the pages' WARC files against a damaged replica of them.
+    """page_id, file, offset, length, replica_length, fault: an audit of the pages' WARC files against a damaged
+    replica of them.
 
-    Whole records are hashed in both replicas, in one narrow pass; from there on only digests and places move. Readers look for a record where the original has it,
-    so the replica's records have the original's offsets. Repeated pages are records of their own; nulls are empty; other columns are
-    ignored. An empty table gives an empty table."""
+    Whole records are hashed in both replicas, in one narrow pass; from there on only digests and places move.
+    Readers look for a record where the original has it, so the replica's records have the original's offsets.
+    Repeated pages are records of their own; nulls are empty; other columns are ignored. An empty table gives an
+    empty table."""
     page_id = column_or_null(pages, "page_id", "bigint")
     record = warc_record(page_id, column_or_null(pages, "url", "string"), column_or_null(pages, "html", "string"))
     replica = damaged(page_id, record)

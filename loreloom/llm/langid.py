@@ -251,10 +251,10 @@ def bounded_sample(docs: DataFrame, usable: Column, per_language: int = 250, cha
 def identify(docs: DataFrame, net: Network, text: str = "text", name: str = "language") -> DataFrame:
     """``docs`` with a struct ``name``: lang_pred, score, positions.
 
-    Every byte of the whole text is labelled; probabilities are averaged over the text and the largest is score,
-    its language lang_pred. ``positions`` is the number of bytes labelled with each language. A text that is null, or
-    has no letter, is ``und`` with score 0. Equal probabilities: the language first in alphabetical order. Rows and other columns
-    are unchanged; an empty table stays empty."""
+    Every byte of the whole text is labelled; probabilities are averaged over the text and the largest is score, its
+    language lang_pred. ``positions`` is the number of bytes labelled with each language. A text that is null, or
+    has no letter, is ``und`` with score 0. Equal probabilities: the language first in alphabetical order. Rows and
+    other columns are unchanged; an empty table stays empty."""
     result = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
                            T.StructField("positions", T.MapType(T.StringType(), T.LongType()))])
     column = F.col(f"`{text}`").cast("string")
@@ -301,7 +301,8 @@ def fitted(docs: DataFrame, per_language: int = 250, chars: int = 1024) -> Netwo
 
 
 def with_known_language(docs: DataFrame, net: Network | None = None, least_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: letters, and a score of ``least_score`` or more. Columns are kept.
+    """The rows of ``docs`` whose text has a language: letters, and a score of ``least_score`` or more. Columns are
+    kept.
 
     Where nothing could be learnt, as no row has a language, all texts with a letter are kept."""
     net = net or fitted(docs)
@@ -314,7 +315,8 @@ def with_known_language(docs: DataFrame, net: Network | None = None, least_score
 def predict_languages(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, positions of every document; see ``identify``.
 
-    Repeated rows give a row each. Without ``net`` one is learnt from ``docs``; if no row has a language, all are ``und``."""
+    Repeated rows give a row each. Without ``net`` one is learnt from ``docs``; if no row has a language, all are
+    ``und``."""
     rows = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
     labelled = identify(rows, net or fitted(docs))
     return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score",

@@ -34,18 +34,18 @@ def default_tokenizer() -> str:
 
 
 def _byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others for
-    the letters from 256 on, in order."""
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others
+    for the letters from 256 on, in order."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     others = iter(range(256, 512))
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
 class Tokenizer:
-    """Token ids of texts. Merges and normal forms never reach across a blank or a line break, so a text's ids are those of
-    its stretches between them, and those of frequent stretches are remembered. Nor do they reach from letters to the
-    marks after them, and letters are lower-cased one by one: so a Latin word is looked up without its marks and
-    capitals, and its merges are asked for directly."""
+    """Token ids of texts. Merges and normal forms never reach across a blank or a line break, so a text's ids are
+    those of its stretches between them, and those of frequent stretches are remembered. Nor do they reach from
+    letters to the marks after them, and letters are lower-cased one by one: so a Latin word is looked up without
+    its marks and capitals, and its merges are asked for directly."""
 
     MARKS = ".,;:!?$%#&*"
 
@@ -82,9 +82,11 @@ def shared_model(path: str):
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document: its ids and the end id 0, cut every ``capacity`` ids.
+    """(doc_id, piece, start, length, ids_crc32) of every document: its ids and the end id 0, cut every ``capacity``
+    ids.
 
-    Null and empty texts are one piece of the end id alone. Repeated rows and rows without id have pieces of their own."""
+    Null and empty texts are one piece of the end id alone. Repeated rows and rows without id have pieces of their
+    own."""
     path = tokenizer or default_tokenizer()
 
     def run(batches):
@@ -110,7 +112,8 @@ Bins = list[list[int]]
 
 
 def best_fit(bins: Bins, free: list[int], loose: list[int], sizes: list[int], capacity: int) -> None:
-    """Put the loose pieces, largest first, each into the bin with the least room that takes it; else into a new bin."""
+    """Put the loose pieces, largest first, each into the bin with the least room that takes it; else into a new
+    bin."""
     rooms = sorted((room, b) for b, room in enumerate(free) if room)
     for piece in sorted(loose, key=lambda p: (-sizes[p], p)):
         at = bisect_left(rooms, (sizes[piece], -1))
@@ -136,8 +139,8 @@ def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
 
 
 def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """A child of a: whole well-filled bins of b are injected; bins of a that hold a piece of them are dissolved, and so are a few
-    of a's worst; the pieces that this displaces are put back by best fit."""
+    """A child of a: whole well-filled bins of b are injected; bins of a that hold a piece of them are dissolved,
+    and so are a few of a's worst; the pieces that this displaces are put back by best fit."""
     rooms_b, rooms_a = _rooms(b, sizes, capacity), _rooms(a, sizes, capacity)
     full = sorted(range(len(b)), key=lambda i: (rooms_b[i], rng.random()))
     share = max(1, len(b) // 4)
@@ -178,7 +181,8 @@ def _append_next(bins: Bins, free: list[int], piece: int, sizes: list[int], capa
 
 def evolve(sizes: list[int], capacity: int, population: list[Bins], rng: random.Random, children: int = 12,
            most: int = 4) -> list[Bins]:
-    """The best ``most`` packings after ``children`` crossovers. Stops when the best needs no bin more than its total size does."""
+    """The best ``most`` packings after ``children`` crossovers. Stops when the best needs no bin more than its
+    total size does."""
     ranked = sorted(((fitness(x, sizes, capacity), i, x) for i, x in enumerate(population)), key=lambda x: x[:2])
     least, made = -(-sum(sizes) // capacity), len(ranked)
     for _ in range(children):
@@ -193,7 +197,8 @@ def evolve(sizes: list[int], capacity: int, population: list[Bins], rng: random.
 
 
 def _island(block: int, island: int, epoch: int, sizes: list[int], capacity: int, elites: list[Bins]) -> Bins:
-    """An epoch of an island. There is nothing to evolve where an elite or the first packing has as few bins as the sizes allow."""
+    """An epoch of an island. There is nothing to evolve where an elite or the first packing has as few bins as the
+    sizes allow."""
     rng = random.Random(f"{block}/{island}/{epoch}")
     population = list(elites) or [first_packing(sizes, capacity, rng, island == 0)]
     while len(population) < 4 and min(map(len, population)) > -(-sum(sizes) // capacity):
@@ -226,10 +231,10 @@ def _streamed(run_group: Callable[[pd.DataFrame], pd.DataFrame], keys: list[str]
 def _pack_blocks(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
     """(item, block, size, bin) for (item, block, size), each block packed for itself.
 
-    A block is evolved on ``islands`` islands. After an epoch the best packing of each, its elite, migrates to the next
-    island of the ring, and joins that island's own elite in the population of the next epoch; after the last
-    epoch the block's best packing is taken. Blocks with as few bins as their sizes allow are done at once. A packing is a row a
-    piece: nothing passes through the driver."""
+    A block is evolved on ``islands`` islands. After an epoch the best packing of each, its elite, migrates to the
+    next island of the ring, and joins that island's own elite in the population of the next epoch; after the last
+    epoch the block's best packing is taken. Blocks with as few bins as their sizes allow are done at once. A
+    packing is a row a piece: nothing passes through the driver."""
     found, done = None, []
     keys = ["block", "island"]
     schema = "item bigint, block bigint, size bigint, island int, bin int, bins int, quality double"
@@ -279,9 +284,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
          epochs: int = 2) -> DataFrame:
     """(item, sequence_id) for items (item: distinct bigint, size: 1 to capacity), few sequences.
 
-    Items are dealt to blocks of about ``block_pieces`` by a hash, and blocks are packed on islands. What then lies in bins that aren't
-    well filled (some of each block) is dealt to fewer blocks and packed again, until one block holds the rest or
-    a round no longer shrinks it. Sequences hold items of one block: a block is all that a task holds."""
+    Items are dealt to blocks of about ``block_pieces`` by a hash, and blocks are packed on islands. What then lies
+    in bins that aren't well filled (some of each block) is dealt to fewer blocks and packed again, until one block
+    holds the rest or a round no longer shrinks it. Sequences hold items of one block: a block is all that a task
+    holds."""
     rest, done, level = items.select("item", "size"), [], 0
     rows = rest.count()
     while True:
@@ -315,9 +321,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every document (null text: empty) is its token ids and the id 0. Only longer ones than ``capacity`` are cut. The pieces of a sequence
-    lie end to end from offset 0, in the order of their document's place in the table.
-    Repeated rows and rows without id are documents of their own. Other columns are ignored. An empty table gives an empty table."""
+    Every document (null text: empty) is its token ids and the id 0. Only longer ones than ``capacity`` are cut. The
+    pieces of a sequence lie end to end from offset 0, in the order of their document's place in the table. Repeated
+    rows and rows without id are documents of their own. Other columns are ignored. An empty table gives an empty
+    table."""
     cut = stored(pieces(docs, tokenizer, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
     placed = pack(cut.select("item", F.col("length").alias("size")), capacity)
     before = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)

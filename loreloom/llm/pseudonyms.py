@@ -11,7 +11,8 @@ ROUNDS = 8
 #: Use a secret of your own: whoever has it can undo the pseudonyms.
 KEY = "replace this key"
 
-# Patterns of the values that are looked for, in the order in which they are tried. Every repetition is possessive or bounded.
+# Patterns of the values that are looked for, in the order in which they are tried. Every repetition is possessive
+# or bounded.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -36,8 +37,8 @@ def _number(key: str, *parts: Column) -> Column:
 
 
 def _feistel(key: str, kind: str, left: Column, right: Column, lefts: Column, rights: Column) -> Column:
-    """Keyed permutation of the pairs (left, right), left below lefts and right below rights: each round adds a hash of one side
-    to the other, and so can be undone."""
+    """Keyed permutation of the pairs (left, right), left below lefts and right below rights: each round adds a hash
+    of one side to the other, and so can be undone."""
     start = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
 
     def turn(state, i):
@@ -112,7 +113,8 @@ def iban_rest(text: Column) -> Column:
 
 
 def _iban(key: str, value: Column) -> Column:
-    """The account part's digits are permuted, its letters and the country stay, the check digits are those that fit."""
+    """The account part's digits are permuted, its letters and the country stay, the check digits are those that
+    fit."""
     def change(plain):
         head, body = F.substring(plain, 1, 4), F.substring(plain, F.lit(5), F.length(plain) - 4)
         country = F.substring(plain, 1, 2)
@@ -178,8 +180,8 @@ def _ip(key: str, value: Column) -> Column:
 
 
 def _date(key: str, value: Column) -> Column:
-    """A day is permuted among the days of 1900-01-01 to 2114-08-26, and written as it was; other days stay. The three ways to
-    write a day share the permutation."""
+    """A day is permuted among the days of 1900-01-01 to 2114-08-26, and written as it was; other days stay. The
+    three ways to write a day share the permutation."""
     def written(form):
         def text(p):
             return F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _SIDE + p["r"]).cast("int")), form)
@@ -248,9 +250,10 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """``docs`` with personal data in a text column replaced: e-mail names, IBANs and payment cards with right check
     digits, social security and telephone numbers, IPv4 addresses and dates.
 
-    A value's pseudonym has its format and its validity, and depends on the value and the key alone: equal values stay equal in all
-    documents, different values of a kind stay different. One narrow pass without a shuffle; whole texts of any length.
-    Null stays null, '' stays ''; other columns, repeated rows and empty tables are left as they are."""
+    A value's pseudonym has its format and its validity, and depends on the value and the key alone: equal values
+    stay equal in all documents, different values of a kind stay different. One narrow pass without a shuffle; whole
+    texts of any length. Null stays null, '' stays ''; other columns, repeated rows and empty tables are left as
+    they are."""
     return docs.withColumn(text, pseudonymised(F.col(f"`{text}`").cast("string"), key))
 
 

@@ -1,4 +1,5 @@
-"""A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix. DataFrame functions only."""
+"""A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix. DataFrame functions only.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +45,8 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
 
 
 def communication_matrix(counts: list[int], sizes: list[int], rng: random.Random) -> list[list[int]]:
-    """How many rows of each part go to each shard in a uniform shuffle: row sums ``counts``, column sums ``sizes``."""
+    """How many rows of each part go to each shard in a uniform shuffle: row sums ``counts``, column sums ``sizes``.
+    """
     room, matrix = list(sizes), []
     for count in counts:
         left, rest, row = count, sum(room), []
@@ -60,16 +62,18 @@ def communication_matrix(counts: list[int], sizes: list[int], rng: random.Random
 
 def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, parts: int = 1024,
                         slot_rows: int = 65_536) -> DataFrame:
-    """``rows`` with shard (0 to shards - 1) and slot (gapless from 0 in a shard): a uniform random permutation, cut into
-    shards whose row counts differ by one at most.
-
-    The rows are written once with a place number, so that a recomputed task deals as its first attempt did.
-    Their ``parts`` parts (of input partitions) are counted, and the matrix of part-to-shard counts is drawn on the driver from these
-    counts, at most ``parts`` of them. A part permutes its rows (by a hash of place and seed) and deals them to shards as its line of the matrix
-    says; rows go to their shard's buckets, each about ``slot_rows`` rows, and are permuted again there. No task sees more
-    than a part or a bucket, whatever the rows hold: keys and equal rows play no role.
-
-    Every row is dealt, repeated and null ones too. Columns named shard or slot are replaced. An empty table stays empty.
+    """``rows`` with shard (0 to shards - 1) and slot (gapless from 0 in a shard): a uniform random permutation, cut
+    into shards whose row counts differ by one at most.
+
+    The rows are written once with a place number, so that a recomputed task deals as its first attempt did. Their
+    ``parts`` parts (of input partitions) are counted, and the matrix of part-to-shard counts is drawn on the driver
+    from these counts, at most ``parts`` of them. A part permutes its rows (by a hash of place and seed) and deals
+    them to shards as its line of the matrix says; rows go to their shard's buckets, each about ``slot_rows`` rows,
+    and are permuted again there. No task sees more than a part or a bucket, whatever the rows hold: keys and equal
+    rows play no role.
+
+    Every row is dealt, repeated and null ones too. Columns named shard or slot are replaced. An empty table stays
+    empty.
     """
     spark = rows.sparkSession
     # The row goes as one struct: no column of it can clash with those added here.
@@ -112,9 +116,9 @@ def write_shards(placed: DataFrame, path: str) -> None:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Law ``rows``: the shards' row counts are at most one apart. size is the text's UTF-8 bytes and 8; a null text has no
-    bytes and the checksum of none. A uniform shuffle keeps no groups together: equal texts are dealt one by one. grown_shard is null.
-    Repeated rows and rows without id are dealt like others; other columns are ignored."""
+    Law ``rows``: the shards' row counts are at most one apart. size is the text's UTF-8 bytes and 8; a null text
+    has no bytes and the checksum of none. A uniform shuffle keeps no groups together: equal texts are dealt one by
+    one. grown_shard is null. Repeated rows and rows without id are dealt like others; other columns are ignored."""
     text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
     narrow = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
                          (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"),

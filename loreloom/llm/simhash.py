@@ -243,10 +243,11 @@ def _classes(prints: DataFrame, budget: int) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, identifier: str = "doc_id", text: str = "text", budget: int = 3,
                             shingle_words: int = 3) -> DataFrame:
-    """``docs`` with one row of each component of ``near_duplicates``: that with the smallest doc_id. Columns are kept.
+    """``docs`` with one row of each component of ``near_duplicates``: that with the smallest doc_id. Columns are
+    kept.
 
-    Ties (rows of one id with different texts) go to the smallest digest of id and text, and of rows that are equal in both
-    any one stays. A component without ids is a component like any other."""
+    Ties (rows of one id with different texts) go to the smallest digest of id and text, and of rows that are equal
+    in both any one stays. A component without ids is a component like any other."""
     prints = stored(_fingerprints(docs, identifier, text, shingle_words), "simhash")
     first = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key")
     keys = prints.groupBy("fingerprint", "doc_id", "key").agg(F.count("*").alias("n"))

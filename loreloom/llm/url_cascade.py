@@ -23,7 +23,8 @@ MOST_BYTES = 64 << 20
 
 
 def url_host(url: Column) -> Column:
-    """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A to Z in lower case; '' without ``://`` or for null."""
+    """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A to Z in lower case; '' without ``://``
+    or for null."""
     return F.translate(F.regexp_extract(_rest(url), "^[^/?#]*", 0), _UPPER, _UPPER.lower())
 
 
@@ -38,8 +39,8 @@ def _rest(url: Column) -> Column:
 
 
 def ruled(host: Column, path: Column, rules=RULES) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, fields null if none does. A rule fits its host and all subdomains of
-    it, if the path starts with the rule's path. Rules are a short list: one expression holds them."""
+    """Struct (rule, verdict) of the longest rule that fits, fields null if none does. A rule fits its host and all
+    subdomains of it, if the path starts with the rule's path. Rules are a short list: one expression holds them."""
     result = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     for verdict, name, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
@@ -55,7 +56,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """One Bloom filter: ``bits`` of them, ``hashes`` for a key. ``number`` makes its hashes independent of other levels'."""
+    """One Bloom filter: ``bits`` of them, ``hashes`` for a key. ``number`` makes its hashes independent of other
+    levels'."""
 
     number: int
     bits: int
@@ -100,7 +102,8 @@ def _arrays(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filled(level: Level, keys: DataFrame) -> Level:
-    """The filter of all ``keys`` (h1, h2): each task sets the bits of its keys, and words are joined by a bitwise or."""
+    """The filter of all ``keys`` (h1, h2): each task sets the bits of its keys, and words are joined by a bitwise
+    or."""
     def run(batches):
         words = np.zeros(-(-level.bits // 64), np.uint64)
         for batch in batches:
@@ -119,9 +122,9 @@ def _filled(level: Level, keys: DataFrame) -> Level:
 def build(universe: DataFrame) -> list[Level]:
     """Cascade for (h1, h2, listed), a row for each key of the universe.
 
-    The first filter holds the listed keys, the second those unlisted ones that the first lets through, the third the listed ones that the
-    second lets through, and so on until none is. The rates are those that make the whole smallest: the first by the
-    ratio of listed to other keys, then a half."""
+    The first filter holds the listed keys, the second those unlisted ones that the first lets through, the third
+    the listed ones that the second lets through, and so on until none is. The rates are those that make the whole
+    smallest: the first by the ratio of listed to other keys, then a half."""
     counts = {r["listed"]: r["n"] for r in universe.groupBy("listed").agg(F.count("*").alias("n")).collect()}
     inside, outside = universe.where("listed"), universe.where("NOT listed")
     held, others = counts.get(True, 0), counts.get(False, 0)
@@ -147,12 +150,13 @@ def _passing(level: Level, keys: DataFrame) -> DataFrame:
 
 
 def with_membership(rows: DataFrame, key: str, is_listed: Column, name: str = "listed", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``rows`` with a boolean ``name``: whether the key column's value is listed. ``is_listed`` is an expression over ``key`` that
-    says so for a key; it is asked once for each distinct key, the universe.
+    """``rows`` with a boolean ``name``: whether the key column's value is listed. ``is_listed`` is an expression
+    over ``key`` that says so for a key; it is asked once for each distinct key, the universe.
 
-    Rows are answered by the cascade alone, without a join: it is broadcast in the tasks' closure, and its size, which follows from the number of
-    listed keys, is checked first. If it would have more than ``most_bytes``, keys are split by hash over several cascades; then the distinct keys are
-    answered cascade by cascade and their answers are joined to the rows. A null key is the key ''. An empty table stays empty."""
+    Rows are answered by the cascade alone, without a join: it is broadcast in the tasks' closure, and its size,
+    which follows from the number of listed keys, is checked first. If it would have more than ``most_bytes``, keys
+    are split by hash over several cascades; then the distinct keys are answered cascade by cascade and their
+    answers are joined to the rows. A null key is the key ''. An empty table stays empty."""
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     universe = stored(rows.select(text.alias(key)).distinct().select(
         key, *_hashes(F.col(key)), F.coalesce(is_listed, F.lit(False)).alias("listed")), "universe")
@@ -189,11 +193,11 @@ def _answers(levels: list[Level]):
 
 
 def judge_pages(pages: DataFrame, rules=RULES, list_pattern: str = AD_HOST, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """page_id, host, path, rule, verdict of every page: the longest fitting rule's verdict, else ``block`` for hosts on the list
-    (here: hosts of the pages that match ``list_pattern``) and ``allow`` for the others.
+    """page_id, host, path, rule, verdict of every page: the longest fitting rule's verdict, else ``block`` for
+    hosts on the list (here: hosts of the pages that match ``list_pattern``) and ``allow`` for the others.
 
-    A null url, or one without ``://``, has an empty host and path. Repeated rows give a row each; null ids stay null; other columns are
-    ignored. An empty table gives an empty table."""
+    A null url, or one without ``://``, has an empty host and path. Repeated rows give a row each; null ids stay
+    null; other columns are ignored. An empty table gives an empty table."""
     url = column_or_null(pages, "url", "string")
     rows = pages.select(column_or_null(pages, "page_id", "bigint").alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path")) \
         .withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})

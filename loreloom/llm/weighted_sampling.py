@@ -44,9 +44,9 @@ _MINUS_LOG = -np.log((np.arange(65_536) + 0.5) / 65_536).astype(np.float32)
 class Sampler:
     """Ioffe's improved consistent weighted sampling of weighted terms.
 
-    For sample d and term k there are r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), drawn from the term's hash alone. With
-    weight w: t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)). The term with the least a is sampled, and
-    (term, t) is the sample: two weighted sets have the same with probability sum min(w) / sum max(w).
+    For sample d and term k there are r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1), drawn from the term's hash alone.
+    With weight w: t = floor(ln w / r + b), y = exp(r (t - b)), a = c / (y exp(r)). The term with the least a is
+    sampled, and (term, t) is the sample: two weighted sets have the same with probability sum min(w) / sum max(w).
     """
 
     def __init__(self, samples: int = SAMPLES):
@@ -56,7 +56,8 @@ class Sampler:
     def _least(self, hashes: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least ln a of every sample over the given terms, and the 16-bit code of its (term, t).
 
-        The 64 bits of a term and sample are four uniform numbers: one for r, through its quantiles, two for c, one for b."""
+        The 64 bits of a term and sample are four uniform numbers: one for r, through its quantiles, two for c, one
+        for b."""
         bits = _mixed(hashes[:, None] + self.steps).view(np.uint16).reshape(len(hashes), self.samples, 4)
         r = _GAMMA.take(bits[..., 0])
         c = _MINUS_LOG.take(bits[..., 1])
