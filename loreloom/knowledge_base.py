@@ -134,12 +134,14 @@ class KnowledgeBase:
     # What a user writes.
 
     def _new_ids(self) -> DataFrame:
-        """An id that all new ones are to follow: made of the time, so that no other owner's rows have to be looked at."""
+        """An id that all new ones are to follow: made of the time, so that no other owner's rows have to be looked
+        at."""
         start = time.time_ns() // 1000 << 12
         return self.spark.range(start, start + 1)
 
     def add(self, owner: str, name: str, rows: DataFrame, as_of: Column | None = None) -> DataFrame:
-        """New rows of ``memory_entries``, ``tasks``, ``goals`` or ``notes``; returns them with their ids. Notes the form refuses raise."""
+        """New rows of ``memory_entries``, ``tasks``, ``goals`` or ``notes``; returns them with their ids. Notes the
+        form refuses raise."""
         stamp, ids = _now(as_of), self._new_ids()
         if name == "notes":
             new, refused = new_notes(rows, F.lit(owner), stamp, ids)
@@ -181,8 +183,8 @@ class KnowledgeBase:
         replace_owner(cascade_delete(tables, name, stored(wanted, "deleted")), self.root, owner)
 
     def upload(self, owner: str, uploads: DataFrame, as_of: Column | None = None, **options) -> DataFrame:
-        """Validate, process and store uploads (title, file_type, file_name, file_size, raw_text, source_url, content); returns the
-        refused rows with their ``error``."""
+        """Validate, process and store uploads (title, file_type, file_name, file_size, raw_text, source_url,
+        content); returns the refused rows with their ``error``."""
         stamp = _now(as_of)
         rows = with_new_ids(uploads.withColumns({"owner": F.lit(owner), "created_at": stamp, "updated_at": stamp}), self._new_ids())
         return self._ingest(owner, rows, stamp, options)

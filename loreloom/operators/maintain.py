@@ -80,8 +80,8 @@ def replace_links(links: DataFrame, new: DataFrame, parents: DataFrame, key: str
 
 
 def _one_patch_per_row(patches: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """Several patches of a row become one: each field has the value of the last patch that names it. Last is the greatest
-    ``patched_at``, where patches have one; patches that tie are ordered by their values."""
+    """Several patches of a row become one: each field has the value of the last patch that names it. Last is the
+    greatest ``patched_at``, where patches have one; patches that tie are ordered by their values."""
     at = [F.col("patched_at")] if "patched_at" in patches.columns else []
 
     def last(column: str) -> Column:
@@ -98,8 +98,8 @@ def partial_update(base: DataFrame, patches: DataFrame, columns: list[str], as_o
                    owned: bool = True) -> DataFrame:
     """Apply patches: id, [owner], ``fields`` (names given), the new values and optionally patched_at.
 
-    A named field takes the patch value even when that is null. Patches for unknown or
-    foreign rows change nothing, and several for one row are one (``_one_patch_per_row``). Array column ``tags`` is normalised again.
+    A named field takes the patch value even when that is null. Patches for unknown or foreign rows change nothing,
+    and several for one row are one (``_one_patch_per_row``). Array column ``tags`` is normalised again.
     """
     key = ["id", "owner"] if owned else ["id"]
     patch = stored(_one_patch_per_row(patches, key, columns), "patches")
@@ -119,7 +119,8 @@ def partial_update(base: DataFrame, patches: DataFrame, columns: list[str], as_o
 
 
 def _stamped(rows: DataFrame, owner: Column, as_of: Column, existing: DataFrame | None) -> DataFrame:
-    """With owner and times, and an id where the rows have none: the ids after those of ``existing``, the stored table."""
+    """With owner and times, and an id where the rows have none: the ids after those of ``existing``, the stored
+    table."""
     stamped = rows.withColumns({"owner": owner, "created_at": as_of, "updated_at": as_of})
     return stamped if "id" in rows.columns else with_new_ids(stamped, existing)
 

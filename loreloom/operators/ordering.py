@@ -1,7 +1,8 @@
 """The orders of the list views. Ids break every tie.
 
-A list belongs to its owner: instead of sorting all owners' rows into one order, each row gets its 1-based ``position`` in
-its owner's list. Owners are numbered in buckets (days, first letters), so one with very many rows is many tasks.
+A list belongs to its owner: instead of sorting all owners' rows into one order, each row gets its 1-based
+``position`` in its owner's list. Owners are numbered in buckets (days, first letters), so one with very many rows
+is many tasks.
 """
 
 from pyspark.sql import Column, DataFrame, Window

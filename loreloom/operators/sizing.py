@@ -21,7 +21,8 @@ def small_frame(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame |
 
 
 def broadcast_if_bounded(rows: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint when ``rows`` holds at most ``max_rows`` rows and ``max_bytes`` bytes; without it the join shuffles.
+    """Broadcast hint when ``rows`` holds at most ``max_rows`` rows and ``max_bytes`` bytes; without it the join
+    shuffles.
 
     For frames that are cheap to measure: stored tables, key lists.
     """

@@ -54,7 +54,8 @@ def recent_history(messages: DataFrame, n: int = K.HISTORY_MESSAGES) -> DataFram
 
 
 def asked_questions(messages: DataFrame) -> DataFrame:
-    """Every user message as an exchange: exchange_id, conversation_id, message and ``seq``, its place in the conversation."""
+    """Every user message as an exchange: exchange_id, conversation_id, message and ``seq``, its place in the
+    conversation."""
     return chronological(messages, "seq").filter(F.col("role") == "user").select(
         F.col("id").alias("exchange_id"), "conversation_id", F.col("content").alias("message"), "seq")
 
@@ -101,9 +102,9 @@ def chat_context(exchanges: DataFrame, messages: DataFrame, chunks: DataFrame, d
                  history_size: int = K.HISTORY_MESSAGES) -> DataFrame:
     """Everything a model needs per exchange: sources, context, history, prompt.
 
-    ``exchanges``: exchange_id, owner, conversation_id, message. ``messages`` are the stored
-    ones, so the new message is not part of its own history. Exchanges with a place ``seq`` among the stored messages have
-    what was said before it as their history, others the newest messages.
+    ``exchanges``: exchange_id, owner, conversation_id, message. ``messages`` are the stored ones, so the new
+    message is not part of its own history. Exchanges with a place ``seq`` among the stored messages have what was
+    said before it as their history, others the newest messages.
     """
     if "seq" in exchanges.columns:
         history, on = history_before(exchanges, messages, history_size), "exchange_id"
@@ -138,10 +139,11 @@ class Recorded:
 
 
 def _settled(answered: DataFrame, conversations: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """Exchanges with ``error`` (null: accepted), ``_opens`` (for the one that opens its conversation) and a conversation id each.
+    """Exchanges with ``error`` (null: accepted), ``_opens`` (for the one that opens its conversation) and a
+    conversation id each.
 
-    A null conversation asks for a new one, each for its own. A named one must be its owner's; an unknown one is opened if the exchange
-    has a title for it, for the owner of the first exchange."""
+    A null conversation asks for a new one, each for its own. A named one must be its owner's; an unknown one is
+    opened if the exchange has a title for it, for the owner of the first exchange."""
     fresh = F.col("conversation_id").isNull()
     new = answered.filter(fresh).drop("conversation_id")
     taken = conversations.select(F.col("id").alias("conversation_id")).union(
@@ -164,12 +166,13 @@ def record_exchanges(answered: DataFrame, conversations: DataFrame, messages: Da
                      message_chunks: DataFrame, as_of: Column, ids: DataFrame | None = None) -> Recorded:
     """Tables after storing the exchanges.
 
-    ``answered``: exchange_id (distinct), owner, conversation_id, title (for new conversations), message,
-    answer, sources, and the ids of both messages (user_message_id, assistant_message_id), which are given out here where they are
-    absent. Sources go to the assistant message, the user message gets none, and the conversations' updated_at moves. The exchanges
-    are stored first, so that a model is asked once and all tables get the same answer. Exchanges that name a conversation of
-    another owner, or an unknown one without a title, store nothing and come back in ``refused``; ``exchanges`` are the stored
-    ones, with their conversation. New ids follow those of the tables, or of ``ids`` where the tables aren't all there is.
+    ``answered``: exchange_id (distinct), owner, conversation_id, title (for new conversations), message, answer,
+    sources, and the ids of both messages (user_message_id, assistant_message_id), which are given out here where
+    they are absent. Sources go to the assistant message, the user message gets none, and the conversations'
+    updated_at moves. The exchanges are stored first, so that a model is asked once and all tables get the same
+    answer. Exchanges that name a conversation of another owner, or an unknown one without a title, store nothing
+    and come back in ``refused``; ``exchanges`` are the stored ones, with their conversation. New ids follow those
+    of the tables, or of ``ids`` where the tables aren't all there is.
     """
     settled = stored(_settled(stored(answered, "answered"), conversations, ids), "settled")
     refused = settled.filter(F.col("error").isNotNull()).drop("_opens")
@@ -209,7 +212,8 @@ def record_exchanges(answered: DataFrame, conversations: DataFrame, messages: Da
 
 
 def extract_memories(answered: DataFrame, as_of: Column, model: Generator | None, existing: DataFrame | None = None) -> DataFrame:
-    """New memory rows a model finds in the exchanges; none without a model. Their ids follow those of ``existing``."""
+    """New memory rows a model finds in the exchanges; none without a model. Their ids follow those of ``existing``.
+    """
     reply = generate(prompts.memory_prompt(F.col("message"), F.col("answer")), model)
     found = answered.select("owner", memory_candidate(reply).alias("c")).filter(F.col("c").isNotNull())
     return new_memory_entries(found.select("owner", "c.*"), F.col("owner"), as_of, source="autonomous", existing=existing)
@@ -229,8 +233,8 @@ def chat_requests(requests: DataFrame, conversations: DataFrame, messages: DataF
                   embedder: Embedder | None = None, ids: DataFrame | None = None) -> Chat:
     """The whole chain: validate, resolve or open the conversation, history, retrieval, answer, record, memories.
 
-    ``requests``: exchange_id, owner, conversation_id, message. Conversations are settled before anything is retrieved, so that
-    an exchange refused costs nothing."""
+    ``requests``: exchange_id, owner, conversation_id, message. Conversations are settled before anything is
+    retrieved, so that an exchange refused costs nothing."""
     good, invalid = split_valid(requests, chat_error(F.col("message"), F.col("conversation_id")))
     resolved = resolve_conversations(good, conversations)
     lost = resolved.filter(F.col("status") == "not_found").drop("status", "title").withColumn(

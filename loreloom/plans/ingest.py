@@ -62,9 +62,9 @@ def ingest(documents: DataFrame, as_of: Column, embedder: Embedder | None = None
            size: int | None = None, overlap: int | None = None, processed: bool = False) -> Ingested:
     """Process documents and derive their chunks, vectors and graph payloads.
 
-    All three results are narrow over the input: no shuffle until a caller writes or merges
-    them. ``extractor=None`` leaves the payloads empty. ``processed``: the documents went through ``stored_processing``,
-    so that files are decoded once for all three.
+    All three results are narrow over the input: no shuffle until a caller writes or merges them. ``extractor=None``
+    leaves the payloads empty. ``processed``: the documents went through ``stored_processing``, so that files are
+    decoded once for all three.
     """
     done = documents if processed else process_documents(documents, as_of, decoders)
     good = done.filter(F.col("processing_status") == "completed")
@@ -97,8 +97,8 @@ def ingest_uploads(uploads: DataFrame, as_of: Column, nodes: DataFrame | None =
                    checked: bool = True) -> Accepted:
     """The whole chain for uploads: validate, process, chunk, embed, and merge what was extracted into the graph.
 
-    Files are decoded once and models are asked once: processed rows and payloads are stored in between. ``checked`` is false for
-    rows that passed before and are processed again."""
+    Files are decoded once and models are asked once: processed rows and payloads are stored in between. ``checked``
+    is false for rows that passed before and are processed again."""
     error = document_error(F.col("file_type"), F.col("file_name"), F.col("file_size"), F.col("raw_text"), F.col("source_url"), allowed)
     good, refused = split_valid(uploads, error if checked else F.lit(None).cast(ERROR))
     done = stored_processing(good, as_of, decoders)

@@ -32,8 +32,8 @@ def list_documents(documents: DataFrame, chunks: DataFrame, ordered: bool = True
 
 def search_memory(entries: DataFrame, query: str | None = "", category: str | None = "",
                   pinned: str | None = None, ordered: bool = True) -> DataFrame:
-    """``pinned`` is the request text: true/1, false/0, anything else means both. ``position`` is the place among what the owner's
-    search found, unless ``ordered`` is false."""
+    """``pinned`` is the request text: true/1, false/0, anything else means both. ``position`` is the place among
+    what the owner's search found, unless ``ordered`` is false."""
     found = memory_filter(entries, query, category, parse_tri_state(pinned))
     return pinned_first(found) if ordered else found
 

@@ -42,8 +42,9 @@ def _folder_name(value: str) -> str:
 def replace_owner(changed: dict[str, DataFrame], root: str, owner: str) -> None:
     """Give tables new contents for one owner; all other owners' folders stay untouched.
 
-    All new rows are written to the shared folder first, as they derive from the files they replace, and swapped in when every
-    table's are complete. A swap that broke off is repeated by calling this again with the same rows: contents, not changes, are written."""
+    All new rows are written to the shared folder first, as they derive from the files they replace, and swapped in
+    when every table's are complete. A swap that broke off is repeated by calling this again with the same rows:
+    contents, not changes, are written."""
     staged = {name: stored(conform(rows, TABLES[name]).drop("owner"), f"staged-{name}") for name, rows in changed.items()}
     for name, rows in staged.items():
         rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/owner={_folder_name(owner)}")

@@ -1,9 +1,10 @@
 """Incremental ingestion.
 
-Every micro-batch writes one folder per table, ``run=<stream id>/batch=<id>``, and never touches another one. The stream id is
-the one Spark keeps with the stream's progress: a restarted stream goes on under it and a repeated batch overwrites its
-own folder, so the sink is idempotent; another stream into the same output, or one that lost its progress, has folders of its own.
-Nothing is rewritten when a document comes again: readers take the newest by the time the batch was written.
+Every micro-batch writes one folder per table, ``run=<stream id>/batch=<id>``, and never touches another one. The
+stream id is the one Spark keeps with the stream's progress: a restarted stream goes on under it and a repeated
+batch overwrites its own folder, so the sink is idempotent; another stream into the same output, or one that lost
+its progress, has folders of its own. Nothing is rewritten when a document comes again: readers take the newest by
+the time the batch was written.
 """
 
 import time
@@ -16,7 +17,8 @@ from loreloom.functions.embedding import Embedder
 from loreloom.operators.ordering import newest_per
 from loreloom.plans.ingest import ingest, stored_processing
 
-#: Files that a micro-batch takes unless the caller says otherwise, so that a first run over a full folder isn't one batch.
+#: Files that a micro-batch takes unless the caller says otherwise, so that a first run over a full folder isn't one
+#: batch.
 FILES_PER_BATCH = 1000
 _VERSION = ["written_us", "run", "batch"]
 
@@ -34,8 +36,8 @@ def start_ingest(documents: DataFrame, out: str, checkpoint: str | None = None,
                  size: int | None = None, overlap: int | None = None):
     """Start ingesting the available rows of a document stream into ``out``; returns the query.
 
-    Progress is kept in ``checkpoint``; by default below ``out``, so that outputs never share it. Two streams into one output
-    need a ``checkpoint`` each.
+    Progress is kept in ``checkpoint``; by default below ``out``, so that outputs never share it. Two streams into
+    one output need a ``checkpoint`` each.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
     progress = checkpoint or f"{out.rstrip('/')}/_progress"

@@ -169,7 +169,8 @@ def ingest_documents(spark, sf_dir):
 
 
 def upload_chain(spark, sf_dir):
-    """Uploads of every type through validation, processing and the graph: refused rows, then statuses and linked nodes."""
+    """Uploads of every type through validation, processing and the graph: refused rows, then statuses and linked
+    nodes."""
     done = ingest_uploads(Tables(spark, sf_dir).document_inputs(), _as_of())
     linked = done.graph.links.groupBy("document_id").agg(F.count("*").alias("nodes")).withColumnRenamed("document_id", "id")
     good = done.ingested.documents.join(linked, "id", "left").select(
@@ -369,7 +370,8 @@ def record_exchange(spark, sf_dir):
 
 
 def new_conversations(spark, sf_dir):
-    """Every question asked outside any conversation: each opens one of its own, and a model finds a memory in each exchange."""
+    """Every question asked outside any conversation: each opens one of its own, and a model finds a memory in each
+    exchange."""
     t = Tables(spark, sf_dir)
     asked = _exchanges(t).drop("seq").withColumns({
         "conversation_id": F.lit(None).cast("bigint"), "title": chat.prompts.conversation_title(F.col("message")),
