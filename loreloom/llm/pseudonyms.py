@@ -26,6 +26,12 @@ PATTERNS = {
             r"(?![0-9A-Za-z])(?![./-][0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Letters and digits of an IBAN by country: of several valid ends of a match, that of this length is taken first.
+_IBAN_LENGTHS = dict(zip(
+    "NO BE DK FI NL MK SI AT BA EE KZ LT LU CR CH HR LI LV BG BH DE GB GE IE ME RS AE GI IL AD CZ ES MD PK RO SA SE SK TN TR VG "
+    "GR IT FR MC SM AL AZ CY DO GT HU LB PL MU BR PS QA UA JO KW MT".split(),
+    map(int, ("15 16 18 18 18 19 19 20 20 20 20 20 20 22 21 21 21 21 22 22 22 22 22 22 22 22 23 23 23 24 24 24 24 24 24 24 24 24 24 26 24 "
+              "27 27 27 27 27 28 28 28 28 28 28 28 28 30 29 29 29 29 30 30 31").split()), strict=True))
 # Dates are days from 1900-01-01 on, 280 times 280 of them, up to 2114-08-26: each number below that is a date.
 _FIRST_DAY, _SIDE = "1900-01-01", 280
 
@@ -112,6 +118,19 @@ def iban_rest(text: Column) -> Column:
         c.rlike("^[0-9]$"), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
 
 
+def _plain(value: Column) -> Column:
+    return F.replace(value, F.lit(" "), F.lit(""))
+
+
+def _card_fits(value: Column) -> Column:
+    return _once(_digits(value), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0))
+
+
+def _iban_fits(value: Column) -> Column:
+    return _once(_plain(value), lambda p: F.length(p).between(15, 34) & (
+        iban_rest(F.concat(F.substring(p, F.lit(5), F.length(p) - 4), F.substring(p, 1, 4))) == 1))
+
+
 def _iban(key: str, value: Column) -> Column:
     """The account part's digits are permuted, its letters and the country stay, the check digits are those that
     fit."""
@@ -126,7 +145,7 @@ def _iban(key: str, value: Column) -> Column:
 
         return F.when(iban_rest(F.concat(body, head)) == 1, refilled(value, _once(fresh, whole)))
 
-    return F.coalesce(_once(F.replace(value, F.lit(" "), F.lit("")), change), value)
+    return F.coalesce(_once(_plain(value), change), value)
 
 
 def _ssn(key: str, value: Column) -> Column:
@@ -238,19 +257,77 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return result
 
 
+def _runs_of_groups(text: Column, kind: str, least: int) -> Column:
+    """What can be a value of ``kind`` within the matches of its pattern from any place on: each begins where the
+    match does or after a hyphen in it, and ends with one of its groups of letters and digits."""
+    def ends(run):
+        return F.transform(F.filter(F.when(F.length(run) >= least, F.sequence(F.length(run), F.lit(least), F.lit(-1))), lambda n: F.substring(
+            run, n + 1, F.lit(1)).isin("", " ", "-") & ~F.substring(run, n, F.lit(1)).isin(" ", "-")), lambda n: F.substring(run, F.lit(1), n))
+
+    def runs(match):
+        starts = F.filter(F.sequence(F.lit(1), F.length(match)), lambda i: (i == 1) | (F.substring(match, i - 1, F.lit(1)) == "-"))
+        return F.flatten(F.filter(F.transform(starts, lambda i: ends(F.substring(match, i, F.length(match)))), lambda x: x.isNotNull()))
+
+    matches = F.regexp_extract_all(text, F.lit(f"(?=({PATTERNS[kind]}))"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(matches), runs)))
+
+
+def _one_of(values: Column) -> Column:
+    """A pattern for these values, the first one that fits; for none, one that never matches. They hold letters,
+    digits, blanks and hyphens only."""
+    return F.when(F.size(values) > 0, F.concat(
+        F.lit("(?<![0-9A-Za-z])(?:"), F.array_join(values, "|"), F.lit(")(?![0-9A-Za-z])"))).otherwise(F.lit("(?!)"))
+
+
+def _pattern(text: Column) -> Column:
+    """The pattern of the text's values: ``ANY``, unless check digits show that a match of it runs too far.
+
+    The longest match of an IBAN or a card can hold more than the value: a word in capitals, a security code, another
+    number. In a text with a match whose check digits are wrong, all valid runs of groups are looked for, and they
+    are what the pattern has in place of IBANs and cards, longest first."""
+    lengths = F.create_map(*[F.lit(x) for pair in _IBAN_LENGTHS.items() for x in pair])
+
+    def rank(value):
+        return F.length(value) + F.when(F.length(_plain(value)) == F.try_element_at(lengths, F.substring(value, 1, 2)), 100).otherwise(0)
+
+    def wrong(value):
+        return F.when(value.rlike(f"^(?:{PATTERNS['iban']})$"), ~_iban_fits(value)).when(
+            value.rlike(f"^(?:{PATTERNS['card']})$"), ~_card_fits(value)).otherwise(False)
+
+    ibans = F.array_sort(F.filter(_runs_of_groups(text, "iban", 15), _iban_fits), lambda a, b: rank(b) - rank(a))
+    cards = F.array_sort(F.filter(_runs_of_groups(text, "card", 13), _card_fits), lambda a, b: F.length(b) - F.length(a))
+    others = "|".join(p for kind, p in PATTERNS.items() if kind not in ("email", "iban", "card"))
+    own = F.concat_ws("|", F.lit(PATTERNS["email"]), _once(ibans, _one_of), _once(cards, _one_of), F.lit(others))
+    return F.when(F.exists(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), wrong), own).otherwise(F.lit(ANY))
+
+
 def pseudonymised(text: Column, key: str = KEY) -> Column:
     """``text`` with every value replaced by its pseudonym, all else as it was. Null stays null."""
-    between, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    joined = F.array_join(F.zip_with(between, F.transform(found, lambda v: pseudonym(v, key)),
-                                     lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(ANY), joined).otherwise(text)
+    def joined(pattern):
+        between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+        return F.array_join(F.zip_with(between, F.transform(found, lambda v: pseudonym(v, key)),
+                                       lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+
+    return F.when(text.rlike(ANY), _once(_pattern(text), joined)).otherwise(text)
+
+
+def _count(text: Column) -> Column:
+    """How many values the text has: those that are replaced, and matches with wrong check digits beside them."""
+    matches = lambda t, pattern: F.size(F.regexp_extract_all(t, pattern, F.lit(0)))
+
+    def all_of(pattern):
+        beside = F.aggregate(F.split(text, pattern, -1), F.lit(0), lambda n, t: n + matches(t, F.lit(ANY)))
+        return matches(text, pattern) + F.when(pattern != ANY, beside).otherwise(0)
+
+    return F.when(text.rlike(ANY), _once(_pattern(text), all_of)).otherwise(0)
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with personal data in a text column replaced: e-mail names, IBANs and payment cards with right check
     digits, social security and telephone numbers, IPv4 addresses and dates.
 
-    A value's pseudonym has its format and its validity, and depends on the value and the key alone: equal values
+    Where a match runs beyond an IBAN or a card (into a word in capitals, a security code, another number), the
+    longest valid part of it is the value. A value's pseudonym has its format and its validity, and depends on the value and the key alone: equal values
     stay equal in all documents, different values of a kind stay different. One narrow pass without a shuffle; whole
     texts of any length. Null stays null, '' stays ''; other columns, repeated rows and empty tables are left as
     they are."""
@@ -259,6 +336,6 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
 def pseudonymised_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text (with pseudonyms) and values (how many values the text has, valid or not) of every document."""
-    rows = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
-    return rows.select("doc_id", pseudonymised(F.col("text"), key).alias("text"),
-                       F.coalesce(F.size(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), F.lit(0)).alias("values"))
+    # The input has a name of its own: inside lambdas, "text" would be the result's column of that name.
+    rows = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("given"))
+    return rows.select("doc_id", pseudonymised(F.col("given"), key).alias("text"), _count(F.col("given")).alias("values"))

@@ -131,6 +131,22 @@ def test_texts(spark):
     assert counts == [len(PYTHON_ANY.findall(t or "")) for _, t, _ in rows]
 
 
+DE, GB, CARD, AMEX = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "4111 1111 1111 1111", "3782 822463 10005"
+#: Values between texts that their patterns would take in, too.
+CROWDED = [(DE, " BIC COBADEFF"), (GB, " OR"), (CARD, " 123 end"), (CARD, " 12/25"), ("4111-1111-1111-1111", "-123 end"), ("12 ", CARD, ", 7"),
+           ("123-", "4111-1111-1111-1111", " x"), (AMEX, " ", CARD, " 77."), ("366-555-9807", " ", CARD, " 123"), ("AB12 ", CARD, " end"),
+           (DE, " ", GB, " OR ", CARD, " 99"), ("4944339490429604", " 1 ", "61.131.143.218"), ("DE88 3704 0044 0532 0130 00", " IN ", "2024-02-29")]
+
+
+def test_values_beside_capitals_and_numbers(spark):
+    rows = [(i, "".join(parts)) for i, parts in enumerate(CROWDED)]
+    got = {r.doc_id: r for r in pseudonymised_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, parts in enumerate(CROWDED):
+        assert got[i].text == "".join(plain(x) if PYTHON_ANY.fullmatch(x) else x for x in parts)
+        assert got[i]["values"] == sum(bool(PYTHON_ANY.fullmatch(x)) for x in parts)
+    assert not any(v in got[i].text for i in got for v in (DE, GB, CARD, AMEX, "4111-1111-1111-1111", "366-555-9807"))
+
+
 @pytest.mark.parametrize("kind", ["date", "digits"])
 def test_permutation(spark, kind):
     if kind == "date":
