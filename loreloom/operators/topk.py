@@ -8,6 +8,8 @@ per query. Pairs are never rows; a hot owner becomes many tasks; nothing is drop
 because the k best of a query are among the k best of the parts it visited.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -234,10 +236,19 @@ def nearest(vectors: DataFrame, vector: list[float], k: int = K.DEFAULT_LIMIT, *
     return scored.orderBy("distance", "chunk_id").limit(k)
 
 
+def hyperplanes(dimensions: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    """(dimensions, tables * bits) of +1 and -1: the first hexadecimal digit of the md5 of 'seed|table|bit|dimension'
+    is below 8 for +1, so that SQL can build the same planes."""
+    def sign(*place):
+        return 1.0 if hashlib.md5("|".join(map(str, place)).encode()).hexdigest()[0] < "8" else -1.0
+
+    return np.array([[sign(seed, t, b, d) for t in range(tables) for b in range(bits)] for d in range(dimensions)])
+
+
 def _signatures(dimensions: int, tables: int, bits: int, seed: int):
     @F.arrow_udf(T.ArrayType(T.LongType(), False))
     def signature(column: pa.Array) -> pa.Array:
-        planes = np.random.default_rng(seed).standard_normal((dimensions, tables * bits))
+        planes = hyperplanes(dimensions, tables, bits, seed)
         side = (_matrix(pa.chunked_array([column])) @ planes > 0) if len(column) else np.zeros((0, tables * bits))
         codes = side.reshape(len(column), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
         offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * tables)
@@ -247,12 +258,14 @@ def _signatures(dimensions: int, tables: int, bits: int, seed: int):
 
 
 def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_LIMIT, *,
-                     dimensions: int, on: tuple[str, ...] = ("owner",), tables: int = 4, bits: int = 4,
+                     dimensions: int, on: tuple[str, ...] = ("owner",), tables: int = 6, bits: int = 4,
                      seed: int = 17, include_zero: bool = False) -> DataFrame:
-    """Approximate k nearest: a query only meets vectors sharing one of its hyperplane signatures.
+    """Approximate k nearest: a query meets the vectors of which a hyperplane signature is one of its own, or differs
+    from it in one bit.
 
     Same columns as ``cosine_topk``; candidates are scored exactly, so every distance is right
-    and only recall is approximate. More ``bits`` mean smaller cells, more ``tables`` better recall:
+    and only recall is approximate: no query gets fewer than k hits while its key has that many, as those
+    with fewer candidates are searched exactly. More ``bits`` mean smaller cells, more ``tables`` better recall:
     let an owner's vectors be several thousand per 2**bits cells. Null vectors are left out; one of another
     length than ``dimensions`` is an error, as in ``cosine_topk``.
     """
@@ -264,9 +277,17 @@ def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int = K.DEFAULT_
         kept = rows.filter(F.col(column).isNotNull()).withColumn(column, checked)
         return kept.select("*", F.posexplode(signature(column)).alias("_table", "_signature"))
 
-    asked = queries.withColumn("k", _limit_column(queries, k)).select("query_id", *on, "vector", "k")
+    vectors = vectors.select("chunk_id", *on, "embedding")
+    asked = stored(queries.withColumn("k", _limit_column(queries, k)).select("query_id", *on, "vector", "k"), "approximate-queries")
+    near = F.array(F.col("_signature"), *[F.col("_signature").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
     hits = _score_in_cells(
-        hashed(asked, "vector"), hashed(vectors.select("chunk_id", *on, "embedding"), "embedding"),
+        hashed(asked, "vector").withColumn("_signature", F.explode(near)), hashed(vectors, "embedding"),
         [*on, "_table", "_signature"], include_zero, CELL_VECTORS, CELL_QUERIES,
     )
-    return _best(hits.dropDuplicates(["query_id", "chunk_id"]), None if "k" in queries.columns else max(0, k))
+    best = stored(_best(hits.dropDuplicates(["query_id", "chunk_id"]), None if "k" in queries.columns else max(0, k)), "approximate-hits")
+    found = best.groupBy("query_id").agg(F.count("*").alias("_found"))
+    short = stored(asked.join(found, "query_id", "left").filter(F.coalesce("_found", F.lit(0)) < F.col("k")).drop("_found"), "short-queries")
+    if short.limit(1).count() == 0:
+        return best
+    return best.join(short.select("query_id"), "query_id", "left_anti").unionByName(
+        cosine_topk(short, vectors, k, on=on, include_zero=include_zero))

@@ -207,6 +207,23 @@ ORACLE["search_chunks_distance"] = _with(_VECTOR_CHUNKS, _centroids("owner", "ow
 SELECT query_id, owner, rank, document_id, 'Document ' || document_id AS document_title, chunk_id, chunk_index,
        round(distance, 6) AS distance FROM ranked WHERE rank <= 20"""
 
+ORACLE["lsh_topk"] = _with(_VECTOR_CHUNKS, _centroids("owner, label", "owner || '/' || label"), """planes AS (
+  SELECT t, b, list(CASE WHEN substr(md5('17|' || t || '|' || b || '|' || d), 1, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS plane
+  FROM range(6) AS ts(t), range(4) AS bs(b), range(64) AS ds(d) GROUP BY t, b)""", """vector_signs AS (
+  SELECT id AS chunk_id, t, CAST(sum(CASE WHEN list_dot_product(embedding, plane) > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS sign
+  FROM vchunks, planes GROUP BY id, t)""", """query_signs AS (
+  SELECT query_id, t, CAST(sum(CASE WHEN list_dot_product(vector, plane) > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS sign
+  FROM asked, planes GROUP BY query_id, t)""", """candidates AS (
+  SELECT DISTINCT query_id, chunk_id FROM scored JOIN query_signs q USING (query_id) JOIN vector_signs v USING (chunk_id, t)
+  WHERE bit_count(xor(q.sign, v.sign)) <= 1)""", """candidate_counts AS (SELECT query_id, count(*) AS n FROM candidates GROUP BY query_id)""") + """
+SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM (
+  SELECT scored.query_id, scored.chunk_id, distance,
+         row_number() OVER (PARTITION BY scored.query_id ORDER BY distance, scored.chunk_id) AS rank
+  FROM scored LEFT JOIN candidate_counts USING (query_id)
+       LEFT JOIN candidates ON candidates.query_id = scored.query_id AND candidates.chunk_id = scored.chunk_id
+  WHERE candidates.chunk_id IS NOT NULL OR coalesce(n, 0) < 5)
+WHERE rank <= 5"""
+
 ORACLE["embedded_chunks"] = _with(_INGESTED) + """
 SELECT document_id, chunk_index, coalesce(nonzero, 0) AS nonzero, coalesce(weight, 0.0) AS weight
 FROM ichunks LEFT JOIN (

@@ -143,6 +143,19 @@ def test_approximate_finds_identical_vectors_and_right_distances(spark):
                          spark.createDataFrame([(1, "a", [2.0])], C), dimensions=2).collect()
 
 
+def test_approximate_recall_and_whole_lists(spark):
+    rng = np.random.default_rng(3)
+    c = [(i, f"o{i % 4}", rng.standard_normal(64).tolist()) for i in range(600)] + [(900, "few", [1.0] * 64), (901, "few", [-1.0] * 64)]
+    q = [(f"q{i}", f"o{i % 4}", rng.standard_normal(64).tolist()) for i in range(60)] + [("few", "few", [1.0] * 63 + [2.0])]
+    exact = brute(q, c, 5)
+    got = collected(approximate_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C), 5, dimensions=64))
+    assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in exact.items()} and got["few"] == [900, 901]
+    assert sum(len(set(got[i]) & set(exact[i])) for i in exact) >= 0.9 * sum(map(len, exact.values()))
+    # So many tables of so many bits leave most queries without k candidates.
+    got = collected(approximate_topk(spark.createDataFrame(q, Q), spark.createDataFrame(c, C), 5, dimensions=64, tables=1, bits=12))
+    assert {i: len(x) for i, x in got.items()} == {i: len(x) for i, x in exact.items()}
+
+
 def test_scalar_vector_functions(spark):
     rows = spark.createDataFrame([([3.0, 4.0], [3.0, 4.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])],
                                  "a array<float>, b array<float>")
