@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loreloom.llm.alignment import alignment_digests
 from loreloom.llm.bm25 import contaminated
 from loreloom.llm.chaining import repeated_passages
 from loreloom.llm.common import table
@@ -16,6 +17,7 @@ from loreloom.llm.packing import pack_documents
 from loreloom.llm.pseudonyms import pseudonymised_documents
 from loreloom.llm.sharding import shard_documents
 from loreloom.llm.simhash import near_duplicates
+from loreloom.llm.token_files import token_digests
 from loreloom.llm.url_cascade import ORACLE as URL_ORACLE
 from loreloom.llm.url_cascade import judge_pages
 from loreloom.llm.weighted_sampling import fingerprint_documents
@@ -61,6 +63,14 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_huffman_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collinear_chaining": op1_collinear_chaining,
     "op2_byte_gru": op2_byte_gru,
@@ -72,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merkle_audit": op8_merkle_audit,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_weighted_sampling": op10_weighted_sampling,
+    "op12_shared_cuts": op12_shared_cuts,
+    "op13_huffman_files": op13_huffman_files,
 }
 
 ORACLE: dict[str, str] = {
