@@ -21,6 +21,7 @@ from loreloom.llm.token_files import token_digests
 from loreloom.llm.url_cascade import ORACLE as URL_ORACLE
 from loreloom.llm.url_cascade import judge_pages
 from loreloom.llm.weighted_sampling import fingerprint_documents
+from loreloom.llm.whitening import whitened
 
 
 def op1_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digests(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_merkle_audit": op8_merkle_audit,
     "op9_simhash_trie": op9_simhash_trie,
     "op10_weighted_sampling": op10_weighted_sampling,
+    "op11_feast_whitening": op11_feast_whitening,
     "op12_shared_cuts": op12_shared_cuts,
     "op13_huffman_files": op13_huffman_files,
 }
