@@ -4,10 +4,10 @@ A folder holds ``codebook`` (id, bits: the length of its code; canonical codes f
 block, first, n_ids, data). Parts follow each other in ascending doc_id, blocks within their part. A block's ``data`` is
 
     4 bytes  magic, "HTB1"                      4 bytes  CRC-32 of all that follows
-    4 bytes  pieces                             4 bytes  segments
+    4 bytes  pieces                             4 bytes  runs
     pieces x (doc_id 8, has id 1, ids 4, ids of its document before it 8, and behind it 8)
-    segments x 2: the bits that each run of 64 ids of a piece takes (checkpoints)
-    the codes; each piece starts at a whole byte
+    runs x 2: the bits that each run of 64 ids takes (checkpoints)
+    the codes of all ids
 
 in little-endian numbers, codes from the highest bit down. A document is one piece, or several when it is long.
 """
@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm.byte_tokens import Words, byte_level, text_runs, vocabulary_file
-from loreloom.llm.common import column_or_null
+from loreloom.llm.common import column_or_null, pieces_of
 from loreloom.session import shared_folder
 
 END = 0
@@ -93,17 +91,24 @@ class Codebook:
         return np.repeat(self.ids, self.shares), np.repeat(self.bits.astype(np.uint8), self.shares)
 
     def coded(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """Codes of ``ids`` from a whole byte on, and the bits that each run of them takes (2 bytes each)."""
-        bits = self.bits_of[ids]
-        columns = np.arange(self.most, dtype=np.uint8)
-        wide = self.code_of[ids] << (self.most - bits).astype(np.uint32)
-        ones = (wide[:, None] >> (self.most - 1 - columns).astype(np.uint32)) & 1
-        stream = ones.astype(np.uint8)[columns < bits[:, None]]
-        runs = np.add.reduceat(bits.astype(np.int64), np.arange(0, len(ids), RUN))
-        return np.packbits(stream).tobytes(), runs.astype("<u2").tobytes()
-
-
-def decode_runs(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
+        """Codes of ``ids``, and the bits that each run of them takes (2 bytes each)."""
+        bits, codes = self.bits_of[ids].astype(np.int64), self.code_of[ids].astype(np.uint64)
+        ends = np.cumsum(bits)
+        starts = ends - bits
+        word, room = starts >> 6, 64 - (starts & 63) - bits
+        # Codes of one word share no bit, so their sum is their union; at most one of them goes on in the next word.
+        inside = np.where(room >= 0, codes << np.maximum(room, 0).astype(np.uint64), codes >> np.maximum(-room, 0).astype(np.uint64))
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        words = np.zeros((int(ends[-1]) >> 6) + 1, np.uint64)
+        words[word[first]] = np.add.reduceat(inside, first)
+        over = np.flatnonzero(room < 0)
+        words[word[over] + 1] += codes[over] << (64 + room[over]).astype(np.uint64)
+        runs = np.add.reduceat(bits, np.arange(0, len(ids), RUN))
+        return words.astype(">u8").tobytes()[:(int(ends[-1]) + 7) // 8], runs.astype("<u2").tobytes()
+
+
+def decode_runs(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, table: tuple[np.ndarray, np.ndarray],
+                most: int) -> np.ndarray:
     """Ids of all runs: run i has ``counts[i]`` codes from bit ``starts[i]`` of ``data`` (padded by 4 bytes) on. All runs
     take their next code at once, through the table."""
     symbols, bits = table
@@ -142,26 +147,33 @@ def _shifted(crc: int, n_bytes: int) -> int:
 
 
 def token_rows(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, place, n, ids) of every document: its ids and the end id, as unsigned numbers of 2 or 4 bytes."""
+    """Pieces of at most PIECE_IDS ids of every document, the end id included: doc_id, n, before, after (ids of the document
+    before and behind the piece), width (bytes of an id), ids, place (rising within a document, and unlike any other)."""
 
     def run(batches):
         model = byte_level(tokenizer, False)
-        kind = "<u2" if model.model.get_vocab_size() <= 1 << 16 else "<u4"
+        kind = np.dtype("<u2" if model.model.get_vocab_size() <= 1 << 16 else "<u4")
         for batch in batches:
             identifiers = batch.column(0)
             for start, texts in text_runs(batch.column(1)):
                 ids, counts = Words(texts, False).ids(model)
-                ends = np.cumsum(counts)
-                both = np.insert(ids, ends, END).astype(kind)
-                stops = ((ends + np.arange(1, len(ends) + 1)) * both.itemsize).astype(np.int64)
+                both = np.insert(ids, np.cumsum(counts), END).astype(kind)
+                counts = counts + 1
+                pieces = -(-counts // PIECE_IDS)
+                doc, piece = pieces_of(pieces)
+                before = piece * PIECE_IDS
+                n = np.minimum(counts[doc] - before, PIECE_IDS)
+                ends = np.concatenate(([0], np.cumsum(n))) * kind.itemsize
                 column = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate(([0], stops))), pa.py_buffer(both)])
+                    pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(both)])
                 yield pa.RecordBatch.from_arrays(
-                    [identifiers.slice(start, len(counts)), pa.array(counts + 1), pa.array(np.full(len(counts), both.itemsize, np.int32)),
-                     column.cast(pa.binary())], names=["doc_id", "n", "width", "ids"])
+                    [identifiers.take(pa.array(start + doc)), pa.array(n), pa.array(before), pa.array(counts[doc] - before - n),
+                     pa.array(np.full(len(n), kind.itemsize, np.int32)), column.cast(pa.binary())],
+                    names=["doc_id", "n", "before", "after", "width", "ids"])
 
     rows = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n bigint, width int, ids binary").withColumn("place", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, "doc_id bigint, n bigint, before bigint, after bigint, width int, ids binary").withColumn(
+        "place", F.monotonically_increasing_id())
 
 
 def _id_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,61 +193,37 @@ def _id_counts(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counts["id"].to_numpy(), counts["n"].to_numpy()
 
 
-def _pieces(tokens: DataFrame, book: Codebook) -> DataFrame:
-    """Coded pieces of at most PIECE_IDS ids, keyed by (doc_id, place, piece)."""
+def _blocks(tokens: DataFrame, book: Codebook) -> DataFrame:
+    """Blocks of each partition of ``tokens``, a part whose pieces come in order."""
 
     def run(batches):
-        names = ["doc_id", "place", "piece", "n", "before", "after", "codes", "runs"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        part = TaskContext.get().partitionId()
+        held: list[tuple] = []
+        block = first = n = 0
         for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for doc_id, place, width, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                values = np.frombuffer(ids.as_buffer(), f"<u{width}")
-                for k, at in enumerate(range(0, len(values), PIECE_IDS)):
-                    part = values[at:at + PIECE_IDS]
-                    codes, runs = book.coded(part)
-                    out.append((doc_id, place, k, len(part), at, len(values) - at - len(part), codes, runs))
-                    size += len(codes)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                        out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    return tokens.select("doc_id", "place", "width", "ids").mapInArrow(
-        run, "doc_id bigint, place bigint, piece int, n bigint, before bigint, after bigint, codes binary, runs binary")
-
-
-def _block(pieces: list[tuple]) -> bytes:
-    head = np.array([(d or 0, d is not None, n, before, after) for d, n, before, after, _, _ in pieces], _PIECE)
-    runs = b"".join(p[5] for p in pieces)
-    body = (len(pieces).to_bytes(4, "little") + (len(runs) // 2).to_bytes(4, "little") + head.tobytes() + runs
-            + b"".join(p[4] for p in pieces))
-    return MAGIC + zlib.crc32(body).to_bytes(4, "little") + body
+            for piece in zip(*(batch.column(i).to_pylist() for i in range(5)), batch.column(5), strict=True):
+                held.append(piece)
+                n += piece[1]
+                if n >= BLOCK_IDS:
+                    yield row(part, block, first, n, held)
+                    held, block, first, n = [], block + 1, first + n, 0
+        if held:
+            yield row(part, block, first, n, held)
 
+    def row(part, block, first, n, held):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()),
+             pa.array([_block(held, book)], pa.binary())], names=["part", "block", "first", "n_ids", "data"])
 
-def _blocks(batches) -> Iterator[pa.RecordBatch]:
-    """Blocks of one part, whose pieces come in order."""
-    part = TaskContext.get().partitionId()
-    held: list[tuple] = []
-    block = first = n = 0
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for piece in zip(*columns, strict=True):
-            held.append(piece)
-            n += piece[1]
-            if n >= BLOCK_IDS:
-                yield _block_row(part, block, first, n, held)
-                held, block, first, n = [], block + 1, first + n, 0
-    if held:
-        yield _block_row(part, block, first, n, held)
+    return tokens.select("doc_id", "n", "before", "after", "width", "ids").mapInArrow(
+        run, "part int, block int, first bigint, n_ids bigint, data binary")
 
 
-def _block_row(part: int, block: int, first: int, n: int, held: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()),
-         pa.array([_block(held)], pa.binary())], names=["part", "block", "first", "n_ids", "data"])
+def _block(pieces: list[tuple], book: Codebook) -> bytes:
+    head = np.array([(d or 0, d is not None, n, before, after) for d, n, before, after, _, _ in pieces], _PIECE)
+    codes, runs = book.coded(np.concatenate([np.frombuffer(ids.as_buffer(), f"<u{width}") for *_, width, ids in pieces]))
+    body = len(pieces).to_bytes(4, "little") + (len(runs) // 2).to_bytes(4, "little") + head.tobytes() + runs + codes
+    return MAGIC + zlib.crc32(body).to_bytes(4, "little") + body
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, part_ids: int = PART_IDS) -> None:
@@ -244,8 +232,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, par
     Null and empty texts have the end id only. Rows without id come first; rows of equal id follow each other, in any
     order that the files then keep. Other columns are ignored. No documents: an empty codebook and no blocks.
 
-    Texts are encoded once and stored; counts over all of them give the code; documents are coded where they are stored,
-    and only codes are shuffled, into ranges of doc_id and row, so that rows of one id can be split."""
+    Texts are encoded once and stored in pieces; counts over all of them give the code. The pieces are shuffled into ranges
+    of doc_id and place, so that rows of one id can be split, and coded where they arrive."""
     spark = docs.sparkSession
     stored = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     rows = token_rows(docs, tokenizer or vocabulary_file("byte_bpe_50k.json"))
@@ -256,11 +244,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, par
     spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "bits": pa.array(bits, pa.int32())})).coalesce(1).write.parquet(
         f"{folder}/codebook")
     parts = int(min(max(1, -(-int(counts.sum()) // part_ids)), 50_000))
-    pieces = _pieces(tokens, Codebook(ids, bits)).repartitionByRange(parts, "doc_id", "place", "piece").sortWithinPartitions(
-        "doc_id", "place", "piece")
-    pieces.select("doc_id", "n", "before", "after", "codes", "runs").mapInArrow(
-        _blocks, "part int, block int, first bigint, n_ids bigint, data binary").write.option("compression", "none").parquet(
-            f"{folder}/blocks")
+    ordered = tokens.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place")
+    _blocks(ordered, Codebook(ids, bits)).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
@@ -293,22 +278,15 @@ def _decoded(buffer, first: int, table, most: int, with_ids: bool) -> pa.RecordB
     view = memoryview(buffer)
     if bytes(view[:4]) != MAGIC or zlib.crc32(view[8:]) != int.from_bytes(view[4:8], "little"):
         raise ValueError("damaged block of token ids")
-    pieces, segments = np.frombuffer(view[8:16], "<u4").tolist()
+    pieces, count = np.frombuffer(view[8:16], "<u4").tolist()
     at = 16 + pieces * _PIECE.itemsize
     head = np.frombuffer(view[16:at], _PIECE)
-    runs = np.frombuffer(view[at:at + 2 * segments], "<u2").astype(np.int64)
+    runs = np.frombuffer(view[at:at + 2 * count], "<u2").astype(np.int64)
     n = head["n"].astype(np.int64)
-    per_piece = -(-n // RUN)
-    last = np.cumsum(per_piece) - 1
-    upto = np.cumsum(runs)
-    bits = upto[last] - np.concatenate(([0], upto[last][:-1]))
-    begin = (np.cumsum((bits + 7) // 8) - (bits + 7) // 8) * 8
-    owner = np.repeat(np.arange(pieces), per_piece)
-    starts = begin[owner] + (upto - runs) - (upto[last] - bits)[owner]
-    counts = np.full(segments, RUN, np.int64)
-    counts[last] = n - (per_piece - 1) * RUN
-    codes = np.concatenate((data[at + 2 * segments:], np.zeros(4, np.uint8)))
-    ids = np.ascontiguousarray(decode_runs(codes, starts, counts, table, most), "<u4")
+    sizes = np.full(count, RUN, np.int64)
+    sizes[-1] = n.sum() - (count - 1) * RUN
+    codes = np.concatenate((data[at + 2 * count:], np.zeros(4, np.uint8)))
+    ids = np.ascontiguousarray(decode_runs(codes, np.cumsum(runs) - runs, sizes, table, most), "<u4")
     ends = np.cumsum(n)
     raw = memoryview(ids).cast("B")
     after = head["after"].tolist()
