@@ -2,9 +2,9 @@ from collections import defaultdict
 
 import pytest
 from test_bm25 import plain as plain_leaks
+from test_near_copies import plain_classes
 from test_pseudonyms import PYTHON_ANY
 from test_pseudonyms import plain as plain_pseudonym
-from test_simhash import groups, plain_fingerprint
 
 import corpus_pipeline
 from loreloom.llm.langid import Reader, fitted
@@ -45,7 +45,7 @@ def test_stages_are_those_of_plain_loops(spark, rows):
         return spark.createDataFrame(wanted, COLUMNS).repartition(3)
 
     docs = check("language", docs, left)
-    labels = groups([plain_fingerprint(r[1]) for r in left])
+    labels = plain_classes([r[1] or "" for r in left])[1]
     members = defaultdict(list)
     for row, label in zip(left, labels, strict=True):
         members[label].append(row)
