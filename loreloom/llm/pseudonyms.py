@@ -27,11 +27,14 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: Letters and digits of an IBAN by country: of several valid ends of a match, that of this length is taken first.
-_IBAN_LENGTHS = dict(zip(
-    "NO BE DK FI NL MK SI AT BA EE KZ LT LU CR CH HR LI LV BG BH DE GB GE IE ME RS AE GI IL AD CZ ES MD PK RO SA SE SK TN TR VG "
-    "GR IT FR MC SM AL AZ CY DO GT HU LB PL MU BR PS QA UA JO KW MT".split(),
-    map(int, ("15 16 18 18 18 19 19 20 20 20 20 20 20 22 21 21 21 21 22 22 22 22 22 22 22 22 23 23 23 24 24 24 24 24 24 24 24 24 24 26 24 "
-              "27 27 27 27 27 28 28 28 28 28 28 28 28 30 29 29 29 29 30 30 31").split()), strict=True))
+_IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31,
+    "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24,
+}
 # Dates are days from 1900-01-01 on, 280 times 280 of them, up to 2114-08-26: each number below that is a date.
 _FIRST_DAY, _SIDE = "1900-01-01", 280
 
@@ -283,19 +286,24 @@ def _pattern(text: Column) -> Column:
     """The pattern of the text's values: ``ANY``, unless check digits show that a match of it runs too far.
 
     The longest match of an IBAN or a card can hold more than the value: a word in capitals, a security code, another
-    number. In a text with a match whose check digits are wrong, all valid runs of groups are looked for, and they
-    are what the pattern has in place of IBANs and cards, longest first."""
+    number, and its check digits can be right by chance. In a text with a match whose check digits are wrong, or that is
+    longer than usual (an IBAN of its country, a card of 16 digits), all valid runs of groups are looked for, and they are
+    what the pattern has in place of IBANs and cards: those of usual length first, then the longest."""
     lengths = F.create_map(*[F.lit(x) for pair in _IBAN_LENGTHS.items() for x in pair])
 
     def rank(value):
         return F.length(value) + F.when(F.length(_plain(value)) == F.try_element_at(lengths, F.substring(value, 1, 2)), 100).otherwise(0)
 
+    def card_rank(value):
+        return _once(F.length(_digits(value)), lambda n: n + F.when(n <= 16, 100).otherwise(0))
+
     def wrong(value):
-        return F.when(value.rlike(f"^(?:{PATTERNS['iban']})$"), ~_iban_fits(value)).when(
-            value.rlike(f"^(?:{PATTERNS['card']})$"), ~_card_fits(value)).otherwise(False)
+        usual = F.try_element_at(lengths, F.substring(value, 1, 2))
+        return F.when(value.rlike(f"^(?:{PATTERNS['iban']})$"), ~_iban_fits(value) | (F.coalesce(usual, F.lit(0)) != F.length(_plain(value)))).when(
+            value.rlike(f"^(?:{PATTERNS['card']})$"), ~_card_fits(value) | (F.length(_digits(value)) > 16)).otherwise(False)
 
     ibans = F.array_sort(F.filter(_runs_of_groups(text, "iban", 15), _iban_fits), lambda a, b: rank(b) - rank(a))
-    cards = F.array_sort(F.filter(_runs_of_groups(text, "card", 13), _card_fits), lambda a, b: F.length(b) - F.length(a))
+    cards = F.array_sort(F.filter(_runs_of_groups(text, "card", 13), _card_fits), lambda a, b: card_rank(b) - card_rank(a))
     others = "|".join(p for kind, p in PATTERNS.items() if kind not in ("email", "iban", "card"))
     own = F.concat_ws("|", F.lit(PATTERNS["email"]), _once(ibans, _one_of), _once(cards, _one_of), F.lit(others))
     return F.when(F.exists(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), wrong), own).otherwise(F.lit(ANY))
@@ -326,8 +334,9 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     """``docs`` with personal data in a text column replaced: e-mail names, IBANs and payment cards with right check
     digits, social security and telephone numbers, IPv4 addresses and dates.
 
-    Where a match runs beyond an IBAN or a card (into a word in capitals, a security code, another number), the
-    longest valid part of it is the value. A value's pseudonym has its format and its validity, and depends on the value and the key alone: equal values
+    Where a match runs beyond an IBAN or a card (into a word in capitals, a security code, another number), its valid part
+    of usual length (an IBAN's in its country, 13 to 16 digits of a card) is the value, else the longest valid part. A
+    value's pseudonym has its format and its validity, and depends on the value and the key alone: equal values
     stay equal in all documents, different values of a kind stay different. One narrow pass without a shuffle; whole
     texts of any length. Null stays null, '' stays ''; other columns, repeated rows and empty tables are left as
     they are."""
