@@ -116,9 +116,10 @@ class Graph:
 def upsert_graph(payloads: DataFrame, as_of: Column, nodes: DataFrame | None = None, links: DataFrame | None = None,
                  edges: DataFrame | None = None, strict: bool = False) -> Graph:
     """Graph tables after the payloads. Payloads are parsed and stored first: a model is asked once per
-    document, and the three tables read the same reply, each its nested columns only."""
+    document, and the three tables read the same reply, each its nested columns only. The node table is stored too: its
+    readers, links, titles of edges and positions, need not upsert it again."""
     payloads = stored(graph.parsed(payloads), "payloads")
-    after = graph.upsert_nodes(payloads, as_of, nodes, strict)
+    after = stored(graph.upsert_nodes(payloads, as_of, nodes, strict), "graph-nodes")
     return Graph(
         after,
         graph.link_nodes(payloads, links, strict, None if nodes is None else after),

@@ -224,6 +224,13 @@ SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM (
   WHERE candidates.chunk_id IS NOT NULL OR coalesce(n, 0) < 5)
 WHERE rank <= 5"""
 
+ORACLE["pruned_search"] = _with(_VECTOR_CHUNKS, _centroids("owner, label", "owner || '/' || label")) + """
+SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM ranked WHERE rank <= 5"""
+
+ORACLE["cells_search_quality"] = _with(_VECTOR_CHUNKS, _centroids("owner, label", "owner || '/' || label")) + """
+SELECT count(DISTINCT query_id) AS queries, count(*) AS asked, count(*) AS found, TRUE AS enough, TRUE AS exact_distances
+FROM ranked WHERE rank <= 5"""
+
 ORACLE["embedded_chunks"] = _with(_INGESTED) + """
 SELECT document_id, chunk_index, coalesce(nonzero, 0) AS nonzero, coalesce(weight, 0.0) AS weight
 FROM ichunks LEFT JOIN (

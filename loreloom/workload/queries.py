@@ -3,14 +3,15 @@
 import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreloom import constants as K
 from loreloom.functions import text as X
 from loreloom.functions.tags import normalize_tags, tags_from_text, tags_to_text
 from loreloom.operators import chunking, filters, graph, maintain, validation
-from loreloom.operators.topk import approximate_topk, nearest
+from loreloom.operators.cells import cells_topk, indexed, pruned_topk, train_cells
+from loreloom.operators.topk import approximate_topk, cosine_topk, nearest
 from loreloom.plans import chat, views
 from loreloom.plans.ingest import embed_chunks, ingest, ingest_uploads, process_documents, stored_processing, upsert_graph
 from loreloom.plans.search import embed_queries, search_chunks, search_requests, semantic_search
@@ -103,6 +104,36 @@ def lsh_topk(spark, sf_dir):
                         F.col("rank").cast("bigint").alias("rank"))
 
 
+def _cells(spark, sf_dir):
+    """Queries by owner and label, chunk vectors, and a trained index of them."""
+    t = Tables(spark, sf_dir)
+    vectors = t.chunks().select(F.col("id").alias("chunk_id"), "owner", "embedding")
+    cells = train_cells(vectors)
+    return t.centroid_queries("label"), vectors, cells, indexed(vectors, cells)
+
+
+def pruned_search(spark, sf_dir):
+    """Exact five nearest by the triangle inequality over trained cells."""
+    queries, _, cells, index = _cells(spark, sf_dir)
+    return pruned_topk(queries, index, cells).select(
+        "query_id", "chunk_id", F.round("distance", 6).alias("distance"),
+        F.col("rank").cast("bigint").alias("rank"))
+
+
+def cells_search_quality(spark, sf_dir):
+    """The approximate search over trained cells against the exact one: queries, hits asked for, hits found, and whether nine of
+    ten exact hits are among them, all with their exact distances."""
+    queries, vectors, cells, index = _cells(spark, sf_dir)
+    exact = cosine_topk(queries, vectors).select("query_id", "chunk_id", F.col("distance").alias("true"))
+    found = cells_topk(queries, index, cells).select("query_id", "chunk_id", "distance")
+    both = exact.join(found, ["query_id", "chunk_id"], "full")
+    hit = F.col("true").isNotNull() & F.col("distance").isNotNull()
+    return both.agg(
+        F.count_distinct("query_id").alias("queries"), F.count("true").alias("asked"), F.count("distance").alias("found"),
+        (F.count_if(hit) >= F.count("true") * 0.9).alias("enough"),
+        (F.count_if(hit & (F.abs(F.col("true") - F.col("distance")) > 1e-6)) == 0).alias("exact_distances"))
+
+
 def search_request_batch(spark, sf_dir):
     """Every user message as a raw request; accepted ones with query and limit, refused ones with the rule."""
     t = Tables(spark, sf_dir)
@@ -419,13 +450,13 @@ def validate_chat_requests(spark, sf_dir):
 
 # ---- memory ------------------------------------------------------------------------------
 
-def _memory_columns(rows: DataFrame) -> DataFrame:
+def _memory_columns(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.select("id", "owner", "title", "category", "is_pinned", tags_to_text(F.col("tags")).alias("tags"),
-                       _seconds("updated_at").alias("updated_epoch"))
+                       _seconds("updated_at").alias("updated_epoch"), *more)
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    return _memory_columns(rows).join(rows.select("id", F.col("position").cast("bigint").alias("position")), "id")
+    return _memory_columns(rows, F.col("position").cast("bigint").alias("position"))
 
 
 def memory_search(spark, sf_dir):
@@ -580,7 +611,8 @@ def notes_view(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        semantic_search_topk, search_chunks_distance, embedded_chunks, text_search_topk, lsh_topk,
+        semantic_search_topk, search_chunks_distance, embedded_chunks, text_search_topk, lsh_topk, pruned_search,
+        cells_search_quality,
         search_request_batch, normalize_text, txt_extract, chunk_documents, document_list, validate_documents,
         ingest_documents, replace_chunks, cascade_delete, keyword_search, keyword_search_chunks, facets,
         stream_ingest, recent_history, recent_history_4, chat_context, fallback_answer, record_exchange,
