@@ -331,6 +331,8 @@ SELECT document_id, 'Document ' || document_id AS document_title, chunk_index,
        'Document ' || document_id || ' - Chunk ' || chunk_index AS label
 FROM chunked WHERE contains(lower(content), 'the') AND contains(lower(content), 'license')"""
 
+ORACLE["indexed_chunk_search"] = ORACLE["keyword_search_chunks"]
+
 ORACLE["facets"] = _with(_NORMAL, _MEMORY) + f"""
 SELECT 'file_type' AS facet, 'note' AS value, count(*) AS row_count FROM documents
 UNION ALL SELECT 'processing_status', CASE WHEN text = '' THEN 'failed' ELSE 'completed' END, count(*)

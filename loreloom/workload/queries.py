@@ -11,6 +11,7 @@ from loreloom.functions import text as X
 from loreloom.functions.tags import normalize_tags, tags_from_text, tags_to_text
 from loreloom.operators import chunking, filters, graph, maintain, validation
 from loreloom.operators.cells import cells_topk, indexed, pruned_topk, train_cells
+from loreloom.operators.postings import gram_index, search_index
 from loreloom.operators.topk import approximate_topk, cosine_topk, nearest
 from loreloom.plans import chat, views
 from loreloom.plans.ingest import embed_chunks, ingest, ingest_uploads, process_documents, stored_processing, upsert_graph
@@ -325,6 +326,18 @@ def keyword_search_chunks(spark, sf_dir):
                         X.chunk_label(F.col("document_title"), F.col("chunk_index")).alias("label"))
 
 
+def indexed_chunk_search(spark, sf_dir):
+    """keyword_search_chunks through trigram posting lists."""
+    t = Tables(spark, sf_dir)
+    titles = t.documents().select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    chunks = stored(chunking.chunk_documents(t.documents()).join(titles, "document_id").select(
+        "document_id", "chunk_index", "document_title", "content"), "indexed-chunks")
+    keys, fields = ["document_id", "chunk_index"], ["document_title", "content"]
+    found = search_index(gram_index(chunks, keys, fields), chunks, "the License", keys, fields)
+    return found.select("document_id", "document_title", F.col("chunk_index").cast("bigint").alias("chunk_index"),
+                        X.chunk_label(F.col("document_title"), F.col("chunk_index")).alias("label"))
+
+
 def facets(spark, sf_dir):
     t = Tables(spark, sf_dir)
     done = process_documents(t.documents(), _as_of()).withColumn("created_day", F.to_date("created_at"))
@@ -614,7 +627,8 @@ QUERIES = {
         semantic_search_topk, search_chunks_distance, embedded_chunks, text_search_topk, lsh_topk, pruned_search,
         cells_search_quality,
         search_request_batch, normalize_text, txt_extract, chunk_documents, document_list, validate_documents,
-        ingest_documents, replace_chunks, cascade_delete, keyword_search, keyword_search_chunks, facets,
+        ingest_documents, replace_chunks, cascade_delete, keyword_search, keyword_search_chunks,
+        indexed_chunk_search, facets,
         stream_ingest, recent_history, recent_history_4, chat_context, fallback_answer, record_exchange,
         list_conversations, conversation_detail, validate_chat_requests, memory_search, memory_search_category,
         memory_tags_normalized, memory_keyword_search, validate_memory, partial_update, graph_nodes_upsert,
