@@ -18,6 +18,8 @@ from loreloom.operators.sizing import broadcast_if_bounded, salted_join
 NEAR = 6
 #: Id pairs that may be broadcast, in rows and bytes; beyond that they are shuffled.
 MOST_PAIRS = 500_000
+#: Words that each tokenizer of a worker remembers.
+REMEMBER = 250_000
 
 
 class Aligned(NamedTuple):
@@ -125,7 +127,7 @@ def links(run: Aligned) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _models(a_path: str, b_path: str):
-    a, b = byte_level(a_path, True), piece_model(b_path)
+    a, b = byte_level(a_path, True, REMEMBER), piece_model(b_path, REMEMBER)
     known = []
     for model in (a, b):
         of = model.token_bytes()

@@ -183,14 +183,14 @@ class Pieces(_ByWords):
 
 
 @cache
-def byte_level(path: str, plain: bool) -> ByteLevel:
+def byte_level(path: str, plain: bool, remember: int = 500_000) -> ByteLevel:
     """One for all tasks of a worker process: what it remembers is bounded, about 200 bytes a word."""
-    return ByteLevel(path, plain)
+    return ByteLevel(path, plain, remember)
 
 
 @cache
-def piece_model(path: str) -> Pieces:
-    return Pieces(path)
+def piece_model(path: str, remember: int = 500_000) -> Pieces:
+    return Pieces(path, remember)
 
 
 def vocabulary_file(name: str) -> str:
