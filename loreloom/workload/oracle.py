@@ -591,3 +591,32 @@ FROM named
 UNION ALL
 SELECT 'edge', owner, kind || '/' || a || '/' || b, arg_min(about, (CASE WHEN document_id >= bound THEN 0 ELSE 1 END, document_id, pos)), 0, 0
 FROM edges, cut GROUP BY owner, a, b, kind"""
+
+ORACLE["stream_upload_chain"] = f"""
+SELECT id, 'Document ' || id AS title, outcome, nodes FROM ({ORACLE["upload_chain"]})"""
+
+ORACLE["decoder_plugin"] = """WITH texts AS (
+  SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, chr(10), '|'), '|'), lambda x: trim(x)),
+         lambda x: x <> ''), chr(10)) AS text FROM documents)
+SELECT doc_id AS id, md5(nullif(text, '')) AS text_md5,
+       CASE WHEN text = '' THEN 'No selectable text found in this PDF.' END AS error FROM texts"""
+
+ORACLE["append_read_back"] = _with(_DOCS) + """
+SELECT id, owner, title, md5(text) AS text_md5, made AS created_epoch FROM docs"""
+
+ORACLE["documents_json"] = _with(_DOCS) + """
+SELECT '{"id":' || id || ',"owner":"' || owner || '","title":"' || title || '"}' AS json FROM docs"""
+
+ORACLE["owned_lookup"] = _with(_DOCS) + """
+SELECT id, owner, title FROM docs WHERE owner = 'src' || (id % 20)"""
+
+ORACLE["chunk_order"] = _with(_CHUNKS) + """
+SELECT document_id, chunk_index + 1 AS position, md5(content) AS content_md5 FROM chunked"""
+
+ORACLE["unit_vectors"] = """WITH vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+units AS (SELECT vec_id, list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE) AS u FROM vectors)
+SELECT vec_id, round(list_dot_product(u, u), 4) AS square, round(u[1], 5) AS lead FROM units"""
+
+ORACLE["upload_types"] = _with(_INPUTS) + """
+SELECT id, CASE WHEN file_name IS NULL THEN 'note' WHEN ends_with(lower(file_name), '.txt') THEN 'txt' ELSE 'pdf' END AS kind,
+       file_name IS NOT NULL OR regexp_replace(raw_text, '\\s', '', 'g') <> '' AS submittable FROM inputs"""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from loreloom import constants as K
 from loreloom.functions import text as X
 from loreloom.functions.tags import normalize_tags, tags_from_text, tags_to_text
+from loreloom.functions.vectors import l2_normalize
 from loreloom.operators import chunking, filters, graph, maintain, validation
 from loreloom.operators.cells import cells_topk, indexed, pruned_topk, train_cells
+from loreloom.operators.ordering import in_document_order
 from loreloom.operators.postings import gram_index, search_index
 from loreloom.operators.topk import approximate_topk, cosine_topk, nearest
 from loreloom.plans import chat, views
@@ -18,8 +20,9 @@ from loreloom.plans.ingest import embed_chunks, ingest, ingest_uploads, process_
 from loreloom.plans.search import embed_queries, search_chunks, search_requests, semantic_search
 from loreloom.session import shared_folder
 from loreloom.sources.extraction import extract_text
-from loreloom.sources.tables import stored
-from loreloom.streaming.ingest import current_chunks, start_ingest
+from loreloom.sources.tables import append_table, as_json, read_table, stored
+from loreloom.streaming.ingest import current_chunks, document_stream, start_ingest
+from loreloom.streaming.uploads import current_graph, start_uploads, upload_outcomes
 from loreloom.workload.tables import EPOCH, Tables
 
 
@@ -362,6 +365,68 @@ def stream_ingest(spark, sf_dir):
         F.length("content").cast("bigint").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
+def stream_upload_chain(spark, sf_dir):
+    """upload_chain as a stream of files in which each upload comes twice, its older version in any place."""
+    folder = f"{shared_folder(spark)}/stream_upload_chain-{uuid.uuid4().hex}"
+    uploads = Tables(spark, sf_dir).document_inputs()
+    older = uploads.withColumns({"title": F.concat(F.lit("Old "), "title"), "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 DAY")})
+    uploads.union(older).repartition(4, "id", "title").write.parquet(f"{folder}/in")
+    source = document_stream(spark, f"{folder}/in", uploads.schema, files_per_batch=2)
+    start_uploads(source, f"{folder}/out", as_of=_as_of()).awaitTermination()
+    linked = current_graph(spark, f"{folder}/out")["node_documents"].groupBy("document_id").agg(F.count("*").alias("nodes"))
+    return upload_outcomes(spark, f"{folder}/out").join(linked.withColumnRenamed("document_id", "id"), "id", "left").select(
+        "id", "title", "outcome", F.coalesce("nodes", F.lit(0)).alias("nodes"))
+
+
+# ---- rows in and out ---------------------------------------------------------------------
+
+def decoder_plugin(spark, sf_dir):
+    """Files of a type that a plug-in decodes: pages between bars."""
+    files = Tables(spark, sf_dir).raw("documents").select(
+        F.col("doc_id").alias("id"), F.lit("pdf").alias("file_type"), F.lit(None).cast("string").alias("raw_text"),
+        F.encode(F.translate("text", "\n", "|"), "UTF-8").alias("content"))
+    found = extract_text(files, {"pdf": lambda data: "\n".join(data.decode().split("|"))})
+    return found.select("id", F.md5("text").alias("text_md5"), "error")
+
+
+def append_read_back(spark, sf_dir):
+    """Documents appended to a stored table in two goes and read back."""
+    root = f"{shared_folder(spark)}/append_read_back-{uuid.uuid4().hex}"
+    documents = Tables(spark, sf_dir).documents()
+    late = F.col("id") % 2 == 1
+    for part in (documents.filter(~late), documents.filter(late)):
+        append_table(part, root, "documents")
+    return read_table(spark, root, "documents").select(
+        "id", "owner", "title", F.md5("raw_text").alias("text_md5"), _seconds("created_at").alias("created_epoch"))
+
+
+def documents_json(spark, sf_dir):
+    return as_json(Tables(spark, sf_dir).documents().select("id", "owner", "title"))
+
+
+def owned_lookup(spark, sf_dir):
+    """Each document asked for by the owner that its number suggests; others' documents stay hidden."""
+    asking = F.concat(F.lit("src"), (F.col("id") % 20).cast("string"))
+    return filters.owned_row(Tables(spark, sf_dir).documents(), asking, F.col("id")).select("id", "owner", "title")
+
+
+def chunk_order(spark, sf_dir):
+    chunks = in_document_order(chunking.chunk_documents(Tables(spark, sf_dir).documents()))
+    return chunks.select("document_id", "position", F.md5("content").alias("content_md5"))
+
+
+def unit_vectors(spark, sf_dir):
+    made = Tables(spark, sf_dir).raw("embeddings").select("vec_id", l2_normalize(F.col("embedding")).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return made.select("vec_id", F.round(square, 4).alias("square"), F.round(F.element_at("v", 1).cast("double"), 5).alias("lead"))
+
+
+def upload_types(spark, sf_dir):
+    rows = Tables(spark, sf_dir).document_inputs()
+    name = F.col("file_name")
+    return rows.select("id", X.upload_type(name).alias("kind"), X.is_submittable(F.col("title"), name, F.col("raw_text")).alias("submittable"))
+
+
 # ---- chat --------------------------------------------------------------------------------
 
 def _history(spark, sf_dir, n):
@@ -629,7 +694,8 @@ QUERIES = {
         search_request_batch, normalize_text, txt_extract, chunk_documents, document_list, validate_documents,
         ingest_documents, replace_chunks, cascade_delete, keyword_search, keyword_search_chunks,
         indexed_chunk_search, facets,
-        stream_ingest, recent_history, recent_history_4, chat_context, fallback_answer, record_exchange,
+        stream_ingest, stream_upload_chain, decoder_plugin, append_read_back, documents_json, owned_lookup, chunk_order, unit_vectors,
+        upload_types, recent_history, recent_history_4, chat_context, fallback_answer, record_exchange,
         list_conversations, conversation_detail, validate_chat_requests, memory_search, memory_search_category,
         memory_tags_normalized, memory_keyword_search, validate_memory, partial_update, graph_nodes_upsert,
         graph_edges_upsert, node_detail, entity_nodes, entity_edges, dashboard_summary, recent_digest, tasks_view,
