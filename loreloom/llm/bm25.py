@@ -16,7 +16,7 @@ from loreloom.llm.common import column_or_null, stored, text_batches
 
 K1, B = 1.2, 0.75
 _WORD = re.compile(r"\w+")
-#: A passage has so many words, or as many as the longest item; the next begins half as many later.
+#: A passage has so many words, for a longer item the next power of two; the next begins half as many later.
 PASSAGE = 64
 #: Slack of bounds, for sums of the same numbers in different orders.
 SLACK = 1e-5
@@ -37,6 +37,11 @@ def parts_of(words: list[str]) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def passage_words(words: list[str]) -> int:
+    """The width of the passages in which an item is looked for: it depends on that item alone."""
+    return max(PASSAGE, 1 << (len(words) - 1).bit_length())
+
+
 def grams(words: list[str], size: int) -> set[tuple[str, ...]]:
     """Runs of ``size`` words; of fewer words, the one run they are."""
     return {tuple(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
@@ -63,7 +68,7 @@ class Index:
 
     @classmethod
     def build(cls, items: list[tuple[int, list[str]]], frequency: dict[str, int], total: int, mean_length: float,
-              longest: int) -> Index:
+              passage: int) -> Index:
         """``items`` in any order; document frequency of terms, number and mean length are those of the whole
         benchmark."""
         items = sorted(items)
@@ -90,7 +95,7 @@ class Index:
         return cls([i for i, _ in items], [w for _, w in items], terms, at, weight,
                    np.array([w.max() for w in weight]),
                    [a[np.minimum(np.arange(BLOCK - 1, len(a) + BLOCK - 1, BLOCK), len(a) - 1)] for a in at],
-                   [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for w in weight], max(PASSAGE, longest),
+                   [np.maximum.reduceat(w, np.arange(0, len(w), BLOCK)) for w in weight], passage,
                    cuts, range_max)
 
     def above(self, query: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
@@ -175,27 +180,31 @@ def _overlap(part: list[str], seen: set, size: int) -> float:
     return len(own & seen) / len(own) if own else 1.0
 
 
-def index_blocks(benchmark: DataFrame, block_items: int, identifier: str = "item_id", text: str = "text"):
-    """Indexes of the benchmark's items, ``block_items`` items each, with statistics of all items.
+def index_blocks(benchmark: DataFrame, block_items: int, identifier: str = "item_id", text: str = "text",
+                 block_words: int = 1_000_000):
+    """Lists of indexes of the benchmark's items, an index for each passage width; a list has about ``block_items`` items
+    and ``block_words`` words at most, and statistics of all items.
 
-    Each is made on the driver from that many items' words. Items without words or id are left out: nothing can hold
+    Each is made on the driver from that many items' words; a single item is never split. Items without words or id are left out: nothing can hold
     them."""
     split = F.udf(lambda x: words_of(x), "array<string>")  # a benchmark row each, not a corpus row
     items = stored(benchmark.select(column_or_null(benchmark, identifier, "bigint").alias("item_id"),
                                     split(column_or_null(benchmark, text, "string")).alias("words"))
                    .where(F.col("item_id").isNotNull() & (F.size("words") > 0)).distinct(), "items")
-    total, mean, longest = items.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    total, mean, length = items.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.size("words"))).first()
     if not total:
         return
     frequency = stored(items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n")), "terms")
-    blocks = -(-total // block_items)
+    blocks = max(-(-total // block_items), -(-length // block_words))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
         terms = part.select(F.explode("words").alias("term")).distinct()
         counts = {r.term: r.n for r in frequency.join(terms, "term").toLocalIterator()}
-        rows = [(r.item_id, list(r.words)) for r in part.toLocalIterator()]
-        if rows:
-            yield Index.build(rows, counts, total, mean, longest)
+        widths: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
+        for r in part.toLocalIterator():
+            widths[passage_words(r.words)].append((r.item_id, list(r.words)))
+        if widths:
+            yield [Index.build(rows, counts, total, mean, width) for width, rows in sorted(widths.items())]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, question_share: float = 0.6,
@@ -203,8 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                  text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, passages): the items that each document leaks.
 
-    Every passage of every whole text (64 words, or as many as the longest item has; the next begins half as many
-    later) is a query. An item scores its share of the score of all its words; all items with ``threshold`` or more
+    Every passage of every whole text (64 words, or for longer items the next power of two; the next begins half as many
+    later) is a query to the items of its width, so an item's result does not hang on how long others are. An item scores its share of the score of all its words; all items with ``threshold`` or more
     are retrieved, by block-max WAND. Each is verified: of the runs of ``gram`` words of its question and of its
     answer, at least the given shares must stand in the passage or the passage before or after it. ``passages``
     counts those that pass; score and overlaps are the best of them.
@@ -219,8 +228,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     rows = docs.select(column_or_null(docs, identifier, "bigint").alias("doc_id"), column_or_null(docs, text, "string").alias("text"))
     found = None
-    for index in index_blocks(benchmark, block_items):
-        part = _search(rows, spark.sparkContext.broadcast(index), schema, threshold, question_share, answer_share, gram)
+    for indexes in index_blocks(benchmark, block_items):
+        part = _search(rows, spark.sparkContext.broadcast(indexes), schema, threshold, question_share, answer_share, gram)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], schema + ", passages bigint")
@@ -234,8 +243,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """The rows of ``docs`` whose text leaks no item; see ``contaminated``. A narrow pass, or one for each block of
     items; rows keep their columns, and ids play no role."""
     spark = docs.sparkSession
-    for index in index_blocks(benchmark, block_items):
-        docs = docs.where(~_leaking(spark.sparkContext.broadcast(index), threshold, question_share, answer_share, gram)(
+    for indexes in index_blocks(benchmark, block_items):
+        docs = docs.where(~_leaking(spark.sparkContext.broadcast(indexes), threshold, question_share, answer_share, gram)(
             F.col(f"`{text}`").cast("string")))
     return docs
 
@@ -243,35 +252,36 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 def _leaking(shared, threshold, question_share, answer_share, gram):
     @F.pandas_udf("boolean")
     def leaking(texts):
-        index = shared.value
-        return texts.map(lambda x: any(True for _ in leaks(index, x, threshold, question_share, answer_share, gram))).astype(bool)
+        indexes = shared.value
+        return texts.map(lambda x: any(True for _ in leaks(indexes, x, threshold, question_share, answer_share, gram))).astype(bool)
 
     return leaking
 
 
-def leaks(index: Index, text: str | None, threshold: float, question_share: float, answer_share: float, gram: int):
+def leaks(indexes: list[Index], text: str | None, threshold: float, question_share: float, answer_share: float, gram: int):
     """(item, score, question overlap, answer overlap) of each passage that leaks an item."""
     words = words_of(text)
-    near, near_at = None, -1
-    for s, place, score in index.passages_above(words, threshold):
-        if s != near_at:
-            around = words[max(0, s - index.passage // 2):s + index.passage + index.passage // 2]
-            near, near_at = {n: grams(around, n) for n in range(1, gram + 1)}, s
-        question, answer = parts_of(index.words[place])
-        q = _overlap(question, near[min(gram, len(question)) or 1], gram)
-        a = _overlap(answer, near[min(gram, len(answer)) or 1], gram)
-        if q >= question_share and a >= answer_share:
-            yield index.items[place], score, q, a
+    for index in indexes:
+        near, near_at = None, -1
+        for s, place, score in index.passages_above(words, threshold):
+            if s != near_at:
+                around = words[max(0, s - index.passage // 2):s + index.passage + index.passage // 2]
+                near, near_at = {n: grams(around, n) for n in range(1, gram + 1)}, s
+            question, answer = parts_of(index.words[place])
+            q = _overlap(question, near[min(gram, len(question)) or 1], gram)
+            a = _overlap(answer, near[min(gram, len(answer)) or 1], gram)
+            if q >= question_share and a >= answer_share:
+                yield index.items[place], score, q, a
 
 
 def _search(rows, shared, schema, threshold, question_share, answer_share, gram) -> DataFrame:
     def run(batches):
-        index = shared.value
+        indexes = shared.value
         for batch in batches:
             ids = batch.column(0)
             for start, texts in text_batches(batch, "text"):
                 out = [(ids[start + i].as_py(), *x) for i, text in enumerate(texts)
-                       for x in leaks(index, text, threshold, question_share, answer_share, gram)]
+                       for x in leaks(indexes, text, threshold, question_share, answer_share, gram)]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (

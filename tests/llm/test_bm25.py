@@ -20,7 +20,7 @@ def plain_scores(items, query, total_items=None):
 
 def build(items):
     df = Counter(w for words in items for w in set(words))
-    return Index.build(list(enumerate(items)), df, len(items), sum(map(len, items)) / len(items), max(map(len, items)))
+    return Index.build(list(enumerate(items)), df, len(items), sum(map(len, items)) / len(items), 64)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -38,28 +38,35 @@ def test_wand_retrieves_all_above_the_threshold(seed):
         assert got == pytest.approx(wanted)
 
 
+def width(words):
+    size = 64
+    while size < len(words):
+        size *= 2
+    return size
+
+
 def plain(docs, items, threshold=0.5, q_share=0.6, a_share=0.5, n=3):
     split = [(i, words_of(t)) for i, t in items]
     kept = sorted({(i, tuple(w)) for i, w in split if w and i is not None})
     words = [list(w) for _, w in kept]
-    size = max([64, *map(len, words)])
     found = {}
     for d, text in docs:
         w = words_of(text)
-        for s in range(0, max(1, len(w) - size // 2), size // 2):
-            for place, score in plain_scores(words, set(w[s:s + size])):
-                if score < threshold:
-                    continue
-                around = w[max(0, s - size // 2):s + size + size // 2]
-                shares = []
-                for part in parts_of(words[place]):
-                    k = min(n, len(part)) or 1
-                    own = grams(part, k)
-                    shares.append(len(own & grams(around, k)) / len(own) if own else 1.0)
-                if shares[0] >= q_share and shares[1] >= a_share:
-                    key = (d, kept[place][0])
-                    old = found.get(key, (0, 0, 0, 0))
-                    found[key] = (*map(max, old, (score, *shares)), old[3] + 1)
+        for size in {width(x) for x in words}:
+            for s in range(0, max(1, len(w) - size // 2), size // 2):
+                for place, score in plain_scores(words, set(w[s:s + size])):
+                    if score < threshold or width(words[place]) != size:
+                        continue
+                    around = w[max(0, s - size // 2):s + size + size // 2]
+                    shares = []
+                    for part in parts_of(words[place]):
+                        k = min(n, len(part)) or 1
+                        own = grams(part, k)
+                        shares.append(len(own & grams(around, k)) / len(own) if own else 1.0)
+                    if shares[0] >= q_share and shares[1] >= a_share:
+                        key = (d, kept[place][0])
+                        old = found.get(key, (0, 0, 0, 0))
+                        found[key] = (*map(max, old, (score, *shares)), old[3] + 1)
     return found
 
 
@@ -94,3 +101,31 @@ def test_empty_tables(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0
     assert contaminated(docs, bench).count() == 1
     assert list(index_blocks(bench.limit(0), 5)) == []
+
+
+def test_an_unrelated_long_item_changes_nothing(spark):
+    """An item whose question and answer stand 3,000 words apart isn't leaked, however long other items are; and the
+    long item itself is found where it stands whole, also twice."""
+    rng = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    short = [f"s{i}" for i in range(30)]
+    long = [f"l{rng.randrange(5_000)}" for _ in range(8_000)]
+    filler = rng.choices(vocabulary, k=3_000)
+    docs = [(1, " ".join([*short[:20], *filler, *short[20:]])), (2, " ".join([*filler[:100], *short, *filler[100:200]])),
+            (3, " ".join([*filler[:50], *long])), (4, " ".join([*long, *filler, *long])), (4, " ".join([*long, *filler, *long]))]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = [(1, " ".join(short)), (2, " ".join(long))]
+
+    def found(kept):
+        made = spark.createDataFrame(kept, "item_id bigint, text string")
+        return {(r.doc_id, r.item_id) for r in contaminated(table, made).collect()}
+
+    assert found(items[:1]) == {(2, 1)}
+    assert found(items) == {(2, 1), (3, 2), (4, 2)}
+
+
+def test_blocks_are_bounded_in_words(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50 + i))) for i in range(40)], "item_id bigint, text string")
+    blocks = list(index_blocks(items, 1_000, block_words=500))
+    assert len(blocks) > 2 and sorted(i for b in blocks for x in b for i in x.items) == list(range(40))
+    assert all(len(w) <= x.passage < 2 * max(64, len(w)) for b in blocks for x in b for w in x.words)
