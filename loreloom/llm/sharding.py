@@ -7,7 +7,7 @@ import json
 import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreloom.llm.common import column_or_null, stored
@@ -60,14 +60,24 @@ def communication_matrix(counts: list[int], sizes: list[int], rng: random.Random
     return matrix
 
 
-def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, parts: int = 1024,
-                        slot_rows: int = 65_536) -> DataFrame:
+def _part(splits: int, total: int, part_rows: int, most: int) -> Column:
+    """The part of a place: up to ``part_rows`` neighbouring rows of an input partition, of several partitions where
+    there are more than ``most``. About ``most`` parts at least hold more rows each, so that there are not more than
+    about twice as many."""
+    part_rows = max(part_rows, -(-total // most))
+    merged = -(-splits // most)
+    piece = F.floor(F.col(_AT).bitwiseAND((1 << 33) - 1) / F.lit(max(1, part_rows // merged))).cast("bigint")
+    return F.shiftleft(piece, 20) + F.pmod(F.shiftright(_AT, 33), F.lit(min(most, 1 << 20)))
+
+
+def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, slot_rows: int = 65_536, most_parts: int = 16_384) -> DataFrame:
     """``rows`` with shard (0 to shards - 1) and slot (gapless from 0 in a shard): a uniform random permutation, cut
     into shards whose row counts differ by one at most.
 
-    The rows are written once with a place number, so that a recomputed task deals as its first attempt did. Their
-    ``parts`` parts (of input partitions) are counted, and the matrix of part-to-shard counts is drawn on the driver
-    from these counts, at most ``parts`` of them. A part permutes its rows (by a hash of place and seed) and deals
+    The rows are written once with a place number, so that a recomputed task deals as its first attempt did. Parts of
+    ``slot_rows`` rows (more, where that makes over ``most_parts`` parts; a large input partition is several parts, many
+    small ones share one) are counted, and the matrix of part-to-shard counts is drawn on the driver from these counts,
+    at most about twice ``most_parts`` of them. A part permutes its rows (by a hash of place and seed) and deals
     them to shards as its line of the matrix says; rows go to their shard's buckets, each about ``slot_rows`` rows,
     and are permuted again there. No task sees more than a part or a bucket, whatever the rows hold: keys and equal
     rows play no role.
@@ -78,9 +88,9 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, pa
     spark = rows.sparkSession
     # The row goes as one struct: no column of it can clash with those added here.
     placed = stored(rows.drop("shard", "slot").select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias(_AT)), "shuffled")
-    part = F.pmod(F.shiftright(_AT, 33), F.lit(parts))
+    splits, total = placed.agg(F.coalesce(F.max(F.shiftright(_AT, 33)), F.lit(0)) + 1, F.count("*")).first()
+    part = _part(splits, total, slot_rows, most_parts)
     counted = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counted.values())
     sizes = [total // shards + (j < total % shards) for j in range(shards)]
     known = sorted(counted)
     matrix = communication_matrix([counted[p] for p in known], sizes, random.Random(f"{seed}/{total}"))
@@ -118,10 +128,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> Dat
 
     Law ``rows``: the shards' row counts are at most one apart. size is the text's UTF-8 bytes and 8; a null text
     has no bytes and the checksum of none. A uniform shuffle keeps no groups together: equal texts are dealt one by
-    one. grown_shard is null. Repeated rows and rows without id are dealt like others; other columns are ignored."""
-    text = F.coalesce(column_or_null(docs, "text", "string"), F.lit(""))
-    narrow = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"),
-                         (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"),
-                         F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffle_into_shards(narrow, shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    one. grown_shard is null. Repeated rows and rows without id are dealt like others; other columns are ignored.
+    Documents pass through the exchange with their texts: size and checksum are those of the row that arrived."""
+    whole = docs.select(column_or_null(docs, "doc_id", "bigint").alias("doc_id"), column_or_null(docs, "text", "string").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return shuffle_into_shards(whole, shards, seed).select(
+        "doc_id", (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from loreloom.llm import sharding
 from loreloom.llm.sharding import communication_matrix, hypergeometric, shard_documents, shuffle_into_shards, write_shards
 
 
@@ -40,6 +41,19 @@ def test_shards_and_slots(spark, slot_rows):
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
 
 
+@pytest.mark.parametrize(("partitions", "most"), [(1, 4), (40, 4), (3, 1000), (1, 1000)])
+def test_parts_are_bounded_in_rows(spark, monkeypatch, partitions, most):
+    """One large input partition is several parts, many small ones share a part; all rows arrive, equal ones too."""
+    drawn = []
+    real = sharding.communication_matrix
+    monkeypatch.setattr(sharding, "communication_matrix", lambda counts, *rest: drawn.extend(counts) or real(counts, *rest))
+    rows = spark.range(3000).selectExpr("CAST(NULL AS string) AS text").coalesce(1).repartition(partitions)
+    got = shuffle_into_shards(rows, 5, slot_rows=100, most_parts=most).collect()
+    assert sum(drawn) == len(got) == 3000 and set(Counter(r.shard for r in got).values()) == {600}
+    assert len(drawn) <= max(2 * most, partitions) + partitions and max(drawn) <= 2 * max(100, 3000 // most)
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(600)) for s in range(5))
+
+
 def test_every_place_is_as_likely(spark):
     """Over many seeds a row is in each shard equally often, and two rows share a shard as often as by chance."""
     rows = spark.range(60).repartition(3)
