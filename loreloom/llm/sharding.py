@@ -77,8 +77,9 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, sl
     The rows are written once with a place number, so that a recomputed task deals as its first attempt did. Parts of
     ``slot_rows`` rows (more, where that makes over ``most_parts`` parts; a large input partition is several parts, many
     small ones share one) are counted, and the matrix of part-to-shard counts is drawn on the driver from these counts,
-    at most about twice ``most_parts`` of them. A part permutes its rows (by a hash of place and seed) and deals
-    them to shards as its line of the matrix says; rows go to their shard's buckets, each about ``slot_rows`` rows,
+    at most about twice ``most_parts`` of them. A part permutes its places (by a hash of place and seed) and deals
+    them to shards as its line of the matrix says: where the permutation goes on to the next shard is all that its rows
+    need to know. Whole rows move once, to their shard's buckets, each about ``slot_rows`` rows,
     and are permuted again there. No task sees more than a part or a bucket, whatever the rows hold: keys and equal
     rows play no role.
 
@@ -95,20 +96,24 @@ def shuffle_into_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 0, sl
     known = sorted(counted)
     matrix = communication_matrix([counted[p] for p in known], sizes, random.Random(f"{seed}/{total}"))
     ends = [[sum(row[:j + 1]) for j in range(shards)] for row in matrix]
-    lines = spark.range(1).select(F.inline(F.from_json(
-        F.lit(json.dumps([{"_part": p, "_ends": e} for p, e in zip(known, ends, strict=True)])),
-        "array<struct<_part: bigint, _ends: array<bigint>>>")))
+    lines = spark.range(1).select(F.explode(F.from_json(
+        F.lit(json.dumps([{"_part": p, "_end": e} for p, row in zip(known, ends, strict=True) for e in row])),
+        "array<struct<_part: bigint, _end: bigint>>")).alias("l")).select("l.*")
     first, second = (F.xxhash64(F.lit(f"{seed}/{k}"), F.col(_AT)) for k in ("part", "shard"))
-    permuted = placed.withColumn("_part", part).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_part").orderBy(first, _AT)))
-    dealt = permuted.join(F.broadcast(lines), "_part").withColumn(
-        "shard", F.size(F.filter("_ends", lambda end: end < F.col("_rank"))))
+    # Where a part's permutation goes on to the next shard: its last place before, by hash. Shards that
+    # no row is before have none; the last one always has.
+    ranked = placed.select(part.alias("_part"), first.alias("_first"), _AT).withColumn(
+        "_end", F.row_number().over(Window.partitionBy("_part").orderBy("_first", _AT)).cast("bigint"))
+    cuts = stored(ranked.join(F.broadcast(lines), ["_part", "_end"]).groupBy("_part").agg(
+        F.collect_list(F.struct("_first", _AT)).alias("_cuts")), "cuts")
+    behind = lambda cut: (cut["_first"] < F.col("_hash")) | ((cut["_first"] == F.col("_hash")) & (cut[_AT] < F.col(_AT)))
+    dealt = placed.withColumns({"_part": part, "_hash": first}).join(F.broadcast(cuts), "_part").withColumn(
+        "shard", F.lit(shards) - F.size("_cuts") + F.size(F.filter("_cuts", behind)))
     buckets = max(1, -(-total // (shards * slot_rows)))
     # The buckets of a shard are in order of the high bits of a hash, their rows in order of all of it.
     dealt = dealt.withColumn("_order", F.shiftrightunsigned(second, 1)).withColumn(
         "_bucket", F.floor(F.shiftrightunsigned("_order", 31) * F.lit(buckets) / F.lit(2**32)).cast("bigint")) \
-        .drop("_part", "_ends", "_rank")
-    dealt = stored(dealt, "dealt")
+        .drop("_part", "_cuts", "_hash")
     sizes_of = dealt.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes_of.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
