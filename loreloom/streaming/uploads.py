@@ -68,9 +68,10 @@ def start_uploads(uploads: DataFrame, out: str, checkpoint: str | None = None, a
         mentions = graph.node_mentions(payloads, strict).select("owner", "title").union(
             graph.edge_mentions(payloads).select("owner", F.explode(F.array("source_title", "target_title")).alias("title"))).distinct()
         known = stored(before["nodes"].join(mentions, ["owner", "title"], "left_semi").select(*NODES.names), "known-nodes")
-        made = {"nodes": (graph.upsert_nodes(payloads, stamp, strict=strict), known, ["id"]),
+        first = stored(graph.first_nodes(payloads, strict), "first-nodes")
+        made = {"nodes": (graph.upsert_nodes(payloads, stamp, strict=strict, first=first), known, ["id"]),
                 "node_documents": (links, before["node_documents"], ["node_id", "document_id"]),
-                "edges": (graph.upsert_edges(payloads, stamp, known, strict=strict), before["edges"], ["id"])}
+                "edges": (graph.upsert_edges(payloads, stamp, known, strict=strict, first=first), before["edges"], ["id"])}
         for name, (new, old, keys) in made.items():
             put(conform(new.join(old.select(*keys), keys, "left_anti"), GRAPH[name]), name)
         put(done.chunks, "chunks")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loreloom.functions.text import edge_label
 from loreloom.operators import graph, maintain
 from loreloom.operators.generate import capitalised_phrases, generate, memory_candidate, model_extractor
+from loreloom.plans.ingest import upsert_graph
 from loreloom.plans.views import graph_data
 from loreloom import constants as K
 
@@ -157,3 +158,44 @@ def test_first_per_key(spark):
     rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k string, o int, v string")
     got = maintain.first_per_key(rows, ["k"], ["o"], ["v"]).collect()
     assert {tuple(r) for r in got} == {("a", 1, "y"), ("b", 5, None)}
+
+
+def _mentioned_often(spark, n=240):
+    """n documents that mention a few nodes and edges again and again, some twice, later ones first."""
+    rows = []
+    for i in reversed(range(n)):
+        about = f"seen in {i}"
+        rows.append((i, f"o{i % 2}", json.dumps({
+            "nodes": [{"title": f"p{i % 3}", "type": "person", "description": about}, {"title": f"c{i % 4}", "type": "company", "description": about}],
+            "edges": [{"source": f"p{i % 3}", "target": f"c{i % 4}", "type": "uses", "description": about}]})))
+    return spark.createDataFrame(rows + rows[:40], "document_id bigint, owner string, payload string").repartition(3)
+
+
+def test_edges_of_frequent_mentions_keep_titles_without_a_lookup(spark, as_of):
+    """graph_edges_upsert, graph_incremental_upsert: first mentions of few nodes are found by hashing, ids aren't carried through
+    shuffles, and titles aren't joined to edges again."""
+    p = _mentioned_often(spark)
+    g = upsert_graph(p, as_of)
+    first = {}
+    for i in range(240):
+        first.setdefault((f"o{i % 2}", f"p{i % 3}", f"c{i % 4}"), f"seen in {i}")
+    titled = graph_data(g.nodes, g.edges)[1]
+    assert {(r.owner, r.source_title, r.target_title): r.description for r in titled.collect()} == first and titled.count() == len(first)
+    nodes = {(r.id, r.title) for r in g.nodes.collect()}
+    assert all({(r.source_id, r.source_title), (r.target_id, r.target_title)} <= nodes for r in titled.collect())
+    assert {"source_title", "target_title"} <= set(g.edges.columns)
+    stored_ones = g.edges.drop("source_title", "target_title")
+    late = upsert_graph(p.withColumn("payload", F.replace("payload", F.lit("uses"), F.lit("knows"))), as_of, g.nodes, g.links, stored_ones)
+    both = graph_data(late.nodes, late.edges)[1].collect()
+    assert sorted((r.relationship_type, r.owner, r.source_title, r.target_title) for r in both) == sorted(
+        (kind, *key) for kind in ("uses", "knows") for key in first)
+    assert graph._repeat(graph.node_mentions(p), ["owner", "title", "node_type"])
+
+
+def test_first_nodes_equal_a_plain_aggregate(spark):
+    """Documents without an order come first, as null does in a struct."""
+    p = _mentioned_often(spark).withColumn("doc_order", F.when(F.col("document_id") % 50 != 49, F.col("document_id") - 100))
+    key = ["owner", "title", "node_type"]
+    plain = maintain.first_per_key(graph.node_mentions(p), key, ["doc_order", "pos"], ["description"])
+    got = graph.first_nodes(p).select(*plain.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
