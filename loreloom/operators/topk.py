@@ -12,6 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +30,12 @@ BROADCAST_BYTES = 32 << 20
 # Keys that are named in a filter, which the scan can use to skip files.
 FILTER_KEYS = 1000
 _SCORE_ROWS = 256
+# Pairs of vectors compared in double precision at once.
+_PAIRS = 8192
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _raw(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as they are stored, a row each."""
     array = column.combine_chunks()
     if isinstance(array, pa.ChunkedArray):
         array = pa.concat_arrays(array.chunks)
@@ -40,48 +44,74 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lengths = array.value_lengths().to_numpy(zero_copy_only=False)
     if (lengths != lengths[0]).any():
         raise ValueError("vectors differ in length")
-    return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), lengths[0])
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), lengths[0])
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _raw(column).astype(np.float64)
+
+
+def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(norms, unit vectors in single precision); double precision is only ever held for a block of rows."""
+    norms, units = np.empty(len(vectors)), np.empty(vectors.shape, np.float32)
+    for start in range(0, len(vectors), _SCORE_ROWS):
+        rows = slice(start, start + _SCORE_ROWS)
+        block = vectors[rows].astype(np.float64)
+        norms[rows] = np.linalg.norm(block, axis=1)
+        units[rows] = block / norms[rows, None]
+    return norms, units
 
 
 def _cell_scorer(schema: pa.Schema, include_zero: bool):
+    """The k best of each query: single precision rules out what can't be among them by its error bound, the rest has its distance in
+    double precision."""
     def score(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or vectors.num_rows == 0:
             return schema.empty_table()
-        vectors = vectors.sort_by("chunk_id")
-        left, right = _matrix(queries["vector"]), _matrix(vectors["embedding"])
+        place_of = np.empty(vectors.num_rows, np.int64)
+        place_of[pc.sort_indices(vectors["chunk_id"]).to_numpy()] = np.arange(vectors.num_rows)
+        left, right = _raw(queries["vector"]), _raw(vectors["embedding"])
         if left.shape[1] != right.shape[1]:
             raise ValueError(f"query has {left.shape[1]} dimensions, chunk has {right.shape[1]}")
         limits = queries["k"].to_numpy()
-        left_norm, right_norm = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            left, right = left / left_norm[:, None], right / right_norm[:, None]
+            (left_norm, left_unit), (right_norm, right_unit) = _directions(left), _directions(right)
+        # Both ends of a comparison may be off by the error of a product of unit vectors, and distances are rounded.
+        margin = np.float32(2.02 * (left.shape[1] + 4) * 2.0 ** -24 + 4 * 10.0 ** -DISTANCE_DECIMALS)
         hit_query, hit_vector, hit_distance = [], [], []
         for start in range(0, len(left), _SCORE_ROWS):
-            block = left[start:start + _SCORE_ROWS]
+            block = left_unit[start:start + _SCORE_ROWS]
+            with np.errstate(invalid="ignore"):
+                likeness = block @ right_unit.T
             # A vector without direction has no distance (NaN): last place, or out.
-            distance = np.round(1.0 - block @ right.T, DISTANCE_DECIMALS) + 0.0
-            distance = np.where(np.isnan(distance), np.inf, distance)
-            kept = min(int(limits[start:start + len(block)].max(initial=0)), distance.shape[1])
+            np.copyto(likeness, np.float32(-np.inf), where=np.isnan(likeness))
+            kept = min(int(limits[start:start + len(block)].max(initial=0)), likeness.shape[1])
             if kept == 0:
                 continue
-            worst = np.partition(distance, kept - 1, axis=1)[:, kept - 1]
-            query, vector = np.nonzero(distance <= worst[:, None])
-            value = distance[query, vector]
-            # Vectors are in id order, so the stable sort breaks ties by id.
-            order = np.lexsort((vector, value, query))
+            worst = np.partition(likeness, likeness.shape[1] - kept, axis=1)[:, likeness.shape[1] - kept] - margin
+            near = likeness >= worst[:, None]
+            if not include_zero:
+                near &= np.isfinite(likeness)
+            query, vector = np.nonzero(near)
+            value = np.full(len(query), np.inf)
+            known = np.flatnonzero(np.isfinite(likeness[query, vector]))
+            for some in np.array_split(known, len(known) // _PAIRS + 1):
+                q, v = query[some] + start, vector[some]
+                exact = np.einsum("ij,ij->i", left[q].astype(np.float64) / left_norm[q, None], right[v].astype(np.float64) / right_norm[v, None])
+                value[some] = np.round(1.0 - exact, DISTANCE_DECIMALS) + 0.0
+            # Ties are broken by id.
+            order = np.lexsort((place_of[vector], value, query))
             query, vector, value = query[order], vector[order], value[order]
             first = np.searchsorted(query, np.arange(len(block)))
             place = np.arange(len(query)) - first[query]
             keep = place < limits[start + query]
-            if not include_zero:
-                keep &= np.isfinite(value)
             hit_query.append(query[keep] + start)
             hit_vector.append(vector[keep])
             hit_distance.append(value[keep])
         if not hit_query:
             return schema.empty_table()
-        taken = queries.take(pa.array(np.concatenate(hit_query)))
-        found = vectors.take(pa.array(np.concatenate(hit_vector)))
+        taken = queries.select(["query_id", "k"]).take(pa.array(np.concatenate(hit_query)))
+        found = vectors.select(["chunk_id"]).take(pa.array(np.concatenate(hit_vector)))
         distance = np.concatenate(hit_distance)
         columns = {
             "query_id": taken["query_id"],

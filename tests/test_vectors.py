@@ -183,3 +183,52 @@ def test_model_embedder_normalises_and_checks_dimensions(spark):
     assert [r[0] for r in rows.select(ModelEmbedder(load, 2).embed(F.col("t"))).collect()] == [[1.0, 0.0], None, [1.0, 0.0]]
     with pytest.raises(Exception, match="3-d"):
         rows.select(ModelEmbedder(load, 3).embed(F.col("t"))).collect()
+
+
+def test_scorer_settles_in_double_precision_what_single_leaves_open():
+    """text_search_topk: vectors that single precision can't tell apart, copies, and vectors without direction."""
+    import pyarrow as pa
+
+    from loreloom.operators.topk import _cell_scorer
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=384)
+    near = base + rng.normal(size=(300, 384)) * np.geomspace(1e-4, 1e-2, 300)[:, None]
+    vectors = np.concatenate([near, near[:50], rng.normal(size=(200, 384)), np.zeros((2, 384)), np.full((1, 384), np.nan)])
+    ids = rng.permutation(len(vectors))
+    asked = np.concatenate([[base, near[7]], np.zeros((1, 384))])
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("k", pa.int32())])
+    table = pa.table({"chunk_id": ids, "embedding": pa.array(list(vectors), pa.list_(pa.float64()))})
+    queries = pa.table({"query_id": [0, 1, 2], "vector": pa.array(list(asked), pa.list_(pa.float64())), "k": pa.array([40, 3, 5], pa.int32())})
+    with np.errstate(invalid="ignore"):
+        unit, own = (x / np.linalg.norm(x, axis=1)[:, None] for x in (vectors, asked))
+        true = np.round(1 - own @ unit.T, 9) + 0.0
+    for include_zero in (False, True):
+        found = _cell_scorer(schema, include_zero)(queries, table).to_pylist()
+        for q, k in enumerate((40, 3, 5)):
+            best = sorted((np.inf if np.isnan(d) else d, i) for d, i in zip(true[q], ids.tolist(), strict=True))
+            best = [(d, i) for d, i in best if include_zero or np.isfinite(d)][:k]
+            got = [(r["distance"], r["chunk_id"]) for r in found if r["query_id"] == q]
+            assert [i for _, i in got] == [i for _, i in best]
+            assert [d for d, _ in got if d == d] == pytest.approx([d for d, _ in best if np.isfinite(d)], abs=2e-9)
+
+
+def test_scorer_keeps_vectors_in_single_precision():
+    """Python memory of text_search_topk, fallback_answer and record_exchange: no copy of a cell in double precision."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loreloom.operators.topk import _cell_scorer
+
+    n, dims = 8192, 384
+    flat = np.random.default_rng(1).normal(size=n * dims).astype(np.float32)
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dims), pa.array(flat))
+    table = pa.table({"chunk_id": np.arange(n), "embedding": vectors})
+    queries = pa.table({"query_id": np.arange(64), "vector": vectors.slice(0, 64), "k": pa.array(np.full(64, 5), pa.int32())})
+    schema = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("distance", pa.float64()), ("k", pa.int32())])
+    tracemalloc.start()
+    found = _cell_scorer(schema, False)(queries, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 64 * 5 and peak < 2 * flat.nbytes
