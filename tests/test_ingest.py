@@ -219,3 +219,20 @@ def test_compaction_keeps_chunks_of_documents_that_failed_since(spark, tmp_path,
 
 def test_checkpoint_folder_is_the_sessions(spark):
     assert checkpoint_dir(spark, "/x") == (spark.conf.get("spark.checkpoint.dir", None) or "/x")
+
+
+def test_a_decoder_holds_few_files_at_once(spark):
+    """decoder_plugin: texts of a batch come back in parts, in order, failures and missing files too."""
+    from loreloom.sources.files import DECODED_AT_ONCE, decoder_column
+
+    n = 2 * DECODED_AT_ONCE + 3
+    files = spark.createDataFrame([(i, None if i % 7 == 3 else bytearray(b"\xff" if i % 5 == 0 else b"t%d" % i)) for i in range(n)],
+                                  "id bigint, content binary").coalesce(1)
+    got = {r.id: r.out for r in files.select("id", decoder_column(F.col("content"), lambda data: data.decode(), "Failed").alias("out")).collect()}
+    for i in range(n):
+        if i % 7 == 3:
+            assert got[i].text is None and got[i].error == "Failed: no content"
+        elif i % 5 == 0:
+            assert got[i].text is None and got[i].error.startswith("Failed: 'utf-8'")
+        else:
+            assert tuple(got[i]) == (f"t{i}", None)
