@@ -121,6 +121,39 @@ def test_views(spark, as_of):
     assert {r.title: r.type_ok for r in ok.collect()} == {"A": False, "B": True}
 
 
+def test_links_of_documents_that_come_once_are_not_shuffled(spark):
+    p = payloads(spark, {"nodes": [n("A"), n("A"), n("A", "person"), {"title": "B"}, {"type": "topic"}, n("x" * 300), n("x" * 299)]},
+                 {"nodes": [n("A")]}, {"edges": []}, {})
+    assert graph.each_once(p) and not graph.each_once(p.union(p))
+    links = graph.link_nodes(graph.parsed(p), once=True)
+    assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+    assert sorted(links.collect()) == sorted(graph.link_nodes(p).collect()) and links.count() == 5
+    assert sorted(graph.link_nodes(p, once=True, owner=True).collect()) == sorted(graph.link_nodes(p, owner=True).collect())
+
+
+@pytest.mark.parametrize("most", [100_000, 3, 0])
+def test_node_detail_of_few_and_many_links(spark, as_of, monkeypatch, most):
+    """Nodes of parts with many links are ranked in id ranges, others node by node, with the same pages."""
+    monkeypatch.setattr(graph, "PART_LINKS", most)
+    p = payloads(spark, *[{"nodes": [n("every"), n(f"third {i % 3}"), n(f"own {i}")]} for i in range(12)])
+    docs = spark.createDataFrame([(i, f"Document {i}") for i in range(1, 12)], "id bigint, title string")
+    nodes = graph.upsert_nodes(p, as_of)
+    detail = graph.node_detail(nodes, graph.link_nodes(p), docs, page_rows=4)
+    assert detail.columns == [*nodes.columns, "page", "source_documents"]
+    wanted = {}
+    known = {r.id: r.title for r in docs.collect()}
+    of = {}
+    for link in graph.link_nodes(p).collect():
+        of.setdefault(link.node_id, []).extend([link.document_id] if link.document_id in known else [])
+    for node in nodes.collect():
+        ids = sorted(of[node.id])
+        for page in range(max(1, -(-len(ids) // 4))):
+            wanted[node.title, page] = [(i, known[i]) for i in ids[4 * page:4 * page + 4]]
+    rows = detail.collect()
+    assert len(rows) == len(wanted)
+    assert {(r.title, r.page): [(d.id, d.title) for d in r.source_documents] for r in rows} == wanted
+
+
 def test_default_extractor(spark):
     rows = spark.createDataFrame([("Ada Lovelace met Babbage. Ada Lovelace wrote; Mr Babbage read it",), ("",), ("none",)], "t string")
     got = [json.loads(r[0]) for r in rows.select(capitalised_phrases(F.col("t"))).collect()]
