@@ -369,9 +369,13 @@ def stream_upload_chain(spark, sf_dir):
     """upload_chain as a stream of files in which each upload comes twice, its older version in any place."""
     folder = f"{shared_folder(spark)}/stream_upload_chain-{uuid.uuid4().hex}"
     uploads = Tables(spark, sf_dir).document_inputs()
-    older = uploads.withColumns({"title": F.concat(F.lit("Old "), "title"), "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 DAY")})
-    uploads.union(older).repartition(4, "id", "title").write.parquet(f"{folder}/in")
-    source = document_stream(spark, f"{folder}/in", uploads.schema, files_per_batch=2)
+    # Files are packed once for both versions.
+    both = uploads.withColumn("_old", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns({
+        "title": F.when(F.col("_old"), F.concat(F.lit("Old "), "title")).otherwise(F.col("title")),
+        "updated_at": F.when(F.col("_old"), F.col("updated_at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("updated_at"))}).drop("_old")
+    files = max(4, spark.sparkContext.defaultParallelism)
+    both.repartition(files, "id", "title").write.parquet(f"{folder}/in")
+    source = document_stream(spark, f"{folder}/in", uploads.schema, files_per_batch=-(-files // 2))
     start_uploads(source, f"{folder}/out", as_of=_as_of()).awaitTermination()
     linked = current_graph(spark, f"{folder}/out")["node_documents"].groupBy("document_id").agg(F.count("*").alias("nodes"))
     return upload_outcomes(spark, f"{folder}/out").join(linked.withColumnRenamed("document_id", "id"), "id", "left").select(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions.embedding import HashingEmbedder
 from loreloom.plans.ingest import ingest_uploads
+from loreloom.streaming import versions
 from loreloom.streaming.ingest import current_chunks, current_documents, document_stream
 from loreloom.streaming.uploads import TIMED_OUT, current_graph, start_uploads, upload_outcomes
 
@@ -94,3 +95,25 @@ def test_a_restart_from_lost_progress_repeats_without_harm(spark, stream, as_of,
     start_uploads(docs, out, checkpoint=str(tmp_path / "other"), as_of=as_of, embedder=SMALL).awaitTermination()
     assert {n: t.count() for n, t in current_graph(spark, out).items()} == first
     assert current_documents(spark, out).count() == 2 and current_chunks(spark, out).count() == 2
+
+
+def test_documents_that_share_a_part_of_the_state_keep_their_own_versions_and_timers(spark, stream, monkeypatch):
+    """State is asked once for a part, not once for a document; one document's timer is not lost with another's."""
+    monkeypatch.setattr(versions, "PARTS", 1)
+    put, run, out, _ = stream
+    put("a", [row(i, 1, f"text {i}", status="processing") for i in range(1, 5)] + [row(9, 3, "nine"), row(9, 2, "old nine")])
+    run(wait_ms=1)
+    time.sleep(0.1)
+    # In the batch in which the others are given up 2 goes on, 9 comes late.
+    put("b", [row(2, 2, "two is done"), row(9, 1, "oldest nine")])
+    run(wait_ms=1)
+    put("c", [row(5, 1, "five"), row(3, 2, "three is done")])
+    run(wait_ms=1)
+    found = {r.id: (r.processing_status, r.processing_error) for r in current_documents(spark, out).collect()}
+    failed = ("failed", TIMED_OUT)
+    assert {i: found[i] for i in (1, 4)} == {1: failed, 4: failed}
+    assert {i: found[i][0] for i in (2, 3, 5, 9)} == dict.fromkeys((2, 3, 5, 9), "completed")
+    titles = {r.id: r.title for r in upload_outcomes(spark, out).collect()}
+    assert titles[9] == "v3" and titles[2] == "v2" and titles[3] == "v2"
+    # The state holds one value for the part, whatever the number of documents.
+    assert spark.read.format("statestore").option("stateVarName", "part").load(f"{out}/_progress").count() == 1
