@@ -14,6 +14,7 @@ from loreloom.operators import chunking, filters, graph, maintain, validation
 from loreloom.operators.cells import cells_topk, indexed, pruned_topk, train_cells
 from loreloom.operators.ordering import in_document_order
 from loreloom.operators.postings import gram_index, search_index
+from loreloom.operators.sizing import small_frame
 from loreloom.operators.topk import approximate_topk, cosine_topk, nearest
 from loreloom.plans import chat, views
 from loreloom.plans.ingest import embed_chunks, ingest, ingest_uploads, process_documents, stored_processing, upsert_graph
@@ -332,9 +333,14 @@ def keyword_search_chunks(spark, sf_dir):
 def indexed_chunk_search(spark, sf_dir):
     """keyword_search_chunks through trigram posting lists."""
     t = Tables(spark, sf_dir)
-    titles = t.documents().select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
-    chunks = stored(chunking.chunk_documents(t.documents()).join(titles, "document_id").select(
-        "document_id", "chunk_index", "document_title", "content"), "indexed-chunks")
+    # As joined with the titles of their ids: a title says its id, so chunks keep it, and a chunk counts for each row of its id.
+    # Only ids are shuffled.
+    chunks = chunking.chunk_documents(t.documents().filter(F.col("id").isNotNull()), keep=("title",)).withColumnRenamed("title", "document_title")
+    several = small_frame(chunking.duplicate_keys(t.documents().select(F.col("id").alias("document_id")), ["document_id"]))
+    if several is not None:
+        chunks = chunks.join(several, "document_id", "left").withColumn(
+            "row_count", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("row_count", F.lit(1)))))
+    chunks = stored(chunks.select("document_id", "chunk_index", "document_title", "content"), "indexed-chunks", "zstd")
     keys, fields = ["document_id", "chunk_index"], ["document_title", "content"]
     found = search_index(gram_index(chunks, keys, fields), chunks, "the License", keys, fields)
     return found.select("document_id", "document_title", F.col("chunk_index").cast("bigint").alias("chunk_index"),
